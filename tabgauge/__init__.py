@@ -46,6 +46,7 @@ from tabgauge.operators.types import (
     column_roles,
     column_types,
     columns_by_type,
+    table_shape,
     type_counts,
 )
 from tabgauge.operators.values import (
@@ -97,6 +98,7 @@ __all__ = [
     "strong_correlations",
     "table_profile",
     "table_report",
+    "table_shape",
     "target_summary",
     "temporal_span_text",
     "temporal_stats",

@@ -17,6 +17,11 @@ TYPE_SCHEMA = (
 )
 
 
+def table_shape(df: DataFrame) -> DataFrame:
+    """Rows and columns of the table."""
+    return df.selectExpr("count(1) as num_rows", f"int({len(df.columns)}) as num_cols")
+
+
 def resolve_type(
     df: DataFrame, name: str, declared: Mapping[str, str] | None = None
 ) -> str:
