@@ -82,19 +82,27 @@ def one_row_per_column(
     return union_all(parts)
 
 
-def long_form(df: DataFrame, cells: Mapping[int, Cell]) -> DataFrame:
+def long_form(
+    df: DataFrame, cells: Mapping[int, Cell], wanted: str | None = None
+) -> DataFrame:
     """One row per table row and cell: ``id`` and the fields of the cell.
 
-    All cells have the same fields. Nothing is shuffled.
+    All cells have the same fields. Nothing is shuffled. Rows whose input
+    ``wanted`` is null are left out, table rows without any before they multiply.
     """
     names = list(next(iter(cells.values())).fields)
     rows = [
         ", ".join([str(i), *(_bind(i, cell, cell.fields[n]) for n in names)])
         for i, cell in cells.items()
     ]
-    return _project(df, cells).selectExpr(
+    projected = _project(df, cells)
+    if wanted:
+        flags = ", ".join(f"c{i}_{wanted}" for i in cells)
+        projected = projected.filter(f"coalesce({flags}) is not null")
+    stacked = projected.selectExpr(
         f"stack({len(cells)}, {', '.join(rows)}) as (id, {', '.join(names)})"
     )
+    return stacked.filter(f"{wanted} is not null") if wanted else stacked
 
 
 def small_frame(df: DataFrame, rows: Sequence[tuple], schema: str) -> DataFrame:

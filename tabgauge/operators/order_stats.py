@@ -103,18 +103,43 @@ def _inside(df: DataFrame, bracket: Bracket) -> str:
     return f"case when {value} between {low} and {high} then {value} end"
 
 
+def _values_inside(
+    df: DataFrame, brackets: Sequence[Bracket], bins: Sequence[str] | None = None
+) -> DataFrame:
+    """``(bracket, value)`` of all rows in a bracket, and their bin if asked for.
+
+    ``bins`` is SQL over ``{value}``. Brackets of one column do not overlap,
+    so a row yields at most one value for each column.
+    """
+    cells: dict[int, Cell] = {}
+    for name in dict.fromkeys(b.name for b in brackets):
+        ranges = [
+            (i, f"{{value}} between {sql_double(b.low)} and {sql_double(b.high)}")
+            for i, b in enumerate(brackets)
+            if b.name == name
+        ]
+        value = ordinal(name, df.schema[name].dataType)
+        cell = Cell({"value": value}, {"bracket": "{bracket}", "value": "{value}"})
+        cell.inputs["bracket"] = _choose([(test, str(i)) for i, test in ranges]).format(
+            value=value
+        )
+        if bins:
+            cell.fields["bin"] = _choose([(test, bins[i]) for i, test in ranges])
+        cells[len(cells)] = cell
+    return long_form(df, cells, wanted="bracket")
+
+
+def _choose(cases: Sequence[tuple[str, str]]) -> str:
+    return f"case {' '.join(f'when {test} then {value}' for test, value in cases)} end"
+
+
 def _count(
     df: DataFrame, brackets: Sequence[Bracket], bins: Sequence[str]
 ) -> list[Bracket]:
     """Count rows per bin, ``bins`` being SQL over ``{value}``, and pick bins."""
-    cells = {
-        i: Cell({"value": _inside(df, bracket)}, {"bin": index, "value": "{value}"})
-        for i, (bracket, index) in enumerate(zip(brackets, bins, strict=True))
-    }
     counts = (
-        long_form(df, cells)
-        .filter("value is not null")
-        .groupBy("id", "bin")
+        _values_inside(df, brackets, bins)
+        .groupBy("bracket", "bin")
         .agg(
             F.count(F.lit(1)).alias("rows"),
             F.min("value").alias("low"),
@@ -124,7 +149,9 @@ def _count(
     )
     per_bracket: list[list] = [[] for _ in brackets]
     for row in counts:
-        per_bracket[row["id"]].append((row["bin"], row["rows"], row["low"], row["high"]))
+        per_bracket[row["bracket"]].append(
+            (row["bin"], row["rows"], row["low"], row["high"])
+        )
     return [
         found
         for bracket, binned in zip(brackets, per_bracket, strict=True)
@@ -169,29 +196,24 @@ def _sorted_values(
     """Rank the distinct values of small brackets, one task per bracket."""
     if not brackets:
         return {}
-    cells = {
-        i: Cell({"value": _inside(df, bracket)}, {"value": "{value}"})
-        for i, bracket in enumerate(brackets)
-    }
     counts = (
-        long_form(df, cells)
-        .filter("value is not null")
-        .groupBy("id", "value")
+        _values_inside(df, brackets)
+        .groupBy("bracket", "value")
         .agg(F.count(F.lit(1)).alias("rows"))
     )
-    running = Window.partitionBy("id").orderBy("value")
+    running = Window.partitionBy("bracket").orderBy("value")
     wanted = small_frame(
         df,
         [(i, k - b.below, k) for i, b in enumerate(brackets) for k in b.ranks],
-        "id int, place bigint, rank bigint",
+        "bracket int, place bigint, rank bigint",
     )
     found = (
         counts.withColumn("upto", F.sum("rows").over(running))
-        .join(F.broadcast(wanted), "id")
+        .join(F.broadcast(wanted), "bracket")
         .filter("place < upto and place >= upto - rows")
         .collect()
     )
-    return {(brackets[r["id"]].name, r["rank"]): r["value"] for r in found}
+    return {(brackets[r["bracket"]].name, r["rank"]): r["value"] for r in found}
 
 
 def linear_ranks(valid: int, share: float) -> tuple[int, int, float]:

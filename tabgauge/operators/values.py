@@ -166,17 +166,21 @@ def sorted_counts(counts: DataFrame) -> DataFrame:
     return counts.orderBy("column", F.desc("n"), "value")
 
 
-def top_categories(counts: DataFrame, limit: int = TOP_CATEGORIES) -> DataFrame:
+def top_categories(
+    counts: DataFrame, limit: int = TOP_CATEGORIES, sizes: DataFrame | None = None
+) -> DataFrame:
     """The first ``limit`` categories of every column and how many are left.
 
     ``remaining`` is null where fewer than ``limit`` categories exist, since
-    then all of them are listed.
+    then all of them are listed. ``sizes`` may give ``(column, categories)``
+    where they are known, which spares counting them.
     """
     by_count = Window.partitionBy("column").orderBy(F.desc("n"), "value")
     top = counts.withColumn("rank", F.row_number().over(by_count)).filter(
         F.col("rank") <= limit
     )
-    sizes = counts.groupBy("column").agg(F.count(F.lit(1)).alias("categories"))
+    if sizes is None:
+        sizes = counts.groupBy("column").agg(F.count(F.lit(1)).alias("categories"))
     # One row per column of the table on this side.
     return top.join(F.broadcast(sizes), "column").select(
         "column",

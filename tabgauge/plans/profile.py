@@ -242,7 +242,12 @@ def _histograms(
     if "histogram" not in sections:
         return categories, histogram
     if categorical:
-        categories = top_categories(value_counts(df, categorical))
+        sizes = small_frame(
+            df,
+            [(name, facts.distinct[name].cardinality) for name in categorical],
+            "column string, categories bigint",
+        )
+        categories = top_categories(value_counts(df, categorical), sizes=sizes)
     numbers = [name for name in facts.numeric if name not in categorical]
     if numbers:
         quartiles = None if rule is None else facts.nearest_quartiles(numbers)
