@@ -24,7 +24,7 @@ class Cell:
 
 def sql_double(value: float | None) -> str:
     """A double as a SQL constant that keeps every digit."""
-    return "double(null)" if value is None else f"double('{value!r}')"
+    return "double(null)" if value is None else f"double('{float(value)!r}')"
 
 
 def sql_text(value: str) -> str:

@@ -102,9 +102,9 @@ def _both_ways(sums: DataFrame) -> DataFrame:
     rated = sums.select(
         "*", F.when(F.col("varied"), F.try_divide(shared, spread)).alias("ratio")
     )
-    # NaN is the greatest double in Spark, so it must not reach least().
+    # least() skips nulls and holds NaN to be the greatest, so neither may reach it.
     r = F.when(
-        F.coalesce(~F.isnan("ratio"), F.lit(False)),
+        F.col("ratio").isNotNull() & ~F.isnan("ratio"),
         F.greatest(F.least("ratio", F.lit(1.0)), F.lit(-1.0)),
     ).otherwise(F.lit(float("nan")))
 
