@@ -64,7 +64,7 @@ def one_row_per_column(
     """
     if not cells:
         schema = ", ".join(["column string"] + [f"{k} {t}" for k, t in kinds.items()])
-        return df.sparkSession.createDataFrame([], schema)
+        return small_frame(df, [], schema)
     names = list(cells)
     size = max(1, MAX_SUMS_PER_AGGREGATE // sums_per_column)
     parts = []
@@ -105,6 +105,30 @@ def long_form(
     return stacked.filter(f"{wanted} is not null") if wanted else stacked
 
 
+def sql_value(value: object) -> str:
+    """A plain Python value as a SQL constant."""
+    if value is None:
+        return "null"
+    if isinstance(value, bool):
+        return str(value)
+    if isinstance(value, float):
+        return sql_double(value)
+    return sql_text(value) if isinstance(value, str) else str(value)
+
+
 def small_frame(df: DataFrame, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """A few rows per column of ``df``, known on the driver, as a frame."""
-    return df.sparkSession.createDataFrame(list(rows), schema)
+    """A few rows per column of ``df``, known on the driver, as a frame.
+
+    The rows are part of the plan, so they need no tasks of their own and
+    Spark knows that they are small when it joins them.
+    """
+    fields = [part.rsplit(" ", 1) for part in schema.split(", ")]
+    if not rows:
+        cells = (f"cast(null as {kind}) as {name}" for name, kind in fields)
+        return df.sparkSession.sql(f"select {', '.join(cells)} where false")
+    cells = (f"cast({name} as {kind}) as {name}" for name, kind in fields)
+    values = (f"({', '.join(map(sql_value, row))})" for row in rows)
+    return df.sparkSession.sql(
+        f"select {', '.join(cells)} from values {', '.join(values)} "
+        f"as t({', '.join(name for name, _ in fields)})"
+    )

@@ -37,7 +37,7 @@ def pearson_long(
     names = dtypes.numeric_columns(df, columns)
     if not names:
         warnings.warn("No numeric features found in the dataframe.", stacklevel=2)
-        return df.sparkSession.createDataFrame([], PEARSON_SCHEMA)
+        return small_frame(df, [], PEARSON_SCHEMA)
     basics = {row["column"]: row for row in basic_summary(df, names).collect()}
     return pearson_around(df, names, basics, missing)
 

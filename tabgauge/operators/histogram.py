@@ -202,7 +202,7 @@ def bin_sql(grid: Grid) -> str:
 def histogram_on(df: DataFrame, found: Sequence[Grid]) -> DataFrame:
     """Count rows on known bins: one scan, one row per bin and task shuffled."""
     if not found:
-        return df.sparkSession.createDataFrame([], HISTOGRAM_SCHEMA)
+        return small_frame(df, [], HISTOGRAM_SCHEMA)
     cells = {
         i: Cell({"value": number(g.name, df.schema[g.name].dataType)}, {"bin_idx": bin_sql(g)})
         for i, g in enumerate(found)
@@ -253,7 +253,7 @@ def histogram_categorical(
     """Rows per value, as ``value_counts``; by default of the categorical columns."""
     names = categorical_columns(df) if columns is None else list(columns)
     if not names:
-        return df.sparkSession.createDataFrame([], "column string, value string, n bigint")
+        return small_frame(df, [], "column string, value string, n bigint")
     return value_counts(df, names)
 
 
@@ -288,5 +288,5 @@ def histogram_all(
         binned = histogram_numeric(df, numbers, bins)
         parts.append(binned.select("column", F.col("bin_key").alias("key"), "n"))
     if not parts:
-        return df.sparkSession.createDataFrame([], "column string, key string, n bigint")
+        return small_frame(df, [], "column string, key string, n bigint")
     return union_all(parts)

@@ -236,8 +236,7 @@ def _histograms(
 ) -> tuple[DataFrame, DataFrame]:
     df = facts.df
     categories, histogram = (
-        df.sparkSession.createDataFrame([], schema)
-        for schema in (CATEGORY_SCHEMA, HISTOGRAM_SCHEMA)
+        small_frame(df, [], schema) for schema in (CATEGORY_SCHEMA, HISTOGRAM_SCHEMA)
     )
     if "histogram" not in sections:
         return categories, histogram
@@ -258,5 +257,5 @@ def _histograms(
 
 def _correlation(facts: Facts, missing: str, sections: Collection[str]) -> DataFrame:
     if "correlation" not in sections or not facts.numeric:
-        return facts.df.sparkSession.createDataFrame([], PEARSON_SCHEMA)
+        return small_frame(facts.df, [], PEARSON_SCHEMA)
     return pearson_around(facts.df, facts.numeric, facts.basics, missing)
