@@ -32,11 +32,14 @@ def shown(value):
 KINDS = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 
+OWN = entry.registry.registered()
+
+
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(OWN) == set(entry.oracle.registered())
 
 
-@pytest.mark.parametrize("name", entry.queries())
+@pytest.mark.parametrize("name", OWN)
 def test_query(spark, sql, name):
     df = entry.queries()[name](spark, str(DATA))
     cursor = sql.execute(entry.oracle_sql()[name])
