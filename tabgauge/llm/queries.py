@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, token_output
+from . import bpe, decontaminate, token_output
 
 _MODULES = {
+    "op3_bpe_encoding_decoding": bpe,
     "op7_token_id_output": token_output,
     "op9_benchmark_decontamination": decontaminate,
 }
