@@ -17,8 +17,8 @@ input is. Tokens cut at a final boundary encode independently on both sides.
 incremental UTF-8 decoder, which keeps at most the bytes of one unfinished character.
 
 Texts go through in pieces (``pieces.PieceIds``): a cut before white space that follows
-something else is a token boundary under the pattern. Where white space beyond ASCII
-could change that, the whole text runs through the pattern instead.
+something else, or between a letter and a mark, is a token boundary under the pattern.
+Texts with white space beyond ASCII or with a special token run through it as a whole.
 
 Defined results: a null text is an empty one and has no tokens; rows are kept one by one,
 repeated or not, with the columns in ``keep``.
@@ -209,20 +209,10 @@ class TextEncoder:
     def __call__(self, pieces: list[bytes]) -> list[list[int]]:
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        known, findall, out = self.known, self.pattern.findall, []
-        special = [s for s in self.vocabulary.special]
+        findall, word_ids, out = self.pattern.findall, self._word, []
         for piece in pieces:
-            text = piece.decode()
-            ids = known.get(text)
-            if ids is None:
-                ids = []
-                if any(s in text for s in special):
-                    for some in self.stream(text):
-                        ids += some
-                else:
-                    for word in findall(text):
-                        ids += self._word(word)
-            out.append(ids)
+            found = [word_ids(word) for word in findall(piece.decode())]
+            out.append(found[0] if len(found) == 1 else [i for ids in found for i in ids])
         return out
 
 
@@ -258,24 +248,9 @@ class TextDecoder:
 _WIDE_SPACE = (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 
 
-def has_wide_space(texts: pa.Array) -> np.ndarray:
-    """Which texts hold white space beyond ASCII."""
-    data, offsets = words.raw_bytes(texts)
-    hit = np.zeros(len(texts), bool)
-    for lead in {chr(c).encode()[:1] for c in _WIDE_SPACE}:
-        for at in np.flatnonzero(data == lead[0]).tolist() if lead != b"\xc2" else _two_byte(data):
-            sign = data[at : at + (2 if lead == b"\xc2" else 3)].tobytes()
-            if sign in _WIDE_BYTES:
-                hit[np.searchsorted(offsets, at, side="right") - 1] = True
-    return hit
-
-
-_WIDE_BYTES = {chr(c).encode() for c in _WIDE_SPACE}
-
-
-def _two_byte(data: np.ndarray) -> list[int]:
-    at = np.flatnonzero(data[:-1] == 0xC2)
-    return at[(data[at + 1] == 0x85) | (data[at + 1] == 0xA0)].tolist()
+def has_wide_space(texts: pa.Array) -> list[int]:
+    """Texts that hold white space beyond ASCII."""
+    return sorted({i for c in _WIDE_SPACE for i in words.texts_with(texts, chr(c).encode())})
 
 
 class Coder:
@@ -284,13 +259,14 @@ class Coder:
     def __init__(self, path: str) -> None:
         vocabulary = Vocabulary(path)
         self.encoder = TextEncoder(vocabulary)
-        self.pieces = PieceIds(self.encoder, with_space=True)
+        self.pieces = PieceIds(self.encoder, with_space=True, lower=False)
         self.decoder = TextDecoder(vocabulary)
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         ids, bounds = self.pieces(texts)
         out = [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-        for i in np.flatnonzero(has_wide_space(texts)).tolist():
+        special = {i for t in self.encoder.vocabulary.special for i in words.texts_with(texts, t.encode())}
+        for i in sorted(special.union(has_wide_space(texts))):
             whole = [x for some in self.encoder.stream(texts[i].as_py()) for x in some]
             out[i] = np.array(whole, np.uint32)
         return out

@@ -1,7 +1,8 @@
 """Token ids of whole texts from the ids of their pieces, each distinct piece encoded once.
 
-A piece is a run of white space with the run of other characters after it. White space
-is space and tab to carriage return here, so that a byte decides.
+A piece is a run of bytes other than white space, cut between an ASCII letter and a mark
+after it; if wanted, with the white space before it. White space is space and tab to
+carriage return here, so that bytes decide.
 """
 
 from __future__ import annotations
@@ -13,56 +14,66 @@ import pyarrow as pa
 
 from . import words
 
-#: Distinct pieces that a task remembers before it starts anew.
-REMEMBERED = 400_000
+#: Distinct pieces that a process remembers before it starts anew; some 60 bytes each.
+REMEMBERED = 1_500_000
 
 
 class PieceIds:
     """Ids by piece. ``encode`` takes a list of pieces and gives a list of their ids."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], with_space: bool, remembered: int = REMEMBERED) -> None:
-        self.encode, self.with_space, self.remembered = encode, with_space, remembered
+    def __init__(
+        self, encode: Callable[[list[bytes]], list[list[int]]], with_space: bool, lower: bool, remembered: int = REMEMBERED
+    ) -> None:
+        self.encode, self.with_space, self.lower, self.remembered = encode, with_space, lower, remembered
         self._clear()
 
     def _clear(self) -> None:
-        self.place: dict[int, int] = {}
+        # Sorted hashes of the pieces, and where each piece stands in the arrays below.
+        self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.count = self.used = 0
+        self.first, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.first = np.zeros(1 << 14, np.int64)
-        self.size = np.zeros(1 << 14, np.int64)
 
-    def _add(self, keys: list[int], found: list[list[int]]) -> None:
-        count = len(self.place)
-        need = count + len(keys)
-        if need > len(self.first):
-            self.first = np.resize(self.first, 2 * need)
-            self.size = np.resize(self.size, 2 * need)
+    def _add(self, found: list[list[int]]) -> np.ndarray:
+        places = np.arange(self.count, self.count + len(found))
+        self.count += len(found)
+        if self.count > len(self.first):
+            self.first.resize(2 * self.count, refcheck=False)
+            self.size.resize(2 * self.count, refcheck=False)
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         total = int(sizes.sum())
         if self.used + total > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * (self.used + total))
+            self.ids.resize(2 * (self.used + total), refcheck=False)
         self.ids[self.used : self.used + total] = np.fromiter((i for x in found for i in x), np.uint32, total)
-        self.first[count:need] = self.used + np.cumsum(sizes) - sizes
-        self.size[count:need] = sizes
+        self.first[places] = self.used + np.cumsum(sizes) - sizes
+        self.size[places] = sizes
         self.used += total
-        self.place.update(zip(keys, range(count, need), strict=True))
+        return places
+
+    def _places(self, found: words.Words, distinct: np.ndarray, at: np.ndarray) -> np.ndarray:
+        if self.count > self.remembered:
+            self._clear()
+        where = np.searchsorted(self.keys, distinct)
+        old = np.zeros(len(distinct), bool)
+        if len(self.keys):
+            old = self.keys[np.minimum(where, len(self.keys) - 1)] == distinct
+        out = np.empty(len(distinct), np.int64)
+        out[old] = self.place[where[old]]
+        if not old.all():
+            new = ~old
+            out[new] = self._add(self.encode([found.word(i) for i in at[new].tolist()]))
+            self.keys = np.insert(self.keys, where[new], distinct[new])
+            self.place = np.insert(self.place, where[new], out[new])
+        return out
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's ids begin."""
-        found = words.split(texts, words.NOT_SPACE, lower=False)
+        found = words.split(texts, words.NOT_SPACE, lower=self.lower, cut=True)
         if self.with_space:
             found = _with_space(found)
-        hashes = found.hashes()
-        distinct, at, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.place) > self.remembered:
-            self._clear()
-        keys = distinct.tolist()
-        place = self.place
-        missing = [i for i, k in enumerate(keys) if k not in place]
-        if missing:
-            self._add([keys[i] for i in missing], self.encode([found.word(i) for i in at[missing].tolist()]))
-        places = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))[back]
-        size, first = self.size[places], self.first[places]
+        distinct, at, back = np.unique(found.hashes(), return_index=True, return_inverse=True)
+        places = self._places(found, distinct, at)[back]
+        size, first = self.size[places].astype(np.int64), self.first[places]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.ids[np.repeat(first - ends + size, size) + np.arange(total)]

@@ -55,52 +55,70 @@ def _tokenizer(path: str):
 
 
 class Encoder:
-    """Ids of pieces. Runs of letters go to the library many at a time, the rest one by one."""
+    """Ids of pieces in lower case. Runs of ASCII letters go to the library many at a time, the rest one by one."""
 
     def __init__(self, path: str) -> None:
         self.tokenizer = _tokenizer(path)
         suffix = self.tokenizer.model.end_of_word_suffix
         self.ends: set[int] = {i for t, i in self.tokenizer.get_vocab().items() if suffix and t.endswith(suffix)}
-        self.known: dict[str, list[int]] = {}
 
-    def _runs(self, runs: list[str]) -> None:
-        """Encode runs of lower-case letters: each ends with the one id that has the suffix."""
+    def _runs(self, runs: list[str]) -> list[list[int]]:
+        """Each run ends with the one id that has the suffix."""
         encoding = self.tokenizer.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0]
-        ends, one, known, at = self.ends, [], self.known, 0
+        ends, one, out = self.ends, [], []
         for i in encoding.ids:
             one.append(i)
             if i in ends:
-                known[runs[at]] = one
-                one, at = [], at + 1
-        if at != len(runs) or one:
+                out.append(one)
+                one = []
+        if len(out) != len(runs) or one:
             raise ValueError("the vocabulary's pieces do not end with its suffix")
+        return out
 
     def __call__(self, pieces: list[bytes]) -> list[list[int]]:
         texts = [p.decode() for p in pieces]
-        lowered = [t.lower() for t in texts]
-        # A piece of ASCII letters, perhaps with one mark after them, is one run or two.
-        plain = [t if t.isascii() and t.isalpha() else t[:-1] if t.isascii() and t[:-1].isalpha() else "" for t in lowered]
-        if len(self.known) > 400_000:
-            self.known.clear()
-        fresh = list({r for p, t in zip(plain, lowered, strict=True) if p for r in (p, t[len(p) :]) if r and r not in self.known})
-        for at in range(0, len(fresh), 2000):
-            self._runs(fresh[at : at + 2000])
-        rest = [t for p, t in zip(plain, texts, strict=True) if not p]
-        others = iter(self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)) if rest else iter(())
-        out = []
-        for p, t in zip(plain, lowered, strict=True):
-            if not p:
-                out.append(next(others).ids)
-            elif len(p) == len(t):
-                out.append(self.known[p])
-            else:
-                out.append(self.known[p] + self.known[t[len(p) :]])
-        return out
+        plain = [t.isascii() and t.isalpha() for t in texts]
+        runs = [t for t, p in zip(texts, plain, strict=True) if p]
+        of_runs = (ids for at in range(0, len(runs), 2000) for ids in self._runs(runs[at : at + 2000]))
+        rest = [t for t, p in zip(texts, plain, strict=True) if not p]
+        of_rest = (e.ids for e in (self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else ()))
+        return [next(of_runs) if p else next(of_rest) for p in plain]
+
+
+class TextIds:
+    """Ids of whole texts, by pieces wherever no special token can be."""
+
+    def __init__(self, path: str) -> None:
+        self.encoder = Encoder(path)
+        self.pieces = PieceIds(self.encoder, with_space=False, lower=True)
+        self.special = [t.content.encode()[:2] for t in self.encoder.tokenizer.get_added_tokens_decoder().values()]
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's ids begin."""
+        ids, bounds = self.pieces(texts)
+        odd = sorted({i for lead in self.special for i in words.texts_with(texts, lead)})
+        if odd:  # special tokens are matched before the text becomes lower case
+            whole = self.encoder.tokenizer.encode_batch_fast(texts.take(pa.array(odd)).to_pylist(), add_special_tokens=False)
+            each = np.split(ids, bounds[1:-1])
+            for i, encoding in zip(odd, whole, strict=True):
+                each[i] = np.array(encoding.ids, np.uint32)
+            ids, bounds = np.concatenate(each), np.r_[0, np.cumsum([len(x) for x in each])]
+        return ids, bounds
+
+
+_encoders: dict[str, TextIds] = {}
+
+
+def text_ids(path: str) -> TextIds:
+    """One encoder per worker process, which Spark uses for many tasks."""
+    if path not in _encoders:
+        _encoders[path] = TextIds(path)
+    return _encoders[path]
 
 
 def _encoded(path: str, end_id: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = PieceIds(Encoder(path), with_space=False)
+        ids_of = text_ids(path)
         for batch in batches:
             texts = words.texts_of(batch.column("text"))
             for lo, hi in words.slices(texts):

@@ -33,6 +33,13 @@ WORD_CHARS = byte_table("0123456789abcdefghijklmnopqrstuvwxyz")
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_MARK = np.zeros(256, bool)
+_MARK[33:127] = True
+_MARK[48:58] = False
+_MARK &= ~_LETTER
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit values; one to one."""
@@ -121,8 +128,20 @@ def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def split(texts: pa.Array, inside: np.ndarray, lower: bool = True) -> Words:
-    """Maximal runs of bytes that ``inside`` marks; no word spans two texts."""
+def texts_with(texts: pa.Array, sign: bytes) -> list[int]:
+    """Texts that hold ``sign``, two bytes or more."""
+    data, offsets = raw_bytes(texts)
+    at = np.flatnonzero((data[:-1] == sign[0]) & (data[1:] == sign[1]))
+    at = at[[data[i : i + len(sign)].tobytes() == sign for i in at.tolist()]] if len(sign) > 2 and len(at) else at
+    inside = np.searchsorted(offsets, at, side="right") - 1
+    return np.unique(inside[at + len(sign) <= offsets[inside + 1]]).tolist()
+
+
+def split(texts: pa.Array, inside: np.ndarray, lower: bool = True, cut: bool = False) -> Words:
+    """Maximal runs of bytes that ``inside`` marks; no word spans two texts.
+
+    With ``cut``, runs also end between an ASCII letter and an ASCII mark after it.
+    """
     data, offsets = raw_bytes(texts)
     if lower:
         data = LOWER[data]
@@ -135,5 +154,9 @@ def split(texts: pa.Array, inside: np.ndarray, lower: bool = True) -> Words:
         begins[cuts] = mask[cuts]
         ends[:-1] &= ~mask[1:]
         ends[cuts - 1] = mask[cuts - 1]
+        if cut:
+            at = np.flatnonzero(_LETTER[data[:-1]] & _MARK[data[1:]])
+            ends[at] = True
+            begins[at + 1] = True
     starts = np.flatnonzero(begins)
     return Words(data, starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, offsets), offsets)
