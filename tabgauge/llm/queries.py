@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, token_output, url_lists, warc
+from . import bpe, decontaminate, quality, token_output, url_lists, warc
 
 _MODULES = {
+    "op5_quality_rules": quality,
     "op10_url_filters": url_lists,
     "op2_warc": warc,
     "op3_bpe_encoding_decoding": bpe,
