@@ -28,8 +28,7 @@ class PieceIds:
         self._clear()
 
     def _clear(self) -> None:
-        # Sorted hashes of the pieces, and where each piece stands in the arrays below.
-        self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.known = words.Known()
         self.count = self.used = 0
         self.first, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
         self.ids = np.zeros(1 << 16, np.uint32)
@@ -50,29 +49,15 @@ class PieceIds:
         self.used += total
         return places
 
-    def _places(self, found: words.Words, distinct: np.ndarray, at: np.ndarray) -> np.ndarray:
-        if self.count > self.remembered:
-            self._clear()
-        where = np.searchsorted(self.keys, distinct)
-        old = np.zeros(len(distinct), bool)
-        if len(self.keys):
-            old = self.keys[np.minimum(where, len(self.keys) - 1)] == distinct
-        out = np.empty(len(distinct), np.int64)
-        out[old] = self.place[where[old]]
-        if not old.all():
-            new = ~old
-            out[new] = self._add(self.encode([found.word(i) for i in at[new].tolist()]))
-            self.keys = np.insert(self.keys, where[new], distinct[new])
-            self.place = np.insert(self.place, where[new], out[new])
-        return out
-
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's ids begin."""
         found = words.split(texts, words.NOT_SPACE, lower=self.lower, cut=True)
         if self.with_space:
             found = _with_space(found)
         distinct, at, back = np.unique(found.hashes(), return_index=True, return_inverse=True)
-        places = self._places(found, distinct, at)[back]
+        if self.count > self.remembered:
+            self._clear()
+        places = self.known.places(distinct, lambda new: self._add(self.encode([found.word(i) for i in at[new].tolist()])))[back]
         size, first = self.size[places].astype(np.int64), self.first[places]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -93,6 +93,30 @@ class Words:
         return np.diff(self.bounds)
 
 
+class Known:
+    """Places by hash, as two sorted arrays; 16 bytes each."""
+
+    def __init__(self) -> None:
+        self.keys, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def places(self, distinct: np.ndarray, add: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """Places of sorted distinct hashes. ``add`` takes a mask of the new ones and gives their places."""
+        where = np.searchsorted(self.keys, distinct)
+        old = np.zeros(len(distinct), bool)
+        if len(self.keys):
+            old = self.keys[np.minimum(where, len(self.keys) - 1)] == distinct
+        out = np.empty(len(distinct), np.int64)
+        out[old] = self.at[where[old]]
+        if not old.all():
+            out[~old] = add(~old)
+            self.keys = np.insert(self.keys, where[~old], distinct[~old])
+            self.at = np.insert(self.at, where[~old], out[~old])
+        return out
+
+
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about ``limit`` bytes each, one row at least."""
     offsets = _offsets(texts)
