@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, quality, token_output, toxicity, url_lists, warc
+from . import bpe, decontaminate, near_duplicates, quality, token_output, toxicity, url_lists, warc
 
 _MODULES = {
+    "op1_ngram_jaccard_join": near_duplicates,
     "op8_toxicity": toxicity,
     "op5_quality_rules": quality,
     "op10_url_filters": url_lists,
