@@ -380,8 +380,8 @@ s as (
   select distinct doc_id, array_to_string(list_slice(w, i, i + {SHINGLE} - 1), ' ') as g
   from d, unnest(range(1, greatest(len(w) - {SHINGLE} + 1, 1) + 1)) as t(i) where len(w) > 0),
 n as (select doc_id, count(*) as n from s group by doc_id),
-both as (select a.doc_id as a, b.doc_id as b, count(*) as m from s a join s b using (g) where a.doc_id <> b.doc_id group by all),
-linked as (select a, b from both join n x on x.doc_id = a join n y on y.doc_id = b where 5 * m >= 4 * (x.n + y.n - m)),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as m from s a join s b using (g) where a.doc_id <> b.doc_id group by all),
+linked as (select a, b from pairs join n x on x.doc_id = a join n y on y.doc_id = b where 5 * m >= 4 * (x.n + y.n - m)),
 reach as (select doc_id as node, doc_id as near from documents union select node, b from reach join linked on near = a),
 class as (select node, min(near) as class_id from reach group by node),
 degree as (select a, count(*) as n from linked group by a)

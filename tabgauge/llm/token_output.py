@@ -13,7 +13,7 @@ The vocabulary drops white space and none of its patterns crosses any, so the id
 text are those of its pieces.
 
 Defined results: a null text is empty and holds the end id alone; null document ids come
-first; equal document ids are ordered by text; other columns are not written.
+first; equal document ids are ordered by a hash of their text; other columns are not written.
 """
 
 from __future__ import annotations
@@ -142,9 +142,11 @@ def write(
     """Write ``part, place, doc_id, ids`` to ``folder``; ``part`` and ``place`` give the order of all rows."""
     read = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # The ids of the parts follow the ranges, and the rows of a part follow each other.
+    # What Spark samples to find the ranges holds a hash of the text, not the text.
+    order = ("doc_id", F.xxhash64("text"))
     placed = (
-        read.repartitionByRange("doc_id", "text")
-        .sortWithinPartitions("doc_id", "text")
+        read.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
         .select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place"), "doc_id", "text")
     )
     kind = dict(read.dtypes)["doc_id"]
