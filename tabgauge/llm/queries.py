@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language_model, near_duplicates, quality, token_output, toxicity, url_lists, warc
+from . import bpe, decontaminate, language_model, near_duplicates, quality, secret_scan, token_output, toxicity, url_lists, warc
 
 _MODULES = {
+    "op6_secret_scans": secret_scan,
     "op4_lm_scoring": language_model,
     "op1_ngram_jaccard_join": near_duplicates,
     "op8_toxicity": toxicity,
