@@ -20,7 +20,6 @@ Without items nothing is hit. Columns of the documents other than those read are
 
 from __future__ import annotations
 
-import hashlib
 import pickle
 from collections import OrderedDict
 from collections.abc import Iterator
@@ -160,19 +159,20 @@ def matches(
     ``max_coverage``; the text as it is where nothing is hit).
     """
     keep = [c for c in documents.columns if c != text_col] if keep is None else keep
+    found = _scanned(documents, benchmark, text_col, item_id_col, item_text_col, window, max_coverage, keep, block_words)
+    # A kept column with the name of a result gives way.
+    kept = [F.col(f"row_.c{i}").alias(c) for i, c in enumerate(keep) if c not in _FIELDS]
+    return found.select(*kept, *[F.col(f"found_.{c}").alias(c) for c in _FIELDS])
+
+
+def _scanned(documents, benchmark, text_col, item_id_col, item_text_col, window, max_coverage, keep, block_words) -> DataFrame:
+    """``row_``, a struct of the kept columns, and ``found_``, a struct of the results."""
     automata = _automata(benchmark, item_id_col, item_text_col, window, block_words)
-    schema = ", ".join(
-        (
-            "source_row struct<" + ", ".join(f"`{c}`: {t}" for c, t in documents.select(*keep).dtypes) + ">" if keep else "source_row struct<none: int>",
-            "n_words bigint",
-            "n_hit bigint",
-            "n_items bigint",
-            "items array<string>",
-            "longest_match bigint",
-            "spans array<struct<start: bigint, end: bigint>>",
-            "coverage double",
-            "clean_text string",
-        )
+    kinds = dict(documents.dtypes)
+    inner = ", ".join(f"c{i}: {kinds[c]}" for i, c in enumerate(keep)) or "none: int"
+    results = (
+        "n_words: bigint, n_hit: bigint, n_items: bigint, items: array<string>, longest_match: bigint, "
+        "spans: array<struct<start: bigint, end: bigint>>, coverage: double, clean_text: string"
     )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,12 +180,12 @@ def matches(
             texts = words.texts_of(batch.column("text_"))
             for lo, hi in words.slices(texts):
                 part = _scan_slice(texts.slice(lo, hi - lo), automata, max_coverage)
-                kept = batch.column("source_row").slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([kept, *part], names=["source_row", *_FIELDS])
+                made = pa.StructArray.from_arrays(part, names=list(_FIELDS))
+                yield pa.RecordBatch.from_arrays([batch.column("row_").slice(lo, hi - lo), made], names=["row_", "found_"])
 
-    row = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(0).alias("none"))
-    read = documents.select(row.alias("source_row"), F.col(text_col).cast("string").alias("text_"))
-    return read.mapInArrow(scan, schema).select(*([F.col("source_row")["`" + c + "`"].alias(c) if "." in c else F.col("source_row").getField(c).alias(c) for c in keep]), *_FIELDS)
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]) if keep else F.struct(F.lit(0).alias("none"))
+    read = documents.select(row.alias("row_"), F.col(f"`{text_col}`").cast("string").alias("text_"))
+    return read.mapInArrow(scan, f"row_ struct<{inner}>, found_ struct<{results}>")
 
 
 _FIELDS = ("n_words", "n_hit", "n_items", "items", "longest_match", "spans", "coverage", "clean_text")
@@ -236,10 +236,6 @@ def _scan_slice(texts: pa.Array, automata: list[str], max_coverage: float) -> li
     ]
 
 
-def items_digest(names) -> str:
-    return hashlib.sha256(",".join(names).encode()).hexdigest()
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     """Every document of ``documents`` against all of ``benchmark``."""
     found = matches(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "benchmark"), keep=["doc_id"])
@@ -259,14 +255,14 @@ def clean(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows keep their columns and order of columns; ``n_chars`` follows the text.
     """
-    found = matches(docs, shared.table(spark, sf_dir, "benchmark"), keep=docs.columns)
-    changed = F.col("n_hit") > 0
-    out = found.filter(~changed | F.col("clean_text").isNotNull())
-    values = {"text": F.when(changed, F.col("clean_text")).otherwise(F.col("text"))}
-    if "n_chars" in docs.columns:
-        kind = dict(docs.dtypes)["n_chars"]
-        values["n_chars"] = F.when(changed, F.char_length("clean_text").cast(kind)).otherwise(F.col("n_chars"))
-    return out.select(*[values[c].alias(c) if c in values else F.col(f"`{c}`") for c in docs.columns])
+    benchmark = shared.table(spark, sf_dir, "benchmark")
+    found = _scanned(docs, benchmark, "text", "item_id", "text", WINDOW, MAX_COVERAGE, docs.columns, BLOCK_WORDS)
+    changed, text = F.col("found_.n_hit") > 0, F.col("found_.clean_text")
+    own = {c: F.col(f"row_.c{i}") for i, c in enumerate(docs.columns)}
+    values = {"text": F.when(changed, text).otherwise(own["text"])}
+    if "n_chars" in own:
+        values["n_chars"] = F.when(changed, F.char_length(text).cast(dict(docs.dtypes)["n_chars"])).otherwise(own["n_chars"])
+    return found.filter(~changed | text.isNotNull()).select(*[values.get(c, own[c]).alias(c) for c in docs.columns])
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

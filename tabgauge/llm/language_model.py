@@ -459,7 +459,8 @@ def score(documents: DataFrame, spec: dict, keep: list[str], text_col: str = "te
     row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)])
     read = documents.select(row.alias("row_"), F.col(f"`{text_col}`").cast("string").alias("text_"))
     found = read.mapInArrow(run, f"row_ struct<{inner}>, n_tokens bigint, n_known bigint, base_score double, score double")
-    return found.select(*[F.col(f"row_.c{i}").alias(c) for i, c in enumerate(keep)], *names)
+    # A kept column with the name of a result gives way.
+    return found.select(*[F.col(f"row_.c{i}").alias(c) for i, c in enumerate(keep) if c not in names], *names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
