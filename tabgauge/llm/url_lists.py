@@ -76,6 +76,12 @@ def _level(lo: Column, hi: Column, size: int, above: int | None) -> tuple[Column
     return own, F.when(none, lo).otherwise(up), F.when(none, lo).otherwise(down)
 
 
+def _whole(size: int):
+    """A bucket that an interval covers from end to end."""
+    none = F.lit(None).cast("bigint")
+    return lambda b: F.struct(F.lit(size).alias("size"), b.cast("bigint").alias("bucket"), none.alias("from_s"), none.alias("to_s"))
+
+
 def bucketed(found: DataFrame, last_day: int) -> DataFrame:
     """Intervals with the buckets they take: ``size, bucket`` and the times to compare, null where the bucket is covered."""
     first = F.floor(F.col("since") / DAY)
@@ -85,10 +91,7 @@ def bucketed(found: DataFrame, last_day: int) -> DataFrame:
     arrays = [F.array_distinct(F.array(*ends))]
     for size, above in zip(SIZES, (*SIZES[1:], None), strict=True):
         own, lo, hi = _level(lo, hi, size, above)
-        whole = lambda b, size=size: F.struct(
-            F.lit(size).alias("size"), b.cast("bigint").alias("bucket"), F.lit(None).cast("bigint").alias("from_s"), F.lit(None).cast("bigint").alias("to_s")
-        )
-        arrays.append(F.transform(own, whole))
+        arrays.append(F.transform(own, _whole(size)))
     return found.filter(first <= last).select("list", "scope", "pattern", F.explode(F.concat(*arrays)).alias("b")).select("list", "scope", "pattern", "b.*")
 
 
