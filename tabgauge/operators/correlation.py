@@ -2,27 +2,23 @@
 
 from __future__ import annotations
 
+import math
 import warnings
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from tabgauge.functions import dtypes
-from tabgauge.functions.frames import (
-    MAX_SUMS_PER_AGGREGATE,
-    small_frame,
-    sql_text,
-    union_all,
-)
-from tabgauge.operators.stats import basic_summary, deviation, unit_scale
+from tabgauge.functions.frames import small_frame
+from tabgauge.functions.values import number
+from tabgauge.operators.comoments import correlations
+from tabgauge.operators.stats import basic_summary
 
 # Fixed value: absolute correlation from which a pair counts as strong.
 STRONG_CORRELATION = 0.8
 
 PEARSON_SCHEMA = "col_1 string, col_2 string, pos_1 int, pos_2 int, r double"
-TILE = 8  # columns per side of a block of pairs
-PAIRWISE_SUMS = 10
 
 
 def pearson_long(
@@ -45,103 +41,53 @@ def pearson_long(
 def pearson_around(
     df: DataFrame, names: Sequence[str], basics: Mapping[str, Row], missing: str
 ) -> DataFrame:
-    """The matrix, given the means of the columns: one scan per block of pairs.
+    """The matrix, given the ranges of the columns: one scan for any number of them.
 
-    Up to about a dozen columns fit one block. Columns without missing values
-    need one sum per pair, since their own sums are shared.
+    Each pair has its own means over its own rows, so a far value in a row that
+    the pair leaves out does not touch it.
     """
     if missing not in ("pairwise", "propagate"):
         raise ValueError(f"missing must be 'pairwise' or 'propagate', not '{missing}'.")
-    scales = {name: unit_scale(basics[name]) for name in names}
-    varied = [n for n in names if scales[n] is not None and scales[n] == scales[n]]
-    gaps = {n for n in names if basics[n]["missing_count"] > 0}
+    values = df.selectExpr(
+        *(f"{number(n, df.schema[n].dataType)} as x{i}" for i, n in enumerate(names))
+    )
+    rated = correlations(values, [_power_of_two(basics[n]) for n in names])
     if missing == "propagate":
-        varied = [n for n in varied if n not in gaps]
-    place = {name: i for i, name in enumerate(names)}
-    known = [
-        (a, b, place[a], place[b], 1.0 if a == b and a in varied else float("nan"))
-        for a in names
-        for b in names
-        if a == b or a not in varied or b not in varied
-    ]
-    parts = [small_frame(df, known, PEARSON_SCHEMA)]
-    for pairs in _blocks(varied, gaps):
-        used = dict.fromkeys(name for pair in pairs for name in pair)
-        deviations = df.selectExpr(
-            *(
-                f"{deviation(df, n, basics[n]['mean'], scales[n])} as d{place[n]}"
-                for n in used
-            )
-        )
-        cells = [_pair_sql(place, a, b, bool({a, b} & gaps)) for a, b in pairs]
-        sums = deviations.selectExpr(f"array({', '.join(cells)}) as pairs")
-        parts.append(_both_ways(sums.selectExpr("inline(pairs)")))
-    return union_all(parts)
-
-
-def _pair_sql(place: Mapping[str, int], one: str, two: str, masked: bool) -> str:
-    """SQL for the sums of a pair over the rows where both values are present."""
-    a, b = f"d{place[one]}", f"d{place[two]}"
-    varied, n = "true", "count(1)"
-    if masked:
-        a, b = f"if({b} is null, null, {a})", f"if({a} is null, null, {b})"
-        varied = f"min({a}) < max({a}) and min({b}) < max({b})"
-        n = f"count({a})"
-    return (
-        f"named_struct('col_1', {sql_text(one)}, 'col_2', {sql_text(two)}, "
-        f"'pos_1', {place[one]}, 'pos_2', {place[two]}, "
-        f"'n', double({n}), 'a', sum({a}), 'b', sum({b}), 'aa', sum({a} * {a}), "
-        f"'bb', sum({b} * {b}), 'ab', sum({a} * {b}), 'varied', {varied})"
+        gaps = [i for i, n in enumerate(names) if basics[n]["missing_count"] > 0]
+        hit = F.col("pos_1").isin(gaps) | F.col("pos_2").isin(gaps)
+        rated = rated.withColumn("r", F.when(hit, float("nan")).otherwise(F.col("r")))
+    ordered = F.array(
+        F.struct("pos_1", "pos_2"),
+        F.struct(F.col("pos_2").alias("pos_1"), F.col("pos_1").alias("pos_2")),
+    )
+    both = rated.select(F.explode(F.array_distinct(ordered)).alias("pair"), "r")
+    if not any(basics[n]["row_count"] for n in names):
+        both = _without_rows(df, len(names))
+    listed = F.array(*map(F.lit, names))
+    return both.select(
+        F.element_at(listed, F.col("pair.pos_1") + 1).alias("col_1"),
+        F.element_at(listed, F.col("pair.pos_2") + 1).alias("col_2"),
+        "pair.pos_1",
+        "pair.pos_2",
+        "r",
     )
 
 
-def _both_ways(sums: DataFrame) -> DataFrame:
-    """Correlation out of the sums of each pair, listed in both directions."""
-    shared = F.expr("ab - a * b / n")
-    spread = F.expr("sqrt((aa - a * a / n) * (bb - b * b / n))")
-    rated = sums.select(
-        "*", F.when(F.col("varied"), F.try_divide(shared, spread)).alias("ratio")
-    )
-    # least() skips nulls and holds NaN to be the greatest, so neither may reach it.
-    r = F.when(
-        F.col("ratio").isNotNull() & ~F.isnan("ratio"),
-        F.greatest(F.least("ratio", F.lit(1.0)), F.lit(-1.0)),
-    ).otherwise(F.lit(float("nan")))
-
-    def way(one: str, two: str) -> Column:
-        return F.struct(
-            F.col(f"col_{one}").alias("col_1"),
-            F.col(f"col_{two}").alias("col_2"),
-            F.col(f"pos_{one}").alias("pos_1"),
-            F.col(f"pos_{two}").alias("pos_2"),
-            F.col("r"),
-        )
+def _power_of_two(basic: Row) -> float:
+    """A factor that brings the largest value near 1; 1 where there is no finite range."""
+    ends = [abs(v) for v in (basic["min"], basic["max"]) if v is not None and math.isfinite(v)]
+    exponent = math.frexp(max(ends, default=1.0) or 1.0)[1]
+    return 2.0 ** -min(max(exponent, -1000), 1000)
 
-    pairs = rated.withColumn("r", r)
-    return pairs.select(F.inline(F.array(way("1", "2"), way("2", "1"))))
-
-
-def _blocks(names: Sequence[str], gaps: set[str]) -> Iterator[list[tuple[str, str]]]:
-    """Unordered pairs in groups that fit one aggregate and share columns."""
-    tiles = [names[i : i + TILE] for i in range(0, len(names), TILE)]
-    if len(names) * (len(names) + 3) // 2 <= MAX_SUMS_PER_AGGREGATE and not gaps:
-        tiles = [names]
-    for first, rows in enumerate(tiles):
-        for tile in tiles[first:]:
-            pairs = [
-                (a, b)
-                for i, a in enumerate(rows)
-                for b in (rows[i + 1 :] if tile is rows else tile)
-            ]
-            block, cost = [], 0
-            for a, b in pairs:
-                block.append((a, b))
-                cost += PAIRWISE_SUMS if {a, b} & gaps else 1
-                if cost >= MAX_SUMS_PER_AGGREGATE:
-                    yield block
-                    block, cost = [], 0
-            if block:
-                yield block
+
+def _without_rows(df: DataFrame, n: int) -> DataFrame:
+    """NaN for every pair of a table without rows."""
+    pairs = df.sparkSession.range(n * n)
+    place = F.struct(
+        F.floor(F.col("id") / n).cast("int").alias("pos_1"),
+        (F.col("id") % n).cast("int").alias("pos_2"),
+    )
+    return pairs.select(place.alias("pair"), F.lit(float("nan")).alias("r"))
 
 
 def pearson_wide(long: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import tabgauge as tg
-from tabgauge.operators import correlation
+from tabgauge.operators import comoments
 
 
 def matrix(df):
@@ -43,9 +43,8 @@ def test_no_numeric_column(spark):
     assert "No correlation matrix available." in info
 
 
-def test_many_columns_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(correlation, "TILE", 3)
-    monkeypatch.setattr(correlation, "MAX_SUMS_PER_AGGREGATE", 5)
+def test_many_columns_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(comoments, "TILE", 3)
     generator = np.random.default_rng(2)
     data = generator.normal(size=(200, 7)) @ generator.normal(size=(7, 7)) * 1e3 + 1e5
     df = spark.createDataFrame(data.tolist(), ", ".join(f"c{i} double" for i in range(7)))
@@ -79,3 +78,36 @@ def test_wide_and_strong(spark):
     assert [r["index"] for r in wide.collect()] == ["a", "b", "c", "d"]
     strong = tg.strong_correlations(long).collect()
     assert [(r["col_1"], r["col_2"]) for r in strong] == [("a", "b"), ("a", "c"), ("b", "c")]
+
+
+@pytest.mark.parametrize("far", [1e12, 1e18, 1e100])
+def test_a_far_value_outside_the_rows_of_a_pair(spark, far):
+    df = spark.range(1000).selectExpr(
+        "if(id = 999, null, double(id)) as a", f"if(id = 999, {far}D, id * 2D) as b", "pmod(hash(id), 1000) as c"
+    )
+    found = matrix(tg.pearson_long(df))
+    assert found["a", "b"] == pytest.approx(1.0, abs=1e-12)
+    rows = df.filter("a is not null")
+    assert found["a", "c"] == pytest.approx(rows.selectExpr("corr(a, c)").first()[0], abs=1e-9)
+    assert found["b", "c"] == pytest.approx(df.selectExpr("corr(b, c)").first()[0], abs=1e-9)
+
+
+def test_infinities_touch_only_pairs_that_hold_them(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([(1.0, 2.0, None), (2.0, inf, 1.0), (4.0, 5.0, 3.0), (3.0, 1.0, 9.0)], "a double, b double, c double")
+    found = matrix(tg.pearson_long(df))
+    assert math.isnan(found["a", "b"]) and math.isnan(found["b", "b"])
+    assert found["a", "c"] == pytest.approx(np.corrcoef([2, 4, 3], [1, 3, 9])[0, 1])
+
+
+@pytest.mark.parametrize("columns", [12, 100])
+def test_one_scan_for_any_number_of_columns(spark, columns):
+    df = spark.range(50).selectExpr(*(f"if(id % {i + 3} = 0, null, double(hash(id, {i}))) as c{i}" for i in range(columns)))
+    long = tg.pearson_long(df)
+    plan = long._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (") == 1
+    found = matrix(long)
+    data = np.array([[np.nan if v is None else v for v in row] for row in df.collect()])
+    for i, j in ((0, 1), (3, 11), (0, columns - 1)):
+        rows = ~np.isnan(data[:, i]) & ~np.isnan(data[:, j])
+        assert found[f"c{i}", f"c{j}"] == pytest.approx(np.corrcoef(data[rows, i], data[rows, j])[0, 1], abs=1e-9)
