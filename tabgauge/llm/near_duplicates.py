@@ -33,7 +33,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import shared, words
@@ -276,9 +276,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def resolve(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Rows and texts. Rows: ``id_, key`` (null without shingles). Texts: ``key, class_id, n_links, copies, own_id, n_own``.
+    """Rows and texts. Rows: ``id_, key`` (null without shingles). Texts: ``key, class_id, n_links, copies, own_id``.
 
-    ``own_id`` is the smallest id of a text's rows, ``n_own`` how many of them bear it.
+    ``own_id`` is the smallest id of a text's rows.
     """
     read = documents.select(F.col(f"`{id_col}`").alias("id_"), F.col(f"`{text_col}`").cast("string").alias("text_"))
     kind = dict(read.dtypes)["id_"]
@@ -286,29 +286,32 @@ def resolve(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     measured = shared.written(read.mapInArrow(_measure(prefix_length()), schema), "signatures")
     rows = measured.select("id_", "key")
 
-    full = measured.filter("key is not null")
-    per_id = full.groupBy("key", "id_").agg(F.count("*").alias("c"), F.first("n").alias("n"))
-    counted = per_id.groupBy("key").agg(F.sum("c").alias("copies"), F.min(F.struct(F.col("id_").isNull(), "id_", "c")).alias("best"), F.first("n").alias("n"))
-    texts = shared.written(counted.select("key", "copies", "n", F.col("best.id_").alias("own_id"), F.col("best.c").alias("n_own")), "texts")
-
-    # Copies of a text share all its buckets, so each is named once per text and tree.
-    bucketed = full.select("key", F.explode("prefix").alias("bucket")).distinct()
-    crowded = bucketed.groupBy("bucket").agg(F.count("*").alias("texts_")).filter("texts_ > 1")
-    met = shared.written(bucketed.join(crowded, "bucket"), "buckets")
-    sketches = shared.written(
-        full.join(met.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("sketch").alias("sketch")), "sketches"
+    # Copies of a text have one row from here on; they were counted per task before they met.
+    least_id = F.min(F.struct(F.col("id_").isNull(), "id_"))["id_"]
+    texts = shared.written(
+        measured.filter("key is not null")
+        .groupBy("key")
+        .agg(F.count("*").alias("copies"), least_id.alias("own_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")),
+        "texts",
     )
+    # A bucket belongs to one tree, so the largest has a thirty-second of these rows at most.
+    bucketed = texts.select("key", F.explode("prefix").alias("bucket"))
+    size = F.count("*").over(Window.partitionBy("bucket"))
+    met = shared.written(bucketed.withColumn("texts_", size).filter("texts_ > 1"), "buckets")
+    sketches = texts.join(met.select("key").distinct(), "key", "left_semi").select("key", "sketch")
     least = int(np.floor(TREES * DEPTH * max(0.0, THRESHOLD - SKETCH_SLACK * (THRESHOLD * (1 - THRESHOLD) / (TREES * DEPTH)) ** 0.5)))
     split = _dealt(met, "bucket", F.ceil(F.col("texts_") / GROUP).cast("int")).join(sketches, "key")
     order = ("bucket", "first", "second")
     pairs = split.select(*order, "key", "sketch").repartition(*order).sortWithinPartitions(*order, "key").mapInArrow(_candidates(least), "a binary, b binary")
     family = components(pairs.distinct())
 
-    member = family.select(F.col("node").alias("key"), F.col("component").alias("family")).join(texts, "key")
+    plain = texts.select("key", "copies", "own_id", "n")
+    member = family.select(F.col("node").alias("key"), F.col("component").alias("family")).join(plain, "key")
     size = member.groupBy("family").agg(F.count("*").alias("texts_"), F.sum("n").alias("shingles_"))
     wanted = shared.written(member.join(size, "family"), "families")
-    # The text of one row of each: found by id, checked by key in the task.
-    source = read.join(wanted.withColumnRenamed("own_id", "w_id"), F.col("id_").eqNullSafe(F.col("w_id"))).select("key", "family", "copies", "texts_", "shingles_", "text_")
+    # The text of one row of each: found by id, checked by key in the task. The texts meet by
+    # a sort-merge join at any size, for what is wanted of them grows with the corpus.
+    source = read.hint("merge").join(wanted.withColumnRenamed("own_id", "w_id"), F.col("id_").eqNullSafe(F.col("w_id"))).select("key", "family", "copies", "texts_", "shingles_", "text_")
     own = source.mapInArrow(_sets, "key binary, family binary, copies bigint, texts_ bigint, shingles_ bigint, set binary")
     own = shared.written(own.dropDuplicates(["key"]), "sets")
     blocks = F.greatest(F.ceil(F.col("texts_") / BLOCK_TEXTS), F.ceil(F.col("shingles_") / BLOCK_SHINGLES)).cast("int")
@@ -319,7 +322,7 @@ def resolve(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     counts = found.groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
     classes = components(found.filter("b is not null").select("a", "b")).withColumnRenamed("node", "key")
-    joined = shared.written(texts.join(classes, "key", "left").join(counts, "key", "left"), "joined")
+    joined = shared.written(plain.join(classes, "key", "left").join(counts, "key", "left"), "joined")
     least_id = joined.filter("component is not null").groupBy("component").agg(F.min("own_id").alias("class_id"))
     done = joined.join(shared.written(least_id, "class-ids"), "component", "left").select(
         "key",
@@ -327,7 +330,6 @@ def resolve(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         "copies",
         "own_id",
-        "n_own",
     )
     return rows, shared.written(done, "classes")
 
@@ -357,15 +359,18 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each class the row with the smallest id stays; rows without shingles all do."""
-    _, texts = resolve(docs)
+    rows, texts = resolve(docs)
     # The text of a class that bears its smallest id; of several, the first by key.
     best = texts.groupBy("class_id").agg(F.min(F.struct(F.col("own_id").isNull(), "own_id", "key")).alias("best"))
-    chosen = shared.written(texts.join(best.select(F.col("best.key").alias("key")), "key", "left_semi").select("key", "own_id", "n_own"), "chosen")
+    again = rows.filter("key is not null").groupBy("key", "id_").agg(F.count("*").alias("n_own")).filter("n_own > 1")
+    found = texts.join(best.select(F.col("best.key").alias("key")), "key", "left_semi").select("key", "own_id").alias("t")
+    repeated = (F.col("t.key") == F.col("r.key")) & F.col("t.own_id").eqNullSafe(F.col("r.id_"))
+    chosen = shared.written(found.join(again.alias("r"), repeated, "left").select("t.key", "t.own_id", F.coalesce("r.n_own", F.lit(1)).alias("n_own")), "chosen")
     inner = ", ".join(f"c{i}: {t}" for i, (_, t) in enumerate(docs.dtypes))
     row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
     own = docs.select(row.alias("row_"), F.col("text").cast("string").alias("text_")).mapInArrow(_keyed, f"row_ struct<{inner}>, key binary")
     place = docs.columns.index("doc_id")
-    kept = own.join(chosen, "key").filter(F.col(f"row_.c{place}").eqNullSafe(F.col("own_id")))
+    kept = own.hint("merge").join(chosen, "key").filter(F.col(f"row_.c{place}").eqNullSafe(F.col("own_id")))
     # Rows that repeat both id and text: one of them. Others need no shuffle for it.
     out = kept.filter("n_own = 1").union(kept.filter("n_own > 1").dropDuplicates(["key"])).select("row_").union(own.filter("key is null").select("row_"))
     return out.select(*[F.col(f"row_.c{i}").alias(c) for i, c in enumerate(docs.columns)])
