@@ -252,7 +252,7 @@ def quality(source: str, columns: dict[str, str]) -> str:
 def bins(source: str, name: str, count: str = "10") -> str:
     """Right-closed bins between the finite ends; ``count`` is SQL over ``x``."""
     return f"""
-    select '{name}' as "column", cast(i as integer) as bin_idx,
+    select '{name}' as "column", cast(i as bigint) as bin_idx,
       '[' || case when i = 0 then '-inf' when i > k then printf('%.10f', hi)
                   else printf('%.10f', lo + (i - 1) * w) end || ',' ||
       case when i = 0 then printf('%.10f', lo) when i > k then 'inf'

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
@@ -28,7 +29,7 @@ FREEDMAN_DIACONIS = "freedman_diaconis"
 STURGES = "sturges"
 
 HISTOGRAM_SCHEMA = (
-    "column string, bin_idx int, lower double, upper double, bin_key string, n bigint"
+    "column string, bin_idx bigint, lower double, upper double, bin_key string, n bigint"
 )
 
 INFINITY = float("inf")
@@ -86,12 +87,13 @@ def finite_ranges(
     return ranges
 
 
-def freedman_diaconis(valid: int, iqr: float, spread: float) -> int:
-    """Bins from the interquartile range; 1 where that is zero."""
+def freedman_diaconis(valid: int, iqr: float, low: float, high: float) -> int:
+    """Bins from the interquartile range and the finite range; 1 where either is zero."""
     if valid <= 0 or not iqr > 0:
         return 1
-    bins = spread / (2 * iqr / valid ** (1 / 3))
-    return max(1, math.ceil(bins)) if math.isfinite(bins) else 1
+    width = 2 * iqr / valid ** (1 / 3)
+    # Two quotients, since the difference of the ends may exceed the doubles.
+    return max(1, math.ceil(high / width - low / width))
 
 
 def sturges(valid: int) -> int:
@@ -104,9 +106,10 @@ def bin_counts(
     names: Sequence[str],
     basics: Mapping[str, Row],
     rule: BinRule | None,
+    ranges: Mapping[str, tuple[float, float]],
     quartiles: Mapping[str, tuple[float, float]] | None = None,
 ) -> dict[str, int]:
-    """Bins of every column under a rule."""
+    """Bins of every column under a rule; ``ranges`` are the finite ones."""
     valid = {n: basics[n]["row_count"] - basics[n]["missing_count"] for n in names}
     if rule is None:
         return dict.fromkeys(names, DEFAULT_BINS)
@@ -116,10 +119,13 @@ def bin_counts(
         return dict.fromkeys(names, rule)
     if callable(rule):
         cells = [
-            rule(F.expr(number(n, df.schema[n].dataType))).cast("int") for n in names
+            rule(F.expr(number(n, df.schema[n].dataType))).cast("double") for n in names
         ]
         found = df.agg(F.array(*cells).alias("bins")).first()["bins"] if cells else []
-        return {n: max(1, k or 1) for n, k in zip(names, found, strict=True)}
+        for name, k in zip(names, found, strict=True):
+            if k is None or not k >= 1 or k != math.floor(k):
+                raise ValueError(f"The bin rule gives {k} bins for column '{name}'.")
+        return {n: int(k) for n, k in zip(names, found, strict=True)}
     if rule == STURGES:
         return {n: sturges(valid[n]) for n in names}
     if rule == FREEDMAN_DIACONIS:
@@ -127,9 +133,9 @@ def bin_counts(
             quartiles = nearest_quartiles(df, names, basics)
         return {
             n: freedman_diaconis(
-                valid[n],
+                valid[n] - basics[n]["inf_count"],
                 quartiles[n][1] - quartiles[n][0],
-                basics[n]["max"] - basics[n]["min"],
+                *ranges[n],
             )
             if n in quartiles
             else 1
@@ -181,7 +187,7 @@ def grids(
 ) -> list[Grid]:
     """Bins of the columns that have a finite value."""
     ranges = finite_ranges(df, names, basics)
-    counts = bin_counts(df, list(ranges), basics, rule, quartiles)
+    counts = bin_counts(df, list(ranges), basics, rule, ranges, quartiles)
     return [Grid(n, *ranges[n], counts[n]) for n in ranges]
 
 
@@ -193,7 +199,7 @@ def bin_sql(grid: Grid) -> str:
         place = f"({{value}} - {sql_double(grid.start)}) / {sql_double(grid.width)}"
         inner = f"least(greatest(ceil({place}), 1), {grid.bins})"
     return (
-        f"int(case when {{value}} = double('inf') then {grid.bins + 1} "
+        f"bigint(case when {{value}} = double('inf') then {grid.bins + 1} "
         f"when {{value}} = double('-inf') then 0 "
         f"when {{value}} is not null then {inner} end)"
     )
@@ -216,7 +222,7 @@ def histogram_on(df: DataFrame, found: Sequence[Grid]) -> DataFrame:
     edges = small_frame(
         df,
         [(i, g.name, g.bins, g.low, g.high, g.start, g.width) for i, g in enumerate(found)],
-        "id int, column string, bins int, low double, high double, start double, width double",
+        "id int, column string, bins bigint, low double, high double, start double, width double",
     )
     lower = (
         "case when bin_idx = 0 then double('-inf') when bin_idx > bins then high "
@@ -227,7 +233,8 @@ def histogram_on(df: DataFrame, found: Sequence[Grid]) -> DataFrame:
         "when bin_idx = bins and low < high then high else start + bin_idx * width end"
     )
     return (
-        edges.selectExpr("*", "explode(sequence(0, bins + 1)) as bin_idx")
+        _every_bin(df, [g.bins + 2 for g in found])
+        .join(F.broadcast(edges), "id")  # one row per column of the table
         .join(counts, ["id", "bin_idx"], "left")
         .selectExpr(
             "column",
@@ -247,6 +254,18 @@ def histogram_on(df: DataFrame, found: Sequence[Grid]) -> DataFrame:
     )
 
 
+def _every_bin(df: DataFrame, sizes: Sequence[int]) -> DataFrame:
+    """``id, bin_idx`` of all bins of all columns, made by as many tasks as they need."""
+    starts = [0, *itertools.accumulate(sizes)]
+    listed = F.array(*(F.lit(s).cast("bigint") for s in starts[:-1]))
+    place = F.size(F.filter(listed, lambda s: s <= F.col("n"))) - 1
+    tasks = max(1, -(-starts[-1] // 1_000_000))
+    numbers = df.sparkSession.range(0, starts[-1], 1, tasks).withColumnRenamed("id", "n")
+    return numbers.select(
+        place.alias("id"), (F.col("n") - F.element_at(listed, place + 1)).alias("bin_idx")
+    )
+
+
 def histogram_categorical(
     df: DataFrame, columns: Sequence[str] | None = None
 ) -> DataFrame:

@@ -163,6 +163,9 @@ def outliers_iqr_temporal(
     """Temporal values outside the quartile fences, and whether all are equal."""
     names = dtypes.select_by_type(df, *dtypes.TEMPORAL) if columns is None else columns
     dtypes.require_columns(df, names)
+    for name in names:
+        if name not in dtypes.select_by_type(df, *dtypes.TEMPORAL):
+            raise ValueError(f"Column '{name}' is not temporal.")
     basics = {row["column"]: row for row in basic_summary(df, names).collect()}
     quartiles = temporal_quartiles(df, basics, names)
     return outliers_fenced(df, names, basics, quartiles)
@@ -256,4 +259,4 @@ def data_quality(
         parts.append(
             small_frame(df, [(n, None, None, None) for n in unknown], QUALITY_SCHEMA)
         )
-    return union_all(parts)
+    return union_all(parts) if parts else small_frame(df, [], QUALITY_SCHEMA)

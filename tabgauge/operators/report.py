@@ -6,6 +6,8 @@ bin or per listed category of the table.
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from string import Formatter
 
 from pyspark.sql import DataFrame
@@ -138,13 +140,21 @@ def temporal_span_text(stats: DataFrame) -> DataFrame:
 
 
 def column_report(
-    columns: DataFrame, categories: DataFrame, histogram: DataFrame
+    columns: DataFrame,
+    categories: DataFrame,
+    histogram: DataFrame,
+    sections: Collection[str] | None = None,
 ) -> DataFrame:
     """``(column, info)``: what the profile says about each column.
 
     ``columns`` is a column profile, ``categories`` the listed categories
     (``top_categories``) and ``histogram`` the bins of the numeric columns.
+    With ``sections`` the lines about other parts of the profile are left out.
     """
+
+    def of(section: str, line: str) -> str:
+        return line if sections is None or section in sections else "string(null)"
+
     role = "case when is_target then ' (Target Variable)' when is_feature then ' (Feature)' else '' end"
     missing = write(
         "Missing values: {missing_count} ({percent}%)",
@@ -157,11 +167,11 @@ def column_report(
         "  \n",
         write("## Analysis of column: {column}"),
         write("**Type**: {type}{role}", role=role),
-        f"if(missing_rate > 0, {missing}, 'No missing values')",
-        f"if(is_categorical, {_category_section()}, null)",
-        f"if(is_numeric, {_numeric_section()}, null)",
-        f"if(is_numeric and not {shortened}, bin_table, null)",
-        f"if(is_temporal and {has_span}, {_temporal_section()}, null)",
+        of("missing", f"if(missing_rate > 0, {missing}, 'No missing values')"),
+        of("histogram", f"if(is_categorical, {_category_section()}, null)"),
+        of("numeric", f"if(is_numeric, {_numeric_section()}, null)"),
+        of("histogram", f"if(is_numeric and not {shortened}, bin_table, null)"),
+        of("temporal", f"if(is_temporal and {has_span}, {_temporal_section()}, null)"),
     )
     return (
         columns.join(category_lists(categories), "column", "left")
@@ -283,20 +293,28 @@ def correlation_text(correlation: DataFrame) -> DataFrame:
 
 
 def table_report(
-    table: DataFrame, columns: DataFrame, correlation: DataFrame
+    table: DataFrame,
+    columns: DataFrame,
+    correlation: DataFrame,
+    sections: Collection[str] | None = None,
 ) -> DataFrame:
     """``info``: shape, missing values, target, correlations and cardinality.
 
-    All inputs are profile frames, ``table`` with one row.
+    All inputs are profile frames, ``table`` with one row. With ``sections``
+    the paragraphs about other parts of the profile are left out.
     """
+
+    def of(section: str, part: str) -> str:
+        return part if sections is None or section in sections else "string(null)"
+
     target = target_summary(columns).selectExpr("max(summary) as target_summary")
     pairs = correlation_text(correlation)
     parts = [
         _shape_section(),
-        _missing_section(),
-        "target_summary",
-        "correlation_text",
-        _cardinality_section(),
+        of("missing", _missing_section()),
+        of("types", "target_summary"),
+        of("correlation", "correlation_text"),
+        of("types", _cardinality_section()),
     ]
     info = lines("\n\n", *(f"nullif({part}, '')" for part in parts))
     # Both texts are one value each, which Spark computes ahead as subqueries.

@@ -26,9 +26,13 @@ def resolve_type(
     df: DataFrame, name: str, declared: Mapping[str, str] | None = None
 ) -> str:
     """Type the caller declared for a column, else the one its schema implies."""
-    kind = (declared or {}).get(name) or dtypes.semantic_type(df.schema[name].dataType)
+    own = dtypes.semantic_type(df.schema[name].dataType)
+    kind = (declared or {}).get(name) or own
     if kind not in dtypes.SEMANTIC_TYPES:
         raise ValueError(f"Unknown semantic type '{kind}' for column '{name}'.")
+    for family, label in ((dtypes.NUMERIC, "numbers"), (dtypes.TEMPORAL, "times")):
+        if kind in family and own not in family:
+            raise ValueError(f"Column '{name}' holds no {label}, so it cannot be '{kind}'.")
     return kind
 
 

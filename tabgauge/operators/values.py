@@ -9,7 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabgauge.functions import dtypes, text
-from tabgauge.functions.frames import Cell, long_form, sql_text, union_all
+from tabgauge.functions.frames import (
+    Cell,
+    long_form,
+    small_frame,
+    sql_text,
+    union_all,
+)
 from tabgauge.functions.values import column, epoch
 
 # Fixed value: categories listed one by one in a report.
@@ -21,6 +27,9 @@ HIGH_CARDINALITY = 50
 # Longer texts are grouped by a digest of the whole text, so that the shuffle
 # moves 64 characters per distinct text instead of the text.
 DIGEST_ABOVE_BYTES = 64
+# Ranks up to which Spark limits a window in every task, and parts beyond that.
+GROUP_LIMIT = 1000
+PARTS = 256
 
 
 def _family(dtype: T.DataType) -> str:
@@ -70,6 +79,11 @@ def distinct_values(df: DataFrame, columns: Sequence[str]) -> list[tuple[str, Da
     ]
 
 
+CARDINALITY_SCHEMA = (
+    "column string, row_count bigint, cardinality bigint, unique_rate double, top_count bigint"
+)
+
+
 def cardinality(
     df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False
 ) -> DataFrame:
@@ -81,6 +95,8 @@ def cardinality(
     """
     columns = list(df.columns if columns is None else columns)
     dtypes.require_columns(df, columns)
+    if not columns:
+        return small_frame(df, [], CARDINALITY_SCHEMA)
     rows = df.agg(F.count(F.lit(1)).alias("row_count"))
     names = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(n).alias("column")) for i, n in enumerate(columns)])
     frame = rows.select(F.inline(names), "row_count")
@@ -122,6 +138,8 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     """
     columns = list(df.columns if columns is None else columns)
     dtypes.require_columns(df, columns)
+    if not columns:
+        return small_frame(df, [], "column string, value string, n bigint")
     groups: dict[T.DataType, list[str]] = {}
     for name in columns:
         groups.setdefault(_group_type(df.schema[name].dataType), []).append(name)
@@ -176,6 +194,15 @@ def top_categories(
     where they are known, which spares counting them.
     """
     by_count = Window.partitionBy("column").orderBy(F.desc("n"), "value")
+    if limit > GROUP_LIMIT:
+        # Beyond what Spark cuts off inside each task, a column's values would all meet
+        # in one. Parts of them are cut first; none of the first ``limit`` can be lost.
+        part = Window.partitionBy("column", F.pmod(F.hash("value"), F.lit(PARTS)))
+        ranked = counts.withColumn("rank", F.row_number().over(part.orderBy(F.desc("n"), "value")))
+        first = ranked.filter(F.col("rank") <= limit).drop("rank")
+        if sizes is None:
+            sizes = counts.groupBy("column").agg(F.count(F.lit(1)).alias("categories"))
+        counts = first
     top = counts.withColumn("rank", F.row_number().over(by_count)).filter(
         F.col("rank") <= limit
     )

@@ -57,9 +57,13 @@ class Facts:
         declared: Mapping[str, str] | None = None,
     ) -> None:
         dtypes.require_columns(df, columns)
+        dtypes.require_columns(df, declared or ())
         self.df = df
         self.columns = list(columns)
         self.kinds = {name: resolve_type(df, name, declared) for name in self.columns}
+        # Columns that each pass covers; a profile of some sections needs fewer.
+        self.summarised = list(self.columns)
+        self.counted = list(self.columns)
         self._brackets: list[Bracket] | None = None
 
     def of(self, *kinds: str) -> list[str]:
@@ -77,22 +81,24 @@ class Facts:
     @cached_property
     def basics(self) -> dict[str, Row]:
         """One scan: counts, ranges, means and text lengths."""
-        found = basic_summary(self.df, self.columns).collect()
+        found = basic_summary(self.df, self.summarised).collect()
         return {row["column"]: row for row in found}
 
     @cached_property
     def row_count(self) -> int:
-        if not self.columns:
+        if not self.summarised:
             return self.df.count()
-        return self.basics[self.columns[0]]["row_count"]
+        return self.basics[self.summarised[0]]["row_count"]
 
     def valid(self, name: str) -> int:
         """Rows with a value that is not missing."""
         return self.basics[name]["row_count"] - self.basics[name]["missing_count"]
 
     def _whole(self, name: str) -> Bracket | None:
+        if name not in self.basics or name not in (*self.numeric, *self.temporal):
+            return None
         valid = self.valid(name)
-        if not valid or name not in (*self.numeric, *self.temporal):
+        if not valid:
             return None
         if name in self.temporal:
             low, high = temporal_range(self.df, name, self.basics[name])
@@ -112,10 +118,10 @@ class Facts:
         The same pass counts values per equal-width bin, which is the first
         round of the search for quantiles.
         """
-        whole = {i: self._whole(name) for i, name in enumerate(self.columns)}
-        bins = bin_count(len(self.columns))
+        whole = {i: self._whole(name) for i, name in enumerate(self.counted)}
+        bins = bin_count(max(1, len(self.counted)))
         parts = []
-        for family, values in distinct_values(self.df, self.columns):
+        for family, values in distinct_values(self.df, self.counted) if self.counted else ():
             place, index = self._bins(family, whole, bins)
             parts.append(
                 values.selectExpr("id", "n", f"{place} as place")
@@ -133,7 +139,8 @@ class Facts:
         # Bins, not values: at most bin_count() rows for each column.
         for row in union_all(parts).collect() if parts else []:
             groups[row["id"]].append(row)
-        self._brackets = []
+        rest = [n for n in self.columns if n not in self.counted]
+        self._brackets = [b for b in map(self._whole, rest) if b]
         for i, bracket in whole.items():
             binned = [
                 (r["bin"], r["rows"], r["low"], r["high"])
@@ -149,7 +156,7 @@ class Facts:
                 sum(r["distinct"] for r in groups[i]),
                 max((r["top"] for r in groups[i]), default=0),
             )
-            for i, name in enumerate(self.columns)
+            for i, name in enumerate(self.counted)
         }
 
     def _bins(
@@ -159,7 +166,7 @@ class Facts:
         if family == "string":
             return "double(null)", "int(null)"
         lows, factors, ticks = [], [], []
-        for i, name in enumerate(self.columns):
+        for i, name in enumerate(self.counted):
             bracket = whole[i]
             factor = bin_factor(bracket.low, bracket.high, bins) if bracket else None
             if bracket and bracket.single:

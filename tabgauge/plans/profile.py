@@ -124,17 +124,25 @@ def profile_table(
         raise ValueError(f"Unknown sections: {', '.join(sorted(unknown))}.")
     roles = dtypes.assign_roles(df, target, features)
     facts = Facts(df, [role.name for role in roles], declared)
+    asked = set(sections)
+    facts.summarised = _summarised(facts, asked)
+    if not asked & {"types", "histogram"}:
+        facts.counted = facts.of(*_DOMINATED) if "quality" in asked else []
     records = {
         role.name: {
             "column": role.name,
             "position": role.position,
             "is_target": role.is_target,
             "is_feature": role.is_feature,
+            "type": facts.kinds[role.name],
+            "is_numeric": facts.kinds[role.name] in dtypes.NUMERIC,
+            "is_temporal": facts.kinds[role.name] in dtypes.TEMPORAL,
+            "timezone": dtypes.timezone_of(df, role.name),
             "row_count": facts.row_count,
         }
         for role in roles
     }
-    categorical = _add_types(facts, records) if _needs_distinct(sections) else []
+    categorical = _add_types(facts, records) if asked & {"types", "histogram"} else []
     for section, fields in (
         ("missing", ("missing_count", "missing_rate", "inf_count")),
         ("numeric", ("min", "max", "mean")),
@@ -142,8 +150,8 @@ def profile_table(
         ("temporal", ("temporal_min", "temporal_max", "temporal_diff_seconds")),
     ):
         if section in sections:
-            for name, record in records.items():
-                record |= {field: facts.basics[name][field] for field in fields}
+            for name in facts.summarised:
+                records[name] |= {field: facts.basics[name][field] for field in fields}
     if "numeric" in sections:
         _add_numbers(facts, records)
     if "quality" in sections:
@@ -155,9 +163,9 @@ def profile_table(
     )
     categories, histogram = _histograms(facts, categorical, bins, sections)
     correlation = _correlation(facts, missing, sections)
-    info = column_report(columns, categories, histogram)
+    info = column_report(columns, categories, histogram, asked)
     table = table_profile(columns, facts.row_count, len(df.columns))
-    report = table_report(table, columns, correlation)
+    report = table_report(table, columns, correlation, asked)
     table = table.withColumn("info", report.scalar())
     columns = columns.join(info, "column", "left")
     return Profile(columns, table, categories, histogram, correlation)
@@ -176,8 +184,28 @@ def profile_column(
     return profile.columns
 
 
-def _needs_distinct(sections: Collection[str]) -> bool:
-    return bool({"types", "histogram", "quality"} & set(sections))
+# Types whose low variation is read off the most frequent value.
+_DOMINATED = (dtypes.TEXT, dtypes.BOOLEAN, dtypes.CATEGORICAL, dtypes.STRING)
+
+
+def _summarised(facts: Facts, sections: set[str]) -> list[str]:
+    """Columns that the sections need counts, ranges or lengths of."""
+    if sections & {"missing", "quality"}:
+        return facts.columns
+    kinds: set[str] = set()
+    if sections & {"numeric", "histogram", "correlation"}:
+        kinds |= set(dtypes.NUMERIC)
+    if "temporal" in sections:
+        kinds |= set(dtypes.TEMPORAL)
+    wanted = [n for n in facts.columns if facts.kinds[n] in kinds]
+    if "text" in sections:
+        # Lengths follow from what a column holds, whatever it was declared to be.
+        wanted += [
+            n
+            for n in facts.columns
+            if n not in wanted and dtypes.semantic_type(facts.df.schema[n].dataType) == dtypes.TEXT
+        ]
+    return [n for n in facts.columns if n in wanted]
 
 
 def _add_types(facts: Facts, records: Mapping[str, dict]) -> list[str]:
@@ -186,11 +214,7 @@ def _add_types(facts: Facts, records: Mapping[str, dict]) -> list[str]:
     for name, record in records.items():
         kind, distinct = facts.kinds[name], facts.distinct[name].cardinality
         record |= {
-            "type": kind,
             "is_categorical": is_categorical(kind, distinct),
-            "is_numeric": kind in dtypes.NUMERIC,
-            "is_temporal": kind in dtypes.TEMPORAL,
-            "timezone": dtypes.timezone_of(facts.df, name),
             "cardinality": distinct,
             "unique_rate": distinct / facts.row_count if facts.row_count else 0.0,
         }
@@ -222,7 +246,7 @@ def _add_quality(
         parts.append(outliers_fenced(facts.df, facts.temporal, facts.basics, quartiles))
     for row in union_all(parts).collect() if parts else []:
         records[row["column"]] |= row.asDict()
-    for name in facts.of(dtypes.TEXT, dtypes.BOOLEAN, dtypes.CATEGORICAL, dtypes.STRING):
+    for name in facts.of(*_DOMINATED):
         share = facts.distinct[name].top_count / facts.row_count if facts.row_count else 1.0
         records[name] |= {
             "outlier_count": 0,

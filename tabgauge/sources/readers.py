@@ -3,21 +3,44 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql.types import (
+    DateType,
+    StringType,
+    StructField,
+    StructType,
+    TimestampNTZType,
+    TimestampType,
+)
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: StructType | str | None = None
+    spark: SparkSession,
+    path: str,
+    schema: StructType | str | None = None,
+    *,
+    multi_line: bool = False,
+    dates_as_text: bool = False,
 ) -> DataFrame:
-    """Read a CSV file or folder with a header line.
+    """Read a CSV file or folder with a header line; quotes are doubled inside quotes.
 
     Types are inferred, which takes one more pass over the files. Give
-    ``schema`` to skip that pass on large inputs.
+    ``schema`` to skip that pass on large inputs. ``multi_line`` allows line
+    breaks inside quotes; Spark then reads each file in one task, so large
+    inputs should come as many files. ``dates_as_text`` leaves inferred dates
+    and timestamps as text.
     """
-    reader = spark.read.option("header", True)
-    if schema is None:
-        return reader.option("inferSchema", True).csv(path)
-    return reader.schema(schema).csv(path)
+    reader = spark.read.options(header=True, quote='"', escape='"', multiLine=multi_line)
+    if schema is not None:
+        return reader.schema(schema).csv(path)
+    found = reader.option("inferSchema", True).csv(path)
+    if not dates_as_text:
+        return found
+    times = (DateType, TimestampType, TimestampNTZType)
+    fields = [
+        StructField(f.name, StringType() if isinstance(f.dataType, times) else f.dataType)
+        for f in found.schema.fields
+    ]
+    return reader.schema(StructType(fields)).csv(path)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:

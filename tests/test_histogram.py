@@ -58,16 +58,16 @@ def test_one_value_and_no_value(spark):
 
 def test_rules():
     assert sturges(5) == 4 and sturges(0) == 1 and sturges(1) == 1
-    assert freedman_diaconis(5, 2.0, 4.0) == 2
-    assert freedman_diaconis(5, 0.0, 4.0) == 1
-    assert freedman_diaconis(0, 0.0, 0.0) == 1
+    assert freedman_diaconis(5, 2.0, 1.0, 5.0) == 2
+    assert freedman_diaconis(5, 0.0, 1.0, 5.0) == 1
+    assert freedman_diaconis(0, 0.0, 0.0, 0.0) == 1
 
 
 def test_rule_names(spark):
     df = numbers(spark, [float(i) for i in range(100)])
     assert tg.histogram_numeric(df, bins="sturges").count() == sturges(100) + 2
     # Nearest quartiles of 0..99 are 25 and 74.
-    assert tg.histogram_numeric(df, bins="freedman_diaconis").count() == freedman_diaconis(100, 49.0, 99.0) + 2
+    assert tg.histogram_numeric(df, bins="freedman_diaconis").count() == freedman_diaconis(100, 49.0, 0.0, 99.0) + 2
 
 
 def test_dispatch(spark):
@@ -90,3 +90,22 @@ def test_categorical(spark):
 def test_unknown_column(spark):
     with pytest.raises(ValueError, match="'nope'"):
         tg.histogram_all(spark.range(3), ["nope"])
+
+
+def test_bin_rules_see_the_finite_range(spark):
+    values = [float(i) for i in range(100)]
+    plain = tg.histogram_numeric(numbers(spark, values), bins="freedman_diaconis").count()
+    assert tg.histogram_numeric(numbers(spark, [*values, float("inf")]), bins="freedman_diaconis").count() == plain
+
+
+@pytest.mark.parametrize("result", ["0", "-3", "null", "2.5"])
+def test_a_bin_rule_has_to_give_a_whole_number(spark, result):
+    with pytest.raises(ValueError, match="'numeric'"):
+        tg.histogram_numeric(spark.range(9).selectExpr("double(id) as numeric"), bins=lambda c: F.max(F.expr(result)))
+
+
+def test_many_bins(spark):
+    df = numbers(spark, [0.0, 1.0, 1e15])
+    found = tg.histogram_numeric(df, bins=1_000_000)
+    assert found.count() == 1_000_002
+    assert found.filter("n > 0").count() == 2

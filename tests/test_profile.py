@@ -6,6 +6,8 @@ import pytest
 
 import tabgauge as tg
 from tabgauge.functions.frames import Cell, one_row_per_column
+from tabgauge.plans.facts import Facts
+from tabgauge.plans.profile import _summarised
 
 
 @pytest.fixture(scope="module")
@@ -139,3 +141,38 @@ def test_wide_tables_take_several_aggregates(spark, rows):
     found = rows(one_row_per_column(df, cells, {"s": "bigint", "m": "bigint"}, 2))
     assert len(found) == 90
     assert (found["c89"]["s"], found["c89"]["m"]) == (190 * 89, 19 * 89)
+
+
+def test_declared_types_must_fit(spark):
+    df = spark.createDataFrame([("x",)], "s string")
+    for kind in ("integer", "datetime"):
+        with pytest.raises(ValueError, match="'s'"):
+            tg.profile_table(df, declared={"s": kind})
+    with pytest.raises(ValueError, match="'nope'"):
+        tg.profile_table(df, declared={"nope": "categorical"})
+    with pytest.raises(ValueError, match="'s'"):
+        tg.outliers_iqr_temporal(df, ["s"])
+
+
+@pytest.mark.parametrize("section", ["types", "numeric", "correlation", "temporal", "text", "quality", "histogram", "missing"])
+def test_sections_say_nothing_about_other_parts(spark, section):
+    df = spark.range(20).selectExpr("if(id < 15, null, double(id)) as x", "double(id % 7) as y", "concat('c', id % 6) as s")
+    profile = tg.profile_table(df, sections={section})
+    columns = {r["column"]: r for r in profile.columns.collect()}
+    table = profile.table.first()["info"]
+    assert columns["x"]["type"] == "float" and columns["x"]["is_numeric"] and "**Type**: float" in columns["x"]["info"]
+    assert ("issing values" in columns["x"]["info"]) == (section == "missing")
+    assert ("Mean:" in columns["y"]["info"]) == (section == "numeric")
+    assert ("Category distribution" in columns["s"]["info"]) == (section == "histogram")
+    assert ("correlat" in table) == (section == "correlation")
+    assert "3 ()" not in table and "No missing values detected" not in table
+
+
+@pytest.mark.parametrize("section", ["numeric", "correlation"])
+def test_sections_read_no_text(spark, section, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(50).selectExpr("id as a", "double(id % 7) as b", "concat('t', id) as text").write.parquet(path)
+    df = spark.read.parquet(path)
+    facts = Facts(df, df.columns)
+    assert _summarised(facts, {section}) == ["a", "b"]
+    assert tg.profile_table(df, sections={section}).columns.count() == 3

@@ -63,3 +63,20 @@ def test_flags(spark):
     df = spark.range(60).selectExpr("id as many", "1 as one", "id % 3 as few")
     flags = {r["column"]: (r["is_high_cardinality"], r["is_constant"]) for r in tg.cardinality_flags(tg.cardinality(df)).collect()}
     assert flags == {"many": (True, False), "one": (False, True)}
+
+
+def test_empty_selections(spark):
+    df = spark.range(3).selectExpr("double(id) as x")
+    assert tg.value_counts(df, []).count() == 0
+    assert tg.cardinality(df, []).count() == 0
+    assert tg.cardinality(df, [], approx=True).count() == 0
+    assert tg.data_quality(df, []).count() == 0
+    assert tg.low_variation_categorical(df).count() == 0
+
+
+def test_more_categories_than_a_window_limits(spark):
+    df = spark.range(5000).selectExpr("concat('v', id % 2500) as v", "id")
+    found = tg.top_categories(tg.value_counts(df, ["v"]), limit=2000).collect()
+    assert len(found) == 2000 and {r["remaining"] for r in found} == {500}
+    assert sorted(r["rank"] for r in found) == list(range(1, 2001))
+    assert [r["value"] for r in sorted(found, key=lambda r: r["rank"])] == sorted({f"v{i}" for i in range(2500)})[:2000]
