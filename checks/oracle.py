@@ -296,6 +296,25 @@ def pearson(source: str, columns: dict[str, str], propagate: bool = False, place
     return union(parts)
 
 
+def pearson_with_infinities(source: str, columns: dict[str, str]) -> str:
+    """Pairs of all numeric columns; an infinity among a pair's rows makes it NaN."""
+    parts = []
+    names = numbers(columns)
+    for i, a in enumerate(names):
+        for j, b in enumerate(names):
+            rows = (
+                f"select cast({a} as double) as x, cast({b} as double) as y from {source} "
+                f"where not {missing(a, columns[a])} and not {missing(b, columns[b])}"
+            )
+            finite = "filter (not isinf(x) and not isinf(y))"
+            parts.append(
+                f"select '{a}' as col_1, '{b}' as col_2, cast({i} as integer) as pos_1, cast({j} as integer) as pos_2, "
+                f"case when count(distinct x) <= 1 or count(distinct y) <= 1 or count(*) filter (isinf(x) or isinf(y)) > 0 "
+                f"then 'NaN'::double else round(corr(x, y) {finite}, 6) end as r from ({rows})"
+            )
+    return union(parts)
+
+
 PROFILE_FIELDS = {
     "column": "varchar",
     "position": "integer",
@@ -655,6 +674,7 @@ def registered() -> dict[str, str]:
         ),
         "pearson_long": pearson("lineitem", LINEITEM, places=True),
         "pearson_gaps": pearson("lines", LINE_COLUMNS),
+        "pearson_signals": pearson_with_infinities("signals", SIGNAL_COLUMNS),
         "pearson_propagate": pearson("lines", LINE_COLUMNS, propagate=True),
         "pearson_wide": union(
             f"select '{a}' as index, "

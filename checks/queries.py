@@ -316,6 +316,10 @@ def pearson_gaps(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(tg.pearson_long(lines(spark, sf)).select("col_1", "col_2", "r"))
 
 
+def pearson_signals(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(tg.pearson_long(signals(spark, sf)))
+
+
 def pearson_propagate(spark: SparkSession, sf: str) -> DataFrame:
     found = tg.pearson_long(lines(spark, sf), missing="propagate")
     return rounded(found.select("col_1", "col_2", "r"))
@@ -443,6 +447,7 @@ def registered() -> dict[str, Query]:
             histogram_all,
             pearson_long,
             pearson_gaps,
+            pearson_signals,
             pearson_propagate,
             pearson_wide,
             pearson_lookup,
