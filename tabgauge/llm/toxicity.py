@@ -1,9 +1,10 @@
 """Toxicity: a subsequence string kernel, Nyström landmarks and a linear support vector machine.
 
 **Kernel.** Two words are as alike as the triples of bytes that both hold in order, with up
-to two other bytes between; each costs ``DECAY`` per byte skipped. So ``i-d-iot`` and
+to two other bytes between; each costs ``DECAY`` per byte skipped. So ``i.diot`` and
 ``idiiot`` stay close to ``idiot``. Words are in lower case, without marks at their ends,
-and with signs for begin and end.
+and with signs for begin and end. Words with marks inside count as they are and without
+them, whichever comes closer, so ``i-d-i-o-t`` is found too.
 
 **Landmarks.** The words that set apart toxic training documents best, no two of them alike.
 A word enters through its kernel values with the landmarks, each as a share of the
@@ -25,6 +26,7 @@ largest counts.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -54,6 +56,7 @@ REMEMBERED = 2_000_000
 HELD_OUT = 2
 _EDGE = np.zeros(256, bool)
 _EDGE[:128] = ~words.WORD_CHARS[:128]
+_MARKS = bytes(np.flatnonzero(_EDGE).tolist())
 _PAIRS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 
 
@@ -169,7 +172,13 @@ class Features:
 
     def _add(self, some: list[bytes]) -> np.ndarray:
         places = np.zeros(len(some), np.int64)
-        for place, value in self.kernel.shares(some):
+        bare = [w.translate(None, _MARKS) for w in some]
+        spelled = [i for i, w in enumerate(bare) if len(w) < len(some[i])]
+        again = ((spelled[i], v) for i, v in self.kernel.shares([bare[i] for i in spelled]))
+        for place, value in itertools.chain(self.kernel.shares(some), again):
+            if places[place]:
+                np.maximum(self.values[places[place]], value, out=self.values[places[place]])
+                continue
             if self.used == len(self.values):
                 self.values = np.vstack([self.values, np.zeros_like(self.values)])
             self.values[self.used] = value
