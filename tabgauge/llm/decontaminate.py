@@ -246,7 +246,6 @@ def query(spark, sf_dir: str) -> DataFrame:
         "n_items",
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
-        "longest_match",
     )
 
 
