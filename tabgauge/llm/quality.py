@@ -37,8 +37,7 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
 _SPACE = r"[\x20\x09-\x0D]+"
-_SYMBOLS = "#*$%&|<>"
-_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_SYMBOLS = r"[#*$%&|<>]"
 
 
 def words_of(text: Column) -> Column:
@@ -47,8 +46,9 @@ def words_of(text: Column) -> Column:
 
 def shapes_of(text: Column) -> Column:
     """The shapes of the words, in order."""
-    same = F.translate(text, _LETTERS + _LETTERS.upper() + "0123456789", "a" * 26 + "A" * 26 + "9" * 10)
-    return words_of(F.regexp_replace(F.regexp_replace(same, r"[^\x00-\x7F]+", "a"), r"([aA9])\1+", "$1"))
+    # The first step shortens most of a text, so the others have little left to look at.
+    short = F.regexp_replace(text, r"[a-z\x{80}-\x{10FFFF}]+", "a")
+    return words_of(F.regexp_replace(F.regexp_replace(short, r"[A-Z]+", "A"), r"[0-9]+", "9"))
 
 
 def grams(shapes: Column, buckets: int) -> Column:
@@ -116,8 +116,8 @@ def rate(documents: DataFrame, weight: list[int], threshold: float = THRESHOLD)
     hashed = split.select(
         *carried,
         F.size("__words").cast("bigint").alias("n_words"),
-        F.char_length(F.regexp_replace("__text", _SPACE, "")).cast("bigint").alias("word_chars"),
-        (F.char_length("__text") - F.char_length(F.translate("__text", _SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
+        F.char_length(F.array_join("__words", "")).cast("bigint").alias("word_chars"),
+        F.regexp_count("__text", F.lit(_SYMBOLS)).cast("bigint").alias("n_symbols"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("bigint").alias("n_dup_lines"),
         "__words",
         windows.alias("__windows"),
