@@ -1,25 +1,25 @@
 """Elias-Fano sequences: monotone whole numbers in about 2 + log2(universe / n) bits each.
 
 The low bits of every value stand side by side; the high parts are a bit vector with a one
-per value and a zero per step. Positions of every 64th one and zero are kept, so that
-access and search take many queries at once with array operations. All parts are flat
-arrays and can be memory-mapped.
+per value and a zero per step. The number of ones before every block of the vector is
+kept, so that access and search take many queries at once with array operations, however
+unevenly ones and zeros lie. All parts are flat arrays and can be memory-mapped.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-_SAMPLE = 64
+#: Words of 64 bits in a block of the bit vector.
+_BLOCK = 4
 
 
-def _select(bits: np.ndarray, samples: np.ndarray, rank: np.ndarray, ones: bool) -> np.ndarray:
-    """Position of the one (or zero) with the given number, from 0."""
-    at = samples[rank // _SAMPLE].astype(np.int64)
-    left = rank % _SAMPLE
-    word, shift = at >> 6, (at & 63).astype(np.uint64)
+def _select(bits: np.ndarray, before: np.ndarray, rank: np.ndarray, ones: bool) -> np.ndarray:
+    """Position of the one (or zero) with the given number, from 0; ``before`` counts those before each block."""
+    block = np.searchsorted(before, rank, side="right") - 1
+    left = rank - before[block]
+    word = block * _BLOCK
     value = bits[word] if ones else ~bits[word]
-    value = (value >> shift) << shift
     count = np.bitwise_count(value).astype(np.int64)
     live = np.flatnonzero(count <= left)
     while len(live):
@@ -43,7 +43,9 @@ class EliasFano:
 
     def __init__(self, parts: dict[str, np.ndarray]) -> None:
         self.n, self.low_bits, self.steps = (int(x) for x in parts["shape"])
-        self.low, self.high, self.ones, self.zeros = parts["low"], parts["high"], parts["ones"], parts["zeros"]
+        self.low, self.high = parts["low"], parts["high"]
+        self.ones = parts["ones"].astype(np.int64)
+        self.zeros = np.arange(len(self.ones)) * (64 * _BLOCK) - self.ones
 
     @staticmethod
     def build(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
@@ -61,14 +63,12 @@ class EliasFano:
             np.bitwise_or.at(low, word[over] + 1, rest[over] >> (np.uint64(64) - shift[over]))
         one = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
         total = n + steps + 1
-        flags = np.zeros((total // 64 + 2) * 64, np.uint8)
+        flags = np.zeros((total // (64 * _BLOCK) + 1) * 64 * _BLOCK, np.uint8)
         flags[one] = 1
-        zero = np.flatnonzero(flags[:total] == 0)
         high = np.packbits(flags, bitorder="little").view(np.uint64)
-        return {
-            "shape": np.array([n, bits, steps], np.int64), "low": low, "high": high,
-            "ones": one[::_SAMPLE].astype(np.int64), "zeros": zero[::_SAMPLE].astype(np.int64),
-        }
+        count = np.bitwise_count(high).reshape(-1, _BLOCK).sum(1)
+        ones = np.cumsum(count) - count
+        return {"shape": np.array([n, bits, steps], np.int64), "low": low, "high": high, "ones": ones.astype(np.uint32)}
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
