@@ -45,9 +45,11 @@ from .elias_fano import EliasFano
 HELD_OUT = 2
 MODULUS = 7
 #: Tokens that one shard of the model stands for, about.
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 2_000_000
 #: Distinct words or pairs that a task gathers before it passes them on.
-GATHER = 2_000_000
+GATHER = 1_200_000
+#: Bytes of text that are scored together, so that a shard is asked often enough at once.
+SCORE_BYTES = 2 << 20
 #: Levels of a quantised probability.
 LEVELS = 255
 
@@ -91,9 +93,13 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def merged(runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and counts of several runs together."""
-    parts = [unpack(r) for r in runs]
-    return _summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
+    """Keys and counts of several runs together, one of them unpacked at a time."""
+    size = [int(np.frombuffer(r, np.uint64, 1)[0]) for r in runs]
+    keys, counts, at = np.empty(sum(size), np.uint64), np.empty(sum(size), np.uint64), 0
+    for run, n in zip(runs, size, strict=True):
+        keys[at : at + n], counts[at : at + n] = unpack(run)
+        at += n
+    return _summed(keys, counts)
 
 
 def _gathered(found: Iterator[np.ndarray], limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -129,7 +135,7 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     for batch in batches:
         texts = words.texts_of(batch.column("text_"))
-        for lo, hi in words.slices(texts):
+        for lo, hi in words.slices(texts, SCORE_BYTES):
             yield batch.slice(lo, hi - lo), *_tokens(texts.slice(lo, hi - lo))
 
 
@@ -160,7 +166,7 @@ def _open(uri: str) -> dict[str, np.ndarray]:
 
     files, path = shared.filesystem(uri)
     if isinstance(files, fs.LocalFileSystem):
-        data = np.memmap(path, np.uint8, "r")
+        data = np.memmap(path, np.uint8, "r").view(np.ndarray)
     else:
         with files.open_input_stream(path) as source:
             data = np.frombuffer(source.read(), np.uint8)
@@ -329,7 +335,7 @@ def train(training: DataFrame, text_col: str = "text", shard_tokens: int = SHARD
     read = training.select(F.col(f"`{text_col}`").cast("string").alias("text_"))
     # One number from the data sets the number of shards: white-space runs come close to tokens.
     about = read.agg(F.sum(F.octet_length("text_")), F.count("*")).first()
-    shards = _rounded(max(1, ((about[0] or 0) // 6 + about[1]) // shard_tokens))
+    shards = _rounded(max(1, -(-((about[0] or 0) // 6 + about[1]) // shard_tokens)))
     bits = shards.bit_length() - 1
     run = "shard int, run binary"
 
