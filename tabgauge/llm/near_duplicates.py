@@ -24,7 +24,8 @@ Defined results: a class id is the smallest document id of the class. Null texts
 without words have no shingles and link to nothing. Texts of one to four words have one
 shingle, all their words. Repeated rows are copies of one another: each keeps its row, and
 counts as a link of the others. A null id never is the smallest; a class of null ids only
-has a null class id. Other columns are ignored.
+has a null class id. So classes may bear one class id where ids are null or repeated; the
+pipeline stage tells them apart all the same. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -276,9 +277,10 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def resolve(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Rows and texts. Rows: ``id_, key`` (null without shingles). Texts: ``key, class_id, n_links, copies, own_id``.
+    """Rows and texts. Rows: ``id_, key`` (null without shingles). Texts: ``key, component, class_id, n_links, copies, own_id``.
 
-    ``own_id`` is the smallest id of a text's rows.
+    ``own_id`` is the smallest id of a text's rows. ``component`` tells classes apart, which
+    ``class_id`` does not where ids are null or repeated; a text without links is its own.
     """
     read = documents.select(F.col(f"`{id_col}`").alias("id_"), F.col(f"`{text_col}`").cast("string").alias("text_"))
     kind = dict(read.dtypes)["id_"]
@@ -326,6 +328,7 @@ def resolve(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     least_id = joined.filter("component is not null").groupBy("component").agg(F.min("own_id").alias("class_id"))
     done = joined.join(shared.written(least_id, "class-ids"), "component", "left").select(
         "key",
+        F.coalesce("component", "key").alias("component"),
         F.when(F.col("component").isNull(), F.col("own_id")).otherwise(F.col("class_id")).alias("class_id"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         "copies",
@@ -361,7 +364,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each class the row with the smallest id stays; rows without shingles all do."""
     rows, texts = resolve(docs)
     # The text of a class that bears its smallest id; of several, the first by key.
-    best = texts.groupBy("class_id").agg(F.min(F.struct(F.col("own_id").isNull(), "own_id", "key")).alias("best"))
+    best = texts.groupBy("component").agg(F.min(F.struct(F.col("own_id").isNull(), "own_id", "key")).alias("best"))
     again = rows.filter("key is not null").groupBy("key", "id_").agg(F.count("*").alias("n_own")).filter("n_own > 1")
     found = texts.join(best.select(F.col("best.key").alias("key")), "key", "left_semi").select("key", "own_id").alias("t")
     repeated = (F.col("t.key") == F.col("r.key")) & F.col("t.own_id").eqNullSafe(F.col("r.id_"))

@@ -73,6 +73,14 @@ def test_near_duplicate_stage(spark, docs):
     assert near_duplicates.keep_one(spark, empty(docs), "").count() == 0
 
 
+def test_near_duplicate_stage_keeps_unrelated_texts_under_null_and_repeated_ids(spark):
+    alone = [f"{name} stands alone among all of the texts here" for name in ("alpha", "beta", "gamma", "delta", "omega")]
+    near = [" ".join(f"w{i}" if i != k else "x" for i in range(80)) for k in (100, 0, 79)]
+    rows = [(None, alone[0]), (None, alone[1]), (7, alone[2]), (7, alone[3]), (7, near[0]), (8, near[1]), (None, near[2]), (None, alone[4]), (None, alone[4])]
+    kept = near_duplicates.keep_one(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == sorted([*(("None", alone[i]) for i in (0, 1, 4)), ("7", alone[2]), ("7", alone[3]), ("7", near[0])])
+
+
 def test_decontamination(docs, benchmark):
     found = decontaminate.matches(docs, benchmark)
     assert found.columns.count("n_words") == 1
