@@ -1,10 +1,17 @@
 """Toxicity: a subsequence string kernel, Nyström landmarks and a linear support vector machine.
 
-**Kernel.** Two words are as alike as the triples of bytes that both hold in order, with up
-to two other bytes between; each costs ``DECAY`` per byte skipped. So ``i.diot`` and
+**Kernel.** Two words are as alike as the triples of characters that both hold in order, with
+up to ``SKIPPED`` others between; each skipped one costs ``DECAY``. So ``i.diot`` and
 ``idiiot`` stay close to ``idiot``. Words are in lower case, without marks at their ends,
-and with signs for begin and end. Words with marks inside count as they are and without
-them, whichever comes closer, so ``i-d-i-o-t`` is found too.
+and with signs for begin and end. A word is read at every stretch up to ``STRETCH``: at
+stretch ``k``, ``k`` characters between two neighbours are the rule and cost nothing, and each
+one more or less, and each letter left out, costs ``DECAY``; no triple counts
+for more than in a landmark there. So ``ixxdxxixxoxxt`` is as close to ``idiot`` as itself. Words
+with other signs than letters and digits inside (marks, ASCII or not, zero-width characters,
+combining accents) count as they are and without them, so ``i-d-i-o-t`` is found too. Runs
+of ``RUN`` or more words of one letter each count as one word as well: ``i d i o t``. Of all
+readings of a word the closest counts. More than ``STRETCH + 1`` letters or digits at most
+gaps are another word.
 
 **Landmarks.** The words that set apart toxic training documents best, no two of them alike.
 A word enters through its kernel values with the landmarks, each as a share of the
@@ -29,6 +36,7 @@ from __future__ import annotations
 import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +51,14 @@ LANDMARKS = 96
 #: Words considered as landmarks.
 CANDIDATES = 1500
 MIN_DOCUMENTS = 4
-#: Bytes that a triple may span, and what each skipped one costs.
-SPAN = 5
+#: Characters that a triple may skip (or lack, when stretched), and what each costs.
+SKIPPED = 2
 DECAY = 0.6
+#: Most characters between neighbours that a word is read with at no cost.
+STRETCH = 3
+#: One-letter words in a row that are read as one word, and letters of it at a time.
+RUN = 3
+RUN_WINDOW = 64
 #: Share of a landmark's own kernel value from which on a word counts.
 SHARE = 0.4
 #: Score from which on a document counts as toxic.
@@ -57,7 +70,17 @@ HELD_OUT = 2
 _EDGE = np.zeros(256, bool)
 _EDGE[:128] = ~words.WORD_CHARS[:128]
 _MARKS = bytes(np.flatnonzero(_EDGE).tolist())
-_PAIRS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
+
+
+def _costs(stretch: int) -> dict[int, int]:
+    """By the distance of two characters: letters skipped, ``stretch + 1`` characters each, and characters too many or too few."""
+    step = stretch + 1
+    return {d: c for d in range(1, (SKIPPED + 2) * step) if (c := min(s + abs(d - (s + 1) * step) for s in range(SKIPPED + 1))) <= SKIPPED}
+
+
+#: Per stretch: distances of a triple's second and third character from the first, and the weight.
+_PLACES = [[(a, a + b, DECAY ** (c + d)) for a, c in _costs(k).items() for b, d in _costs(k).items() if c + d <= SKIPPED] for k in range(STRETCH + 1)]
+_BEGIN, _END = 0x110000, 0x110001  # beyond all characters
 
 
 def trimmed(found: words.Words) -> words.Words:
@@ -76,61 +99,115 @@ def trimmed(found: words.Words) -> words.Words:
     return words.Words(data, starts[keep], ends[keep], bounds, found.offsets)
 
 
+@lru_cache(maxsize=1)
+def _solid() -> np.ndarray:
+    """True for the code points of letters and digits."""
+    return np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000)
+
+
+def bare(word: bytes) -> bytes:
+    """Letters and digits of a word alone."""
+    word = word.translate(None, _MARKS)
+    return word if word.isascii() else "".join(c for c in word.decode() if c.isalnum()).encode()
+
+
+def spelled_out(found: words.Words) -> tuple[list[int], list[bytes]]:
+    """Runs of one-letter words, joined: the text and the letters of each; long ones in overlapping windows."""
+    points = np.frombuffer(found.data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    begins = np.flatnonzero((found.data & 0xC0) != 0x80)
+    solid = np.zeros(len(found.data) + 1, np.int64)
+    solid[begins + 1] = _solid()[points]
+    np.cumsum(solid, out=solid)
+    letters = solid[found.ends] - solid[found.starts]
+    # Words of marks alone neither count nor end a run.
+    short = np.flatnonzero(letters < 2)
+    if len(short) < RUN:
+        return [], []
+    text = np.searchsorted(found.bounds, short, side="right") - 1
+    first = np.flatnonzero(np.r_[True, (short[1:] != short[:-1] + 1) | (text[1:] != text[:-1])])
+    last = np.r_[first[1:], len(short)]
+    texts, runs = [], []
+    for a, b in zip(first[last - first >= RUN].tolist(), last[last - first >= RUN].tolist(), strict=True):
+        own = bare(b"".join(found.word(i) for i in short[a:b].tolist())).decode()
+        if len(own) >= RUN:
+            parts = [own[i : i + RUN_WINDOW] for i in range(0, max(1, len(own) - RUN_WINDOW // 2), RUN_WINDOW // 2)]
+            texts += [int(text[a])] * len(parts)
+            runs += [p.encode() for p in parts]
+    return texts, runs
+
+
 class Kernel:
     """Kernel values of words with fixed landmarks, as shares of the landmarks' own."""
 
     def __init__(self, landmarks: list[bytes]) -> None:
-        self.letters = np.zeros(258, np.int64)
-        used = sorted({b for w in landmarks for b in w} | {256, 257})
+        self.letters = np.zeros(0x110002, np.int64)
+        used = sorted({ord(c) for w in landmarks for c in w.decode()} | {_BEGIN, _END})
         self.letters[used] = np.arange(1, len(used) + 1)
         self.base = len(used) + 1
-        self.table = np.full(self.base**3, -1, np.int64)
-        word, code, weight = self._triples(landmarks)
-        codes, row = np.unique(code, return_inverse=True)
-        self.table[codes] = np.arange(len(codes))
-        self.phi = np.zeros((len(codes), len(landmarks)))
+        self.shortest = min((len(w.decode()) for w in landmarks), default=0)
+        word, code, weight = self._triples(*self._characters(landmarks), 0)
+        self.codes, row = np.unique(code, return_inverse=True)
+        self.phi = np.zeros((len(self.codes), len(landmarks)))
         np.add.at(self.phi, (row, word), weight)
+        self.most = self.phi.max(1, initial=0)
         self.own = (self.phi**2).sum(0)
         self.gram = (self.phi.T @ self.phi) / np.sqrt(np.outer(self.own, self.own))
         self.phi = (self.phi / self.own).astype(np.float32)
 
-    def _triples(self, some: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    @staticmethod
+    def _characters(some: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Code points of all words in a row, and how many each has."""
+        texts = [w.decode() for w in some]
+        return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), np.fromiter(map(len, texts), np.int64, len(texts))
+
+    def _triples(self, points: np.ndarray, lengths: np.ndarray, stretch: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Word, triple and weight of all triples that use landmark letters alone."""
-        sizes = np.fromiter(map(len, some), np.int64, len(some)) + 2
+        # The signs for begin and end stand off as far as the letters of a stretched word.
+        sizes = lengths + 2 + 2 * stretch
         ends = np.cumsum(sizes)
-        flat = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64)
-        flat[ends - sizes], flat[ends - 1] = 256, 257
-        inside = np.ones(len(flat), bool)
-        inside[ends - sizes] = inside[ends - 1] = False
-        flat[inside] = np.frombuffer(b"".join(some), np.uint8)
-        letter, word = self.letters[flat], np.repeat(np.arange(len(some)), sizes)
+        letter, word = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64), np.repeat(np.arange(len(lengths)), sizes)
+        at = np.arange(len(letter)) - np.repeat(ends - sizes, sizes)
+        inside = (at > stretch) & (at < np.repeat(sizes, sizes) - 1 - stretch)
+        letter[inside] = self.letters[points]
+        letter[ends - sizes], letter[ends - 1] = self.letters[_BEGIN], self.letters[_END]
         parts = []
-        for a, b in _PAIRS:
+        for a, b, weight in _PLACES[stretch]:
             if len(letter) <= b:
                 continue
             x, y, z = letter[:-b], letter[a : a - b], letter[b:]
             at = np.flatnonzero((word[:-b] == word[b:]) & (x > 0) & (y > 0) & (z > 0))
-            parts.append((word[at], (x[at] * self.base + y[at]) * self.base + z[at], np.full(len(at), DECAY ** (b - 2))))
+            parts.append((word[at], (x[at] * self.base + y[at]) * self.base + z[at], np.full(len(at), weight)))
         if not parts:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
 
     def shares(self, some: list[bytes], step: int = 4000) -> Iterator[tuple[int, np.ndarray]]:
-        """For words that resemble a landmark: their place and what they count for each landmark."""
+        """For words that resemble a landmark: their place and what they count for each landmark; once per stretch."""
         for lo in range(0, len(some), step):
-            word, code, weight = self._triples(some[lo : lo + step])
-            row = self.table[code]
-            hit = np.flatnonzero(row >= 0)
-            hit = hit[np.argsort(word[hit], kind="stable")]
-            if not len(hit):
-                continue
-            own = word[hit]
-            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            value = np.add.reduceat(self.phi[row[hit]] * weight[hit, None].astype(np.float32), first)
-            value = np.clip((value - SHARE) / (1 - SHARE), 0, 1)
-            live = value.any(1)
-            for place, v in zip((own[first[live]] + lo).tolist(), value[live], strict=True):
-                yield place, v
+            points, lengths = self._characters(some[lo : lo + step])
+            for stretch in range(STRETCH + 1):
+                # A word that any landmark's letters fill at this stretch, or almost.
+                use = np.flatnonzero(lengths >= (self.shortest + stretch * (self.shortest - 1) - SKIPPED if stretch else 0))
+                if not len(use):
+                    break
+                chosen = np.zeros(len(lengths), bool)
+                chosen[use] = True
+                word, code, weight = self._triples(points[np.repeat(chosen, lengths)], lengths[use], stretch)
+                row = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+                hit = np.flatnonzero(self.codes[row] == code)
+                if not len(hit):
+                    continue
+                hit = hit[np.lexsort((row[hit], word[hit]))]
+                own, row, weight = word[hit], row[hit], weight[hit]
+                if stretch:  # by chance many triples repeat in a long word
+                    first = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (row[1:] != row[:-1])])
+                    own, row, weight = own[first], row[first], np.minimum(np.add.reduceat(weight, first), self.most[row[first]])
+                first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                value = np.add.reduceat(self.phi[row] * weight[:, None].astype(np.float32), first)
+                value = np.clip((value - SHARE) / (1 - SHARE), 0, 1)
+                live = value.any(1)
+                for place, v in zip((use[own[first[live]]] + lo).tolist(), value[live], strict=True):
+                    yield place, v
 
 
 @dataclass
@@ -172,9 +249,9 @@ class Features:
 
     def _add(self, some: list[bytes]) -> np.ndarray:
         places = np.zeros(len(some), np.int64)
-        bare = [w.translate(None, _MARKS) for w in some]
-        spelled = [i for i, w in enumerate(bare) if len(w) < len(some[i])]
-        again = ((spelled[i], v) for i, v in self.kernel.shares([bare[i] for i in spelled]))
+        plain = [bare(w) for w in some]
+        spelled = [i for i, w in enumerate(plain) if len(w) < len(some[i])]
+        again = ((spelled[i], v) for i, v in self.kernel.shares([plain[i] for i in spelled]))
         for place, value in itertools.chain(self.kernel.shares(some), again):
             if places[place]:
                 np.maximum(self.values[places[place]], value, out=self.values[places[place]])
@@ -191,13 +268,18 @@ class Features:
         if not self.n:
             return out
         found = trimmed(words.split(texts, words.NOT_SPACE))
-        distinct, at, back = np.unique(found.hashes(), return_index=True, return_inverse=True)
+        run_texts, runs = spelled_out(found)
+        hashes = np.r_[found.hashes(), words.split(pa.array(runs, pa.string()), words.NOT_SPACE).hashes()] if runs else found.hashes()
+        n = len(found.starts)
+        distinct, at, back = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) > self.remembered or self.used > 100_000:
             self._clear()
-        places = self.known.places(distinct, lambda new: self._add([found.word(i) for i in at[new].tolist()]))[back]
+        places = self.known.places(distinct, lambda new: self._add([found.word(i) if i < n else runs[i - n] for i in at[new].tolist()]))[back]
         live = np.flatnonzero(places)
         if len(live):
-            text = np.searchsorted(found.bounds, live, side="right") - 1
+            text = np.r_[np.searchsorted(found.bounds, np.arange(n), side="right") - 1, np.array(run_texts, np.int64)][live]
+            order = np.argsort(text, kind="stable")
+            live, text = live[order], text[order]
             first = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
             value = self.values[places[live]]
             out[text[first], : self.n] = np.maximum.reduceat(value, first)

@@ -277,6 +277,15 @@ def test_kernel_tolerates_gaps_and_insertions():
     assert np.linalg.eigvalsh(toxicity.Kernel([b"idiot", b"moron", b"clown", b"idle"]).gram).min() > -1e-9
 
 
+def test_kernel_tolerates_other_signs_wider_gaps_and_spelling_out():
+    insults = ["i·d·i·o·t", "i\u200bd\u200bi\u200bo\u200bt", "i\u0336d\u0336i\u0336o\u0336t\u0336", "i漢d漢i漢o漢t", "i1d1i1o1t", "ixxdxxixxoxxt", "i123d45i678o90t", "ixyzdxyzixyzoxyzt"]
+    insults += ["an i d i o t here", "i. d. i. o. t.", "I · D · I · O · T", "such a i d i o t", "1 2 3 " * 500 + "i d i o t" + " 4 5" * 500, "i\u200b d\u200b i\u200b o\u200b t"]
+    plain = ["window the", "it did it to", "indeed", "a b c d e f", "id: 10, i 1 o", "", "ideological institution"]
+    found = toxicity.Features([b"idiot", b"moron"])(pa.array([*insults, *plain]))
+    assert (found[: len(insults), 0] > 0.1).all(), [t[:40] for t, x in zip(insults, found[:, 0]) if x <= 0.1]
+    assert not found[len(insults) :].any() and not found[:, 1].any()
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(7)
     plain, bad = [f"{a}{b}" for a in ("th", "er", "on", "re", "st") for b in ("an", "in", "ed", "ou", "ly")], ["idiot", "moron", "stupid"]
