@@ -1,12 +1,12 @@
-"""N-gram Jaccard join: a MinHash LSH forest, then exact verification.
+"""N-gram Jaccard join: MinHash banding, then exact verification.
 
 Documents are sets of five-word shingles; two are linked if their sets have a Jaccard
 similarity of ``THRESHOLD`` or more. Equal word sequences count as one text from the start.
 
-**Forest.** Every text has a label of ``DEPTH`` MinHash values in each of ``TREES`` trees. A
-tree's labels in order form a prefix trie; texts under one prefix are candidates. The
-prefix starts at full depth and is shortened until two texts at the threshold meet in some
-tree with probability ``TARGET_RECALL``, so the bound holds for every link.
+**Bands.** Every text has a label of ``DEPTH`` MinHash values in each of ``TREES`` trees. Texts
+with one prefix of a label are candidates. The prefix has one length for all data: full
+depth, shortened until two texts at the threshold meet in some tree with probability
+``TARGET_RECALL``. That is banding; no trie is built and no match shortens a prefix.
 
 **Candidates.** A prefix with several texts is one group of rows, sorted and streamed. Groups
 above ``GROUP`` texts are dealt into pairs of blocks. Within a group a text is compared
