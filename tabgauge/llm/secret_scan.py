@@ -8,8 +8,9 @@ finds the few that can match at all.
 begin, inside or outside of a secret. Its features are its own shape (length, kinds of
 characters, changes between them), its neighbours (keywords, signs and quotes before and
 after) and its file (signs of code, keywords anywhere). Weights and transitions maximise
-the likelihood of windows of tokens (forward-backward) from a bounded sample of
-documents, labelled by the patterns. Copies of the windows with secrets replaced by random
+the likelihood of windows of tokens (forward-backward), labelled by the patterns: at most
+``TRAIN_WINDOWS``, those with secrets by hash from all documents, the others from a bounded
+sample. Copies of the windows with secrets replaced by random
 strings of other alphabets, and without keyword or quotes, keep the field from learning
 the patterns only.
 
@@ -18,8 +19,8 @@ transitions could win back is outside in every best path; only the stretches bet
 tokens are decoded step by step. Spans of the field that touch no base span are added.
 
 Offsets are code points, ends exclusive. Defined results: a null text is an empty one; rows
-are kept one by one, repeated or not; without a single pattern match in the sample there
-is no field and base spans stand alone.
+are kept one by one, repeated or not; without a single pattern match in all documents
+there is no field and base spans stand alone.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import shared, words
 
-#: Documents, about, that training looks at, and most windows taken from them.
+#: Documents, about, that training takes windows without secrets from, and most windows in all.
 TRAIN_ROWS = 20_000
 TRAIN_WINDOWS = 4000
 #: Tokens of a training window, the secret in the middle.
@@ -334,8 +335,10 @@ def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = words.texts_of(batch.column("text_"))
         for lo, hi in words.slices(texts):
             part = texts.slice(lo, hi - lo)
-            may, every = _may_match(part), part.to_pylist()
-            spans = [base_spans(t) if m else [] for t, m in zip(every, may, strict=True)]
+            sampled = batch.column("sampled_").slice(lo, hi - lo).to_pylist()
+            found = {i: base_spans(part[i].as_py()) for i in np.flatnonzero(_may_match(part)).tolist()}
+            use = [i for i, s in enumerate(sampled) if s or found.get(i)]
+            every, spans = [part[i].as_py() for i in use], [found.get(i, []) for i in use]
             plain = [[(v, e) for _, e, _, v in s] for s in spans]
             # The random copies depend on the text alone.
             copies = [_varied(t, s, np.random.default_rng(len(t) * 1000003 + s[0][0])) for t, s in zip(every, spans, strict=True) if s]
@@ -351,11 +354,11 @@ def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(documents: DataFrame, rows: int = TRAIN_ROWS, windows: int = TRAIN_WINDOWS) -> Field | None:
-    """A field from about ``rows`` documents, chosen by hash of id and text; null without any base span there."""
+    """A field from the base spans of all documents, and about ``rows`` documents, by hash of the id, for windows without; null without any base span."""
     own = documents.select(F.col("doc_id").cast("string").alias("id_"), F.col("text").cast("string").alias("text_"))
     every = max(1, documents.count() // rows)
-    sample = own.filter(F.pmod(F.xxhash64("id_", F.lit(17)), F.lit(every)) == 0)
-    found = shared.written(sample.mapInArrow(_training, "secret boolean, x binary, y binary"), "windows")
+    flagged = own.select("text_", (F.pmod(F.xxhash64("id_", F.lit(17)), F.lit(every)) == 0).alias("sampled_"))
+    found = shared.written(flagged.mapInArrow(_training, "secret boolean, x binary, y binary"), "windows")
     some = [w.orderBy(F.xxhash64("x", "y"), "x", "y").limit(windows // 2).toPandas() for w in (found.filter("secret"), found.filter("not secret"))]
     if not len(some[0]):
         return None

@@ -271,6 +271,15 @@ def test_field_decodes_as_brute_force_and_finds_new_secrets(spark):
     assert [s[2] for s in found[0]] == ["crf"] and not found[1]
 
 
+def test_field_learns_from_secrets_outside_the_sample(spark):
+    docs = spark.range(2000).selectExpr("id as doc_id", "pmod(xxhash64(cast(id as string), 17), 100) = 0 as sampled", "row_number() over (order by id) as n")
+    secret = docs.filter("not sampled").orderBy("doc_id").limit(5).selectExpr("doc_id as s_id")
+    text = "if(s_id is null, concat('only plain words and number ', doc_id, ' here'), concat('words token = \"', sha2(cast(doc_id as string), 256), '\" and more'))"
+    made = docs.join(secret, docs.doc_id == secret.s_id, "left").selectExpr("doc_id", f"{text} as text")
+    assert secret_scan.train(made, rows=20) is not None
+    assert secret_scan.train(made.filter("text not like '%token%'"), rows=20) is None
+
+
 def test_kernel_tolerates_gaps_and_insertions():
     found = toxicity.Features([b"idiot", b"moron"])(pa.array(["an idiot!", "i-d-i-o-t", "idiiot,", "i.diot", "idlo7t", "window the", "MORON"]))
     assert (found[[0, 1, 2], 0] > 0.99).all() and found[3, 0] > 0.4 and not found[5].any() and found[6, 1] == 1
