@@ -11,7 +11,8 @@ depth, shortened until two texts at the threshold meet in some tree with probabi
 **Candidates.** A prefix with several texts is one group of rows, sorted and streamed. Groups
 above ``GROUP`` texts are dealt into pairs of blocks. Within a group a text is compared
 by its byte-wide sketch with those not yet reached, which finds the same connections as
-all pairs do; only connections leave the task, never pairs.
+all pairs do; only connections leave the task, never pairs. The sketch misses a pair at the
+threshold with 5.0e-7, the bands with 4.7e-8, so both together with 5.5e-7 at most.
 
 **Verification.** Connected candidates form families. Each text of a family travels with its
 exact shingle set, once for small families, once per block for large ones; tasks count
