@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, conversations, decontaminate, language_model, near_duplicates, quality, secret_scan, token_output, toxicity, url_lists, warc, whitening
+from . import bpe, conversations, decontaminate, language_model, near_duplicates, packing, quality, secret_scan, token_output, toxicity, url_lists, warc, whitening
 
 _MODULES = {
     "op6_secret_scans": secret_scan,
@@ -19,6 +19,7 @@ _MODULES = {
     "op3_bpe_encoding_decoding": bpe,
     "op7_token_id_output": token_output,
     "op9_benchmark_decontamination": decontaminate,
+    "op11_retrieval_packing": packing,
     "op12_conversation_repair": conversations,
     "op13_embedding_whitening": whitening,
 }

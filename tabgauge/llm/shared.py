@@ -30,11 +30,11 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def written(frame: DataFrame, what: str) -> DataFrame:
+def written(frame: DataFrame, what: str, **options: str) -> DataFrame:
     """Write ``frame`` as Parquet in the shared folder and read it back, which cuts its lineage."""
     spark = frame.sparkSession
     path = new_folder(spark, what)
-    frame.write.parquet(path)
+    frame.write.parquet(path, **options)
     return spark.read.schema(frame.schema).parquet(path)
 
 
