@@ -80,12 +80,12 @@ class Tokens:
 
 
 def _signatures(hashes: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
-    """Two MinHash values per document, 0 without words."""
+    """Two MinHash values per document, 0 without words; spread, as those of long texts are small and would lie together."""
     out, some = [], np.flatnonzero(bounds[:-1] < bounds[1:])
     for seed in words.seeded(2, 17):
         values = np.zeros(len(bounds) - 1, np.uint64)
         if len(some):
-            values[some] = np.minimum.reduceat(words.mix(hashes ^ seed), bounds[some])
+            values[some] = words.mix(~np.minimum.reduceat(words.mix(hashes ^ seed), bounds[some]))
         out.append(values.view(np.int64))
     return out
 
