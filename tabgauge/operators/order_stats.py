@@ -1,12 +1,13 @@
 """Exact order statistics of many columns without sorting any of them.
 
-A bracket is a closed range of values known to hold some wanted ranks. Each
-round counts the rows of all brackets in equal-width bins (one scan, one
-small shuffle) and keeps the bins that hold the ranks. A bracket that has
-become small is sorted by its distinct values. Where equal widths do not
-thin out a bracket, as with values spread over many magnitudes, it is cut at
-approximate percentiles instead. All decisions rest on exact counts, so the
-result is exact; the driver sees counts per bin, never rows.
+A bracket is a closed range of values known to hold some wanted ranks. Quantile sketches,
+merged in levels over the tasks, tell where the ranks lie within a large bracket; one scan
+covers all brackets of all columns. If what is left around a rank is still too large, the next
+scan counts it exactly and sketches its inside at the same time, which thins it out some
+hundred times whatever the distribution. The last scan groups the values of all small brackets
+and counts the rows between them. All results rest on exact counts; the sketches only
+choose the ranges, and a rank outside its range is looked for again. The driver sees a
+bounded number of values per wanted rank, never rows.
 """
 
 from __future__ import annotations
@@ -15,33 +16,40 @@ import math
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabgauge.functions.frames import Cell, long_form, small_frame, sql_double
 from tabgauge.functions.values import ordinal
+from tabgauge.operators.sketches import CUTS, SKETCH_SIZE, Sketch, rank_error, sketched
 
 BINS = 2048
 MAX_COUNTS = 1 << 18  # bin counts that one round hands to the driver at most
-SORT_ROWS = 50_000  # rows of a bracket that one task may sort
-SKETCH_ACCURACY = 10_000
+SORT_ROWS = 50_000  # distinct values of a bracket that one task may sort
+#: Share of the rows on both sides of a wanted rank that its range takes in.
+MARGIN = 3 * rank_error(SKETCH_SIZE)
 
 
 @dataclass(frozen=True)
 class Bracket:
-    """Rows of a column with ``low <= value <= high``; ``below`` rows precede."""
+    """Rows of a column with ``low <= value <= high``; ``below`` rows precede, None if not counted yet.
+
+    ``cuts`` are values at even steps of its rows, from a sketch, and ``wide`` tells how often
+    the margin was doubled.
+    """
 
     name: str
     low: float
     high: float
-    below: int
+    below: int | None
     rows: int
     ranks: tuple[int, ...]
-    even: bool = True  # split into equal widths next, else at percentiles
+    cuts: tuple[float, ...] = ()
+    wide: int = 0
 
     @property
     def single(self) -> bool:
-        return self.low == self.high
+        return self.low == self.high and self.below is not None
 
 
 def bin_count(groups: int) -> int:
@@ -66,10 +74,7 @@ def pick(
     for _, rows, low, high in sorted(bins):
         ranks = tuple(k for k in bracket.ranks if below <= k < below + rows)
         if ranks:
-            thinned = rows * 8 <= bracket.rows
-            found.append(
-                Bracket(bracket.name, low, high, below, rows, ranks, thinned)
-            )
+            found.append(Bracket(bracket.name, low, high, below, rows, ranks))
         below += rows
     return found
 
@@ -81,139 +86,156 @@ def order_statistics(
     values: dict[tuple[str, int], float] = {}
     work = list(brackets)
     while work:
-        for bracket in work:
-            if bracket.single:
-                values |= {(bracket.name, k): bracket.low for k in bracket.ranks}
+        values |= {(b.name, k): b.low for b in work if b.single for k in b.ranks}
         work = [b for b in work if not b.single]
-        large = [b for b in work if b.rows > SORT_ROWS]
-        if not large:
-            return values | _sorted_values(df, work)
-        even = [b for b in large if b.even and bin_factor(b.low, b.high, BINS)]
-        uneven = [replace(b, even=False) for b in large if b not in even]
-        work = [b for b in work if b.rows <= SORT_ROWS]
-        work += _split_evenly(df, even) if even else []
-        work += _split_at_percentiles(df, uneven) if uneven else []
+        bare = [b for b in work if b.rows > SORT_ROWS and not b.cuts]
+        if bare:
+            work = [b for b in work if b not in bare] + _with_cuts(df, bare)
+        ranges = [r for b in work for r in _ranges(b)]
+        if any(r.rows > SORT_ROWS for r in ranges):
+            work = _narrowed(df, ranges, values)
+        else:
+            work = _selected(df, ranges, values)
     return values
 
 
-def _inside(df: DataFrame, bracket: Bracket) -> str:
-    """SQL for the value where it lies in the bracket, else null."""
-    value = ordinal(bracket.name, df.schema[bracket.name].dataType)
-    low, high = sql_double(bracket.low), sql_double(bracket.high)
-    return f"case when {value} between {low} and {high} then {value} end"
+def _cell(df: DataFrame, name: str) -> Cell:
+    return Cell({"v": ordinal(name, df.schema[name].dataType)})
+
+
+def _with_cuts(df: DataFrame, brackets: Sequence[Bracket]) -> list[Bracket]:
+    """One scan: sketches of large brackets."""
+    cells = []
+    for b in brackets:
+        cell = _cell(df, b.name)
+        cell.fields["value"] = f"case when {{v}} between {sql_double(b.low)} and {sql_double(b.high)} then {{v}} end"
+        cells.append(cell)
+    return [replace(b, cuts=s.cuts, rows=s.n) for b, s in zip(brackets, sketched(df, cells), strict=True)]
 
 
-def _values_inside(
-    df: DataFrame, brackets: Sequence[Bracket], bins: Sequence[str] | None = None
-) -> DataFrame:
-    """``(bracket, value)`` of all rows in a bracket, and their bin if asked for.
+def _ranges(bracket: Bracket) -> list[Bracket]:
+    """Ranges around the ranks of a bracket, ``rows`` being an estimate of the rows strictly inside.
 
-    ``bins`` is SQL over ``{value}``. Brackets of one column do not overlap,
-    so a row yields at most one value for each column.
+    A bracket without cuts is small and stays whole.
     """
-    cells: dict[int, Cell] = {}
-    for name in dict.fromkeys(b.name for b in brackets):
-        ranges = [
-            (i, f"{{value}} between {sql_double(b.low)} and {sql_double(b.high)}")
-            for i, b in enumerate(brackets)
-            if b.name == name
-        ]
-        value = ordinal(name, df.schema[name].dataType)
-        cell = Cell({"value": value}, {"bracket": "{bracket}", "value": "{value}"})
-        cell.inputs["bracket"] = _choose([(test, str(i)) for i, test in ranges]).format(
-            value=value
+    if not bracket.cuts:
+        return [bracket]
+    found: list[tuple[int, int, list[int]]] = []
+    margin = MARGIN * 2**bracket.wide
+    for rank in sorted(bracket.ranks):
+        share = (rank - (bracket.below or 0)) / bracket.rows
+        first = max(0, math.floor((share - margin) * CUTS))
+        last = min(CUTS, math.ceil((share + 1 / bracket.rows + margin) * CUTS))
+        if found and first <= found[-1][1]:
+            found[-1] = (found[-1][0], max(last, found[-1][1]), [*found[-1][2], rank])
+        else:
+            found.append((first, last, [rank]))
+    return [
+        replace(
+            bracket,
+            low=bracket.cuts[first],
+            high=bracket.cuts[last],
+            below=None,
+            rows=(last - first) * bracket.rows // CUTS if bracket.cuts[first] < bracket.cuts[last] else 0,
+            ranks=tuple(ranks),
+            cuts=(),
         )
-        if bins:
-            cell.fields["bin"] = _choose([(test, bins[i]) for i, test in ranges])
-        cells[len(cells)] = cell
-    return long_form(df, cells, wanted="bracket")
+        for first, last, ranks in found
+    ]
 
 
-def _choose(cases: Sequence[tuple[str, str]]) -> str:
-    return f"case {' '.join(f'when {test} then {value}' for test, value in cases)} end"
+def _outside(bracket: Bracket, missed: Sequence[int]) -> list[Bracket]:
+    """The whole column again for ranks that a sketch misjudged, with wider margins."""
+    if not missed:
+        return []
+    end = float("inf")
+    return [Bracket(bracket.name, -end, end, None, SORT_ROWS + 1, tuple(missed), wide=bracket.wide + 1)]
 
 
-def _count(
-    df: DataFrame, brackets: Sequence[Bracket], bins: Sequence[str]
+def _narrowed(
+    df: DataFrame, ranges: Sequence[Bracket], values: dict[tuple[str, int], float]
 ) -> list[Bracket]:
-    """Count rows per bin, ``bins`` being SQL over ``{value}``, and pick bins."""
-    counts = (
-        _values_inside(df, brackets, bins)
-        .groupBy("bracket", "bin")
-        .agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.min("value").alias("low"),
-            F.max("value").alias("high"),
-        )
-        .collect()
-    )
-    per_bracket: list[list] = [[] for _ in brackets]
-    for row in counts:
-        per_bracket[row["bracket"]].append(
-            (row["bin"], row["rows"], row["low"], row["high"])
-        )
-    return [
-        found
-        for bracket, binned in zip(brackets, per_bracket, strict=True)
-        for found in pick(bracket, binned)
-    ]
-
-
-def _split_evenly(df: DataFrame, brackets: Sequence[Bracket]) -> list[Bracket]:
-    bins = bin_count(len(brackets))
-    indexes = []
-    for b in brackets:
-        factor = sql_double(bin_factor(b.low, b.high, bins))
-        place = f"({{value}} - {sql_double(b.low)}) * {factor}"
-        indexes.append(f"least(int(floor({place})), {bins - 1})")
-    return _count(df, brackets, indexes)
+    """One scan: rows below each range, at its ends, and a sketch of what lies between.
 
+    Ranks at the ends go to ``values``.
+    """
+    cells = []
+    for r in ranges:
+        low, high = sql_double(r.low), sql_double(r.high)
+        cell = _cell(df, r.name)
+        cell.fields |= {
+            "value": f"case when {{v}} > {low} and {{v}} < {high} then {{v}} end",
+            "below": f"count_if({{v}} < {low})",
+            "at_low": f"count_if({{v}} = {low})",
+            "at_high": f"count_if({{v}} = {high} and {high} > {low})",
+        }
+        cells.append(cell)
+    work = []
+    for r, s in zip(ranges, sketched(df, cells), strict=True):
+        first = s.counts["below"]
+        inside = first + s.counts["at_low"]
+        last = inside + s.n
+        end = last + s.counts["at_high"]
+        values |= {(r.name, k): r.low for k in r.ranks if first <= k < inside}
+        values |= {(r.name, k): r.high for k in r.ranks if last <= k < end}
+        ranks = tuple(k for k in r.ranks if inside <= k < last)
+        if ranks:
+            cuts = s.cuts if s.n > SORT_ROWS else ()
+            work.append(Bracket(r.name, s.cuts[0], s.cuts[-1], inside, s.n, ranks, cuts, r.wide))
+        work += _outside(r, [k for k in r.ranks if not first <= k < end])
+    return work
 
-def _split_at_percentiles(df: DataFrame, brackets: Sequence[Bracket]) -> list[Bracket]:
-    margin = 3.0 / SKETCH_ACCURACY
-    cuts = []
-    for b in brackets:
-        first = (min(b.ranks) - b.below) / b.rows - margin
-        last = (max(b.ranks) + 1 - b.below) / b.rows + margin
-        shares = [max(0.0, first), min(1.0, last)]
-        wanted = ", ".join(map(sql_double, shares))
-        cuts.append(
-            f"percentile_approx({_inside(df, b)}, array({wanted}), {SKETCH_ACCURACY})"
-        )
-    found = df.selectExpr(f"array({', '.join(cuts)}) as cuts").first()["cuts"]
-    indexes = [
-        f"case when {{value}} < {low} then 0 when {{value}} = {low} then 1 "
-        f"when {{value}} < {high} then 2 when {{value}} = {high} then 3 else 4 end"
-        for low, high in (map(sql_double, pair) for pair in found)
-    ]
-    # The next split may use equal widths again: the range is a new one.
-    return [replace(b, even=True) for b in _count(df, brackets, indexes)]
 
+def _selected(
+    df: DataFrame, ranges: Sequence[Bracket], values: dict[tuple[str, int], float]
+) -> list[Bracket]:
+    """One scan: the distinct values inside the ranges, ranked by one task per column.
 
-def _sorted_values(
-    df: DataFrame, brackets: Sequence[Bracket]
-) -> dict[tuple[str, int], float]:
-    """Rank the distinct values of small brackets, one task per bracket."""
-    if not brackets:
-        return {}
+    Where the rows below a range are not known, those between the ranges are counted
+    too, one row per gap and task. Found ranks go to ``values``.
+    """
+    if not ranges:
+        return []
+    names = list(dict.fromkeys(r.name for r in ranges))
+    cells, known, wanted = {}, [], []
+    for i, name in enumerate(names):
+        own = sorted((r for r in ranges if r.name == name), key=lambda r: (r.low, r.high))
+        counted = all(r.below is not None for r in own)
+        cases, slots = [], []
+        for j, r in enumerate(own):
+            if not counted:
+                cases.append(f"when {{v}} < {sql_double(r.low)} then {2 * j}")
+            cases.append(f"when {{v}} between {sql_double(r.low)} and {sql_double(r.high)} then {2 * j + 1}")
+            slots.append(str(2 * j + 1))
+            if counted:
+                known.append((i, 2 * j + 1, r.below))
+            wanted += [(i, k) for k in r.ranks]
+        cell = cells[i] = _cell(df, name)
+        value = cell.inputs["v"]
+        cell.inputs["slot"] = f"case {' '.join(cases)} end".format(v=value)
+        cell.fields |= {"slot": "{slot}", "value": f"if({{slot}} in ({', '.join(slots)}), {{v}}, null)"}
     counts = (
-        _values_inside(df, brackets)
-        .groupBy("bracket", "value")
-        .agg(F.count(F.lit(1)).alias("rows"))
-    )
-    running = Window.partitionBy("bracket").orderBy("value")
-    wanted = small_frame(
-        df,
-        [(i, k - b.below, k) for i, b in enumerate(brackets) for k in b.ranks],
-        "bracket int, place bigint, rank bigint",
+        long_form(df, cells, wanted="slot")
+        .groupBy("id", "slot", "value")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
+    before = small_frame(df, known, "id int, slot int, before bigint")
+    ranks = small_frame(df, sorted(set(wanted)), "id int, wanted_rank bigint")
     found = (
-        counts.withColumn("upto", F.sum("rows").over(running))
-        .join(F.broadcast(wanted), "bracket")
-        .filter("place < upto and place >= upto - rows")
+        counts.join(F.broadcast(before), ["id", "slot"], "left")  # one row per range
+        .selectExpr(
+            "id",
+            "value",
+            "n",
+            "sum(n) over (partition by id, slot order by value) as upto",
+            "coalesce(before, sum(n) over (partition by id order by slot range between unbounded preceding and 1 preceding), 0) as base",
+        )
+        .join(F.broadcast(ranks), "id")  # one row per wanted rank
+        .filter("value is not null and wanted_rank < base + upto and wanted_rank >= base + upto - n")
         .collect()
     )
-    return {(brackets[r["bracket"]].name, r["rank"]): r["value"] for r in found}
+    values |= {(names[r["id"]], r["wanted_rank"]): r["value"] for r in found}
+    return [again for r in ranges for again in _outside(r, [k for k in r.ranks if (r.name, k) not in values])]
 
 
 def linear_ranks(valid: int, share: float) -> tuple[int, int, float]:
@@ -238,6 +260,12 @@ def whole_column(name: str, low: float, high: float, valid: int, ranks: Iterable
     return Bracket(name, low, high, 0, valid, tuple(sorted(set(ranks))))
 
 
+def sketched_column(name: str, sketch: Sketch, ranks: Iterable[int]) -> Bracket:
+    """Bracket of a column that has been sketched already."""
+    whole = whole_column(name, sketch.cuts[0], sketch.cuts[-1], sketch.n, ranks)
+    return replace(whole, cuts=sketch.cuts) if sketch.n > SORT_ROWS else whole
+
+
 def quantile_ranks(valid: int, shares: Iterable[float], nearest: bool = False) -> set[int]:
     """Ranks needed for the given quantiles of a column."""
     if valid <= 0:

@@ -1,13 +1,17 @@
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import date, datetime
 
 import numpy as np
 import pytest
 
 import tabgauge as tg
-from tabgauge.operators import order_stats
+from tabgauge.functions import tasks as task_levels
+from tabgauge.functions.frames import Cell
+from tabgauge.operators import order_stats, sketches
 from tabgauge.operators.order_stats import Bracket, order_statistics, whole_column
+from tabgauge.operators.quantiles import QUANTILES
 
 NAN, INF = float("nan"), float("inf")
 
@@ -109,17 +113,80 @@ CASES = {
 }
 
 
+@pytest.mark.parametrize("limit", [3, 40])
 @pytest.mark.parametrize("name", CASES)
-def test_order_statistics_against_a_sort(spark, monkeypatch, name):
+def test_order_statistics_against_a_sort(spark, monkeypatch, name, limit):
     # Small limits send the search through all of its kinds of rounds.
-    monkeypatch.setattr(order_stats, "SORT_ROWS", 40)
-    monkeypatch.setattr(order_stats, "BINS", 32)
-    monkeypatch.setattr(order_stats, "SKETCH_ACCURACY", 100)
+    monkeypatch.setattr(order_stats, "SORT_ROWS", limit)
     values = list(CASES[name](np.random.default_rng(11)))
     n = int(sum(v == v for v in values))
     values_at(spark, values, {0, 1, n // 4, n // 2, n // 2 + 1, 3 * n // 4, n - 2, n - 1})
 
 
+def test_ranks_that_a_sketch_misjudges_are_found_all_the_same(spark, monkeypatch):
+    monkeypatch.setattr(order_stats, "SORT_ROWS", 40)
+    right = order_stats.sketched
+
+    def wrong(df, cells):
+        return [replace(s, cuts=tuple(c + 0.3 for c in s.cuts)) for s in right(df, cells)]
+
+    calls = []
+    monkeypatch.setattr(order_stats, "sketched", lambda df, cells: calls.append(1) or (wrong if len(calls) < 3 else right)(df, cells))
+    values_at(spark, list(np.random.default_rng(2).random(2000)), {0, 500, 1000, 1999})
+    assert len(calls) >= 3
+
+
+@pytest.fixture
+def scans(monkeypatch):
+    """Names of the scans that the search for ranks makes."""
+    made = []
+    for name in ("_with_cuts", "_narrowed", "_selected"):
+        monkeypatch.setattr(order_stats, name, lambda *a, f=getattr(order_stats, name), n=name: made.append(n) or f(*a))
+    return made
+
+
+@pytest.mark.parametrize("kind", ["uniform", "log-normal", "forty magnitudes"])
+def test_few_scans_whatever_the_distribution(spark, scans, kind):
+    value = {"uniform": "rand(3)", "log-normal": "exp(4 * randn(3))", "forty magnitudes": "pow(10, 40 * rand(3) - 20)"}[kind]
+    df = spark.range(0, 400_000, 1, 4).selectExpr(f"{value} as x")
+    data = np.sort(df.toPandas()["x"].to_numpy())
+    n = len(data)
+    ranks = {0, n // 20, n // 4, n // 2, 3 * n // 4, n - n // 20, n - 1}
+    found = order_statistics(df, [whole_column("x", data[0], data[-1], n, ranks)])
+    assert found == {("x", k): data[k] for k in ranks}
+    assert scans == ["_with_cuts", "_selected"]
+
+
+@pytest.mark.parametrize("tasks", [1, 3, 70])
+def test_sketches_merge_in_levels(spark, monkeypatch, tasks):
+    monkeypatch.setattr(task_levels, "FAN", 4)
+    df = spark.range(0, 20_000, 1, tasks).selectExpr("double(id * 7919 % 20000) as x", "id % 3 = 0 as y")
+    cell = Cell({"v": "x", "f": "y"}, {"value": "{v}", "hit": "count_if({f})"})
+    assert task_levels.tasks_of(df) == tasks
+    found = sketches.sketched(df, [cell, cell])
+    assert [(s.n, s.cuts[0], s.cuts[-1], s.counts) for s in found] == [(20_000, 0.0, 19_999.0, {"hit": 6667})] * 2
+    error = sketches.rank_error(sketches.SKETCH_SIZE) * 20_000
+    assert all(abs(c - i * 20_000 / sketches.CUTS) <= 3 * error + 1 for s in found for i, c in enumerate(s.cuts))
+    (_, whole), = sketches.merged_sketches(df, [cell], 200)
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    levels = {1: 1, 3: 1, 70: 4}[tasks]  # of up to 4 rows each
+    assert plan.count("partial_kll_merge_agg") == levels - 1 and plan.count("partial_kll_sketch_agg") == 1
+
+
+def test_approximate_quantiles_within_their_bound(spark, rows):
+    df = spark.range(0, 300_000, 1, 8).selectExpr("exp(3 * randn(1)) as a", "double(id % 5) as b", "if(id % 2 = 0, null, rand(2)) as c")
+    near = rows(tg.numeric_quantiles(df, approx=True))
+    data = df.toPandas()
+    for name in "abc":
+        present = np.sort(data[name].dropna().to_numpy())
+        for key, share in QUANTILES.items():
+            low, high = np.searchsorted(present, near[name][key], "left"), np.searchsorted(present, near[name][key], "right")
+            off = max(low - share * len(present), share * len(present) - high, 0) / len(present)
+            assert off <= 3 * sketches.rank_error(sketches.SKETCH_SIZE)
+    empty = rows(tg.numeric_quantiles(df.limit(0), approx=True))
+    assert empty["a"]["median"] is None and set(empty) == {"a", "b", "c"}
+
+
 def test_picking_bins_keeps_counts():
     whole = Bracket("x", 0.0, 9.0, 0, 10, (0, 4, 9))
     found = whole_pick = order_stats.pick(whole, [(1, 5, 3.0, 5.0), (0, 3, 0.0, 2.0), (2, 2, 8.0, 9.0)])
