@@ -57,10 +57,12 @@ from tabgauge.operators.values import (
     value_counts,
 )
 from tabgauge.plans.profile import Profile, profile_column, profile_table
+from tabgauge.plans.store import StoredProfile, profile_files
 from tabgauge.sources import read_csv, read_parquet
 
 __all__ = [
     "Profile",
+    "StoredProfile",
     "cardinality",
     "cardinality_flags",
     "column_report",
@@ -90,6 +92,7 @@ __all__ = [
     "pearson_value",
     "pearson_wide",
     "profile_column",
+    "profile_files",
     "profile_table",
     "read_csv",
     "read_parquet",

@@ -184,9 +184,11 @@ def grids(
     basics: Mapping[str, Row],
     rule: BinRule | None,
     quartiles: Mapping[str, tuple[float, float]] | None = None,
+    ranges: Mapping[str, tuple[float, float]] | None = None,
 ) -> list[Grid]:
-    """Bins of the columns that have a finite value."""
-    ranges = finite_ranges(df, names, basics)
+    """Bins of the columns that have a finite value; ``ranges`` may give the finite ones."""
+    if ranges is None:
+        ranges = finite_ranges(df, names, basics)
     counts = bin_counts(df, list(ranges), basics, rule, ranges, quartiles)
     return [Grid(n, *ranges[n], counts[n]) for n in ranges]
 
@@ -205,20 +207,15 @@ def bin_sql(grid: Grid) -> str:
     )
 
 
-def histogram_on(df: DataFrame, found: Sequence[Grid]) -> DataFrame:
-    """Count rows on known bins: one scan, one row per bin and task shuffled."""
+def histogram_on(df: DataFrame, found: Sequence[Grid], counts: DataFrame | None = None) -> DataFrame:
+    """Count rows on known bins: one scan, one row per bin and task shuffled.
+
+    ``counts`` may give ``(id, bin_idx, n)`` of bins that hold rows, ``id`` being the place in ``found``.
+    """
     if not found:
         return small_frame(df, [], HISTOGRAM_SCHEMA)
-    cells = {
-        i: Cell({"value": number(g.name, df.schema[g.name].dataType)}, {"bin_idx": bin_sql(g)})
-        for i, g in enumerate(found)
-    }
-    counts = (
-        long_form(df, cells)
-        .filter("bin_idx is not null")
-        .groupBy("id", "bin_idx")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    if counts is None:
+        counts = _count_bins(df, found)
     edges = small_frame(
         df,
         [(i, g.name, g.bins, g.low, g.high, g.start, g.width) for i, g in enumerate(found)],
@@ -254,6 +251,19 @@ def histogram_on(df: DataFrame, found: Sequence[Grid]) -> DataFrame:
     )
 
 
+def _count_bins(df: DataFrame, found: Sequence[Grid]) -> DataFrame:
+    cells = {
+        i: Cell({"value": number(g.name, df.schema[g.name].dataType)}, {"bin_idx": bin_sql(g)})
+        for i, g in enumerate(found)
+    }
+    return (
+        long_form(df, cells)
+        .filter("bin_idx is not null")
+        .groupBy("id", "bin_idx")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
 def _every_bin(df: DataFrame, sizes: Sequence[int]) -> DataFrame:
     """``id, bin_idx`` of all bins of all columns, made by as many tasks as they need."""
     starts = [0, *itertools.accumulate(sizes)]

@@ -42,7 +42,7 @@ def _family(dtype: T.DataType) -> str:
     return "string"
 
 
-def _key(name: str, dtype: T.DataType) -> str:
+def value_key(name: str, dtype: T.DataType) -> str:
     """SQL for a value of the family's type that tells the values apart."""
     kind = dtypes.semantic_type(dtype)
     value = column(name)
@@ -68,7 +68,7 @@ def distinct_values(df: DataFrame, columns: Sequence[str]) -> list[tuple[str, Da
     families: dict[str, dict[int, Cell]] = {}
     for i, name in enumerate(columns):
         dtype = df.schema[name].dataType
-        cell = Cell({"value": _key(name, dtype)}, {"value": "{value}"})
+        cell = Cell({"value": value_key(name, dtype)}, {"value": "{value}"})
         families.setdefault(_family(dtype), {})[i] = cell
     return [
         (
@@ -102,7 +102,7 @@ def cardinality(
     frame = rows.select(F.inline(names), "row_count")
     if approx:
         sketches = [
-            f"approx_count_distinct({_key(n, df.schema[n].dataType)}) "
+            f"approx_count_distinct({value_key(n, df.schema[n].dataType)}) "
             f"+ coalesce(int(bool_or({column(n)} is null)), 0)"
             for n in columns
         ]

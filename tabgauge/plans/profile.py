@@ -22,8 +22,10 @@ from tabgauge.operators.quality import (
 )
 from tabgauge.operators.quantiles import QUANTILES
 from tabgauge.operators.report import column_report, table_profile, table_report
+from tabgauge.operators.states import Estimate, estimates, table_states
 from tabgauge.operators.types import is_categorical
 from tabgauge.operators.values import top_categories, value_counts
+from tabgauge.plans.estimated import CATEGORY_SCHEMA, add_estimates, add_times, categories_of, histogram_of
 from tabgauge.plans.facts import Facts
 
 # Parts of a profile that can be asked for one by one.
@@ -77,10 +79,6 @@ COLUMN_FIELDS = {
     "has_low_variation": "boolean",
 }
 
-CATEGORY_SCHEMA = (
-    "column string, value string, n bigint, rank int, categories bigint, remaining bigint"
-)
-
 
 @dataclass(frozen=True)
 class Profile:
@@ -109,7 +107,8 @@ def profile_table(
     bins: BinRule | None = None,
     missing: str = "pairwise",
     declared: Mapping[str, str] | None = None,
-    sections: Collection[str] = SECTIONS,
+    sections: Collection[str] | None = None,
+    approx: bool = False,
 ) -> Profile:
     """Profile the target and the features, by default every column.
 
@@ -117,30 +116,29 @@ def profile_table(
     ``sections`` leaves out parts and the passes only they need. ``declared``
     overrides semantic types, ``bins`` sets the histogram rule and
     ``missing`` how correlations treat missing values.
+
+    ``approx=True`` takes one scan with sketches and one small shuffle: counts, ranges,
+    means and moments stay exact, the rest lies within the bounds of ``operators.states``.
+    Correlations, which need a scan of their own, are then left out unless ``sections`` names them.
     """
+    if sections is None:
+        sections = [s for s in SECTIONS if not (approx and s == "correlation")]
     check_thresholds(zscore, variance)
     unknown = set(sections) - set(SECTIONS)
     if unknown:
         raise ValueError(f"Unknown sections: {', '.join(sorted(unknown))}.")
     roles = dtypes.assign_roles(df, target, features)
+    if approx:
+        names = [role.name for role in roles]
+        found = estimates(table_states(df, names), names)
+        return estimated_profile(df, roles, found, zscore, variance, bins, missing, declared, sections)
     facts = Facts(df, [role.name for role in roles], declared)
     asked = set(sections)
     facts.summarised = _summarised(facts, asked)
     if not asked & {"types", "histogram"}:
         facts.counted = facts.of(*_DOMINATED) if "quality" in asked else []
     records = {
-        role.name: {
-            "column": role.name,
-            "position": role.position,
-            "is_target": role.is_target,
-            "is_feature": role.is_feature,
-            "type": facts.kinds[role.name],
-            "is_numeric": facts.kinds[role.name] in dtypes.NUMERIC,
-            "is_temporal": facts.kinds[role.name] in dtypes.TEMPORAL,
-            "timezone": dtypes.timezone_of(df, role.name),
-            "row_count": facts.row_count,
-        }
-        for role in roles
+        role.name: _record(df, role, facts.kinds[role.name], facts.row_count) for role in roles
     }
     categorical = _add_types(facts, records) if asked & {"types", "histogram"} else []
     for section, fields in (
@@ -156,27 +154,81 @@ def profile_table(
         _add_numbers(facts, records)
     if "quality" in sections:
         _add_quality(facts, records, zscore, variance)
+    categories, histogram = _histograms(facts, categorical, bins, sections)
+    correlation = _correlation(facts, missing, sections)
+    return _reported(df, records, facts.row_count, categories, histogram, correlation, asked)
+
+
+def _record(df: DataFrame, role: dtypes.Role, kind: str, row_count: int) -> dict:
+    return {
+        "column": role.name,
+        "position": role.position,
+        "is_target": role.is_target,
+        "is_feature": role.is_feature,
+        "type": kind,
+        "is_numeric": kind in dtypes.NUMERIC,
+        "is_temporal": kind in dtypes.TEMPORAL,
+        "timezone": dtypes.timezone_of(df, role.name),
+        "row_count": row_count,
+    }
+
+
+def _reported(
+    df: DataFrame,
+    records: Mapping[str, dict],
+    row_count: int,
+    categories: DataFrame,
+    histogram: DataFrame,
+    correlation: DataFrame,
+    sections: Collection[str],
+) -> Profile:
+    """The frames of a profile, with both reports."""
     columns = small_frame(
         df,
         [tuple(r.get(field) for field in COLUMN_FIELDS) for r in records.values()],
         ", ".join(f"{field} {kind}" for field, kind in COLUMN_FIELDS.items()),
     )
-    categories, histogram = _histograms(facts, categorical, bins, sections)
-    correlation = _correlation(facts, missing, sections)
-    info = column_report(columns, categories, histogram, asked)
-    table = table_profile(columns, facts.row_count, len(df.columns))
-    report = table_report(table, columns, correlation, asked)
+    info = column_report(columns, categories, histogram, set(sections))
+    table = table_profile(columns, row_count, len(df.columns))
+    report = table_report(table, columns, correlation, set(sections))
     table = table.withColumn("info", report.scalar())
     columns = columns.join(info, "column", "left")
     return Profile(columns, table, categories, histogram, correlation)
 
 
+def estimated_profile(
+    df: DataFrame,
+    roles: Sequence[dtypes.Role],
+    found: Mapping[str, Estimate],
+    zscore: float,
+    variance: float,
+    bins: BinRule | None,
+    missing: str,
+    declared: Mapping[str, str] | None,
+    sections: Collection[str],
+) -> Profile:
+    """The profile that states of the columns give; only correlations read the table."""
+    asked = set(sections)
+    facts = Facts(df, [role.name for role in roles], declared)
+    records = {role.name: _record(df, role, facts.kinds[role.name], 0) for role in roles}
+    categorical = add_estimates(df, records, found, asked, zscore, variance)
+    if "temporal" in asked:
+        add_times(df, records, found)
+    categories, histogram = (small_frame(df, [], schema) for schema in (CATEGORY_SCHEMA, HISTOGRAM_SCHEMA))
+    if "histogram" in asked:
+        numbers = [name for name in facts.numeric if name not in categorical]
+        categories, histogram = categories_of(df, categorical, found), histogram_of(df, numbers, found, bins)
+    row_count = next((r["row_count"] for r in records.values()), 0) if records else df.count()
+    correlation = _correlation(facts, missing, asked)
+    return _reported(df, records, row_count, categories, histogram, correlation, asked)
+
+
 def profile_column(
     df: DataFrame, name: str, *, is_target: bool = False, **settings
 ) -> DataFrame:
     """Profile of one column; takes the settings of ``profile_table``."""
     dtypes.require_columns(df, [name])
-    sections = set(settings.pop("sections", SECTIONS)) - {"correlation"}
+    sections = set(settings.pop("sections", None) or SECTIONS) - {"correlation"}
     one = df.select(df[f"`{name.replace('`', '``')}`"])
     profile = profile_table(
         one, target=name if is_target else None, sections=sections, **settings
