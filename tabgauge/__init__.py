@@ -7,6 +7,7 @@ from tabgauge.operators.correlation import (
     pearson_wide,
     strong_correlations,
 )
+from tabgauge.operators.frequent import frequent_values
 from tabgauge.operators.histogram import (
     histogram_all,
     histogram_categorical,
@@ -71,6 +72,7 @@ __all__ = [
     "columns_by_type",
     "data_quality",
     "drop_missing",
+    "frequent_values",
     "high_missing_columns",
     "histogram_all",
     "histogram_categorical",

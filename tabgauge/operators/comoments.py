@@ -1,8 +1,9 @@
 """Co-moments of all pairs of columns over the rows where both are present, in one scan.
 
-Every task turns its Arrow batches into matrix products of values and presence masks and
-merges the results; tasks hand over one packed row per tile of columns, and the tiles are
-merged in two levels, so that no group grows with the number of tasks.
+Every task turns its Arrow batches into matrix products of values and presence masks, tile by
+tile, and merges the results; it holds each pair of columns once, and few rows at a time. Tasks hand
+over one packed row per tile of columns. Tiles are merged in groups of ``FAN`` tasks, groups in
+groups again, in as many levels as the tasks need, so that no group grows with their number.
 """
 
 from __future__ import annotations
@@ -15,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabgauge.functions.tasks import FAN, tasks_of
+
 #: Columns per side of a tile.
 TILE = 64
-#: Groups of tasks whose tiles are merged first.
-FIRST_LEVEL = 256
+#: Values of a slice of rows at most; some six arrays of this size are held at once.
+SLICE_VALUES = 1 << 23
 # Share of the raw squares below which the difference has lost too many digits.
 _LOST = 1e-8
 # Spread against the mean, per value, up to which a column counts as constant.
@@ -65,10 +68,6 @@ class Moments:
             self.odd + other.odd,
         )
 
-    def tile(self, rows: slice, cols: slice) -> Moments:
-        grids = (self.n, self.mean_a, self.mean_b, self.m_a, self.m_b, self.c, self.odd)
-        return Moments(self.ref_a[rows], self.ref_b[cols], *(g[rows, cols] for g in grids))
-
     def pack(self) -> bytes:
         grids = (self.n, self.mean_a, self.mean_b, self.m_a, self.m_b, self.c, self.odd)
         shape = np.array(self.n.shape, np.float64)
@@ -89,51 +88,62 @@ class Moments:
         return np.where(varied & (spread > 0), np.clip(self.c / np.where(spread > 0, spread, 1.0), -1.0, 1.0), np.nan)
 
 
-def of_batch(values: np.ndarray) -> Moments:
-    """Moments of one batch of rows; NaN is missing."""
-    here = ~np.isnan(values)
-    infinite = np.isinf(values)
-    usable = here & ~infinite
-    some = usable.any(0)
-    centre = np.zeros(values.shape[1])
-    if some.any():
-        # The median keeps a far value from taking the digits of the others.
-        centre[some] = np.nanmedian(np.where(usable[:, some], values[:, some], np.nan), axis=0)
-    x = np.where(usable, values - centre, 0.0)
-    mask, present = usable.astype(np.float64), here.astype(np.float64)
-    n = mask.T @ mask
-    safe = np.maximum(n, 1)
-    sums, squares, products = x.T @ mask, (x * x).T @ mask, x.T @ x
-    mean = sums / safe
-    m = np.maximum(squares - sums * mean, 0.0)
-    c = products - sums * mean.T
-    for i, j in zip(*np.nonzero(m < _LOST * squares), strict=True):
-        rows = usable[:, i] & usable[:, j]
-        own, other = x[rows, i], x[rows, j]
-        own, other = own - own[0], other - other[0]
-        own, other = own - own.mean(), other - other.mean()
-        m[i, j] = own @ own
-        c[i, j] = c[j, i] = own @ other
-    bad = infinite.astype(np.float64)
-    odd = bad.T @ present + present.T @ bad
-    return Moments(centre, centre, n, mean, mean.T, m, m.T, c, odd)
+class Slice:
+    """A few rows, centred; moments of any two ranges of columns. NaN is missing."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        here = ~np.isnan(values)
+        infinite = np.isinf(values)
+        self.usable = here & ~infinite
+        some = self.usable.any(0)
+        self.centre = np.zeros(values.shape[1])
+        if some.any():
+            # The median keeps a far value from taking the digits of the others.
+            self.centre[some] = np.nanmedian(np.where(self.usable[:, some], values[:, some], np.nan), axis=0)
+        self.x = np.where(self.usable, values - self.centre, 0.0)
+        self.mask = self.usable.astype(np.float64)
+        self.odd = (infinite.astype(np.float64), here.astype(np.float64)) if infinite.any() else None
+
+    def moments(self, a: slice, b: slice) -> Moments:
+        x_a, x_b, in_a, in_b = self.x[:, a], self.x[:, b], self.mask[:, a], self.mask[:, b]
+        n = in_a.T @ in_b
+        safe = np.maximum(n, 1)
+        sums_a, sums_b = x_a.T @ in_b, in_a.T @ x_b
+        squares_a, squares_b = (x_a * x_a).T @ in_b, in_a.T @ (x_b * x_b)
+        mean_a, mean_b = sums_a / safe, sums_b / safe
+        m_a, m_b = np.maximum(squares_a - sums_a * mean_a, 0.0), np.maximum(squares_b - sums_b * mean_b, 0.0)
+        c = x_a.T @ x_b - sums_a * mean_b
+        lost = (m_a < _LOST * squares_a) | (m_b < _LOST * squares_b)
+        for i, j in zip(*np.nonzero(lost), strict=True):
+            rows = self.usable[:, a][:, i] & self.usable[:, b][:, j]
+            own, other = x_a[rows, i], x_b[rows, j]
+            own, other = own - own[0], other - other[0]
+            own, other = own - own.mean(), other - other.mean()
+            m_a[i, j], m_b[i, j], c[i, j] = own @ own, other @ other, own @ other
+        odd = np.zeros_like(n)
+        if self.odd:
+            bad, present = self.odd
+            odd = bad[:, a].T @ present[:, b] + present[:, a].T @ bad[:, b]
+        return Moments(self.centre[a], self.centre[b], n, mean_a, mean_b, m_a, m_b, c, odd)
 
 
 def _scan(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = None
+        found: dict[tuple[int, int], Moments] = {}
         for batch in batches:
-            if batch.num_rows:
-                values = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns])
+            width = batch.num_columns
+            cuts = [slice(i, min(i + size, width)) for i in range(0, width, size)]
+            rows = max(1, SLICE_VALUES // width)
+            for lo in range(0, batch.num_rows, rows):
+                part = batch.slice(lo, rows)
                 with np.errstate(all="ignore"):
-                    own = of_batch(values)
-                    found = own if found is None else found.merge(own)
-        if found is None:
-            return
-        cuts = [slice(i, i + size) for i in range(0, len(found.ref_a), size)]
-        pairs = [(i, j) for i in range(len(cuts)) for j in range(i, len(cuts))]
-        for i, j in pairs:
-            data = found.tile(cuts[i], cuts[j]).pack()
+                    own = Slice(np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in part.columns]))
+                    for i in range(len(cuts)):
+                        for j in range(i, len(cuts)):
+                            tile = own.moments(cuts[i], cuts[j])
+                            found[i, j] = found[i, j].merge(tile) if (i, j) in found else tile
+        for i, j in list(found):
+            data = found.pop((i, j)).pack()
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([j], pa.int32()), pa.array([data], pa.binary())], names=["i", "j", "data"])
 
     return run
@@ -148,8 +158,9 @@ def _merged(table: pa.Table) -> Moments:
     return found
 
 
-def _first(table: pa.Table) -> pa.Table:
-    return pa.table({"i": table.column("i")[:1], "j": table.column("j")[:1], "data": pa.array([_merged(table).pack()], pa.binary())})
+def _together(table: pa.Table) -> pa.Table:
+    keys = {c: table.column(c)[:1] for c in ("i", "j", "part")}
+    return pa.table({**keys, "data": pa.array([_merged(table).pack()], pa.binary())})
 
 
 def correlations(frame: DataFrame, scales: Sequence[float]) -> DataFrame:
@@ -160,8 +171,12 @@ def correlations(frame: DataFrame, scales: Sequence[float]) -> DataFrame:
     """
     size = TILE
     scaled = frame.select(*[(F.col(f"`{c}`") * F.lit(s)).alias(f"x{i}") for i, (c, s) in enumerate(zip(frame.columns, scales, strict=True))])
-    tiles = scaled.mapInArrow(_scan(size), "i int, j int, data binary").withColumn("task", F.spark_partition_id() % FIRST_LEVEL)
-    once = tiles.groupBy("i", "j", "task").applyInArrow(_first, "i int, j int, data binary")
+    groups = -(-tasks_of(scaled) // FAN)
+    tiles = scaled.mapInArrow(_scan(size), "i int, j int, data binary").withColumn("part", F.expr(f"bigint(spark_partition_id() div {FAN})"))
+    while groups > 1:
+        merged = tiles.groupBy("i", "j", "part").applyInArrow(_together, "i int, j int, part bigint, data binary")
+        tiles = merged.withColumn("part", F.expr(f"part div {FAN}"))
+        groups = -(-groups // FAN)
 
     def last(table: pa.Table) -> pa.Table:
         r = _merged(table).correlation()
@@ -170,4 +185,4 @@ def correlations(frame: DataFrame, scales: Sequence[float]) -> DataFrame:
         keep = (a + i) <= (b + j)
         return pa.table({"pos_1": (a + i)[keep].astype(np.int32), "pos_2": (b + j)[keep].astype(np.int32), "r": r.ravel()[keep]})
 
-    return once.groupBy("i", "j").applyInArrow(last, "pos_1 int, pos_2 int, r double")
+    return tiles.groupBy("i", "j").applyInArrow(last, "pos_1 int, pos_2 int, r double")

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import math
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import tabgauge as tg
@@ -111,3 +113,39 @@ def test_one_scan_for_any_number_of_columns(spark, columns):
     for i, j in ((0, 1), (3, 11), (0, columns - 1)):
         rows = ~np.isnan(data[:, i]) & ~np.isnan(data[:, j])
         assert found[f"c{i}", f"c{j}"] == pytest.approx(np.corrcoef(data[rows, i], data[rows, j])[0, 1], abs=1e-9)
+
+
+@pytest.mark.parametrize("tasks", [1, 2, 9])
+def test_tiles_merge_in_as_many_levels_as_tasks_need(spark, monkeypatch, tasks):
+    monkeypatch.setattr(comoments, "FAN", 2)
+    df = spark.range(0, 900, 1, tasks).selectExpr(*(f"if(id % {i + 3} = 0, null, double(hash(id, {i}))) as c{i}" for i in range(5)))
+    long = tg.pearson_long(df)
+    # One group-wise step per level: 9 tasks make 5 groups, then 3, 2 and 1.
+    assert long._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInArrow") == {1: 1, 2: 1, 9: 4}[tasks]
+    found = matrix(long)
+    data = np.array([[np.nan if v is None else v for v in row] for row in df.collect()])
+    for i in range(5):
+        for j in range(5):
+            rows = ~np.isnan(data[:, i]) & ~np.isnan(data[:, j])
+            assert found[f"c{i}", f"c{j}"] == pytest.approx(np.corrcoef(data[rows, i], data[rows, j])[0, 1], abs=1e-9)
+
+
+def test_five_thousand_columns_in_two_gigabytes(monkeypatch):
+    generator = np.random.default_rng(3)
+    data = generator.normal(size=(60, 5000))
+    data[::7, ::11] = np.nan
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in data.T], names=[f"x{i}" for i in range(5000)])
+    monkeypatch.setattr(comoments, "SLICE_VALUES", 5000 * 40)
+    tracemalloc.start()
+    checked = 0
+    for out in comoments._scan(comoments.TILE)(iter([batch])):
+        i, j = out.column("i")[0].as_py(), out.column("j")[0].as_py()
+        if (i, j) in ((0, 0), (0, 78), (40, 41)):
+            r = comoments.Moments.unpack(out.column("data")[0].as_py()).correlation()
+            a, b = data[:, 64 * i], data[:, 64 * j + 5]
+            rows = ~np.isnan(a) & ~np.isnan(b)
+            assert r[0, 5] == pytest.approx(np.corrcoef(a[rows], b[rows])[0, 1], abs=1e-9)
+            checked += 1
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert checked == 3 and peak < 2 << 30
