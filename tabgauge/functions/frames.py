@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -132,3 +133,25 @@ def small_frame(df: DataFrame, rows: Sequence[tuple], schema: str) -> DataFrame:
         f"select {', '.join(cells)} from values {', '.join(values)} "
         f"as t({', '.join(name for name, _ in fields)})"
     )
+
+
+#: Rows of a finished result that a plan, and that the driver, keep at most.
+PLANNED_ROWS, KEPT_ROWS = 2_000, 200_000
+
+
+def kept(frame: DataFrame, schema: str, rows: int) -> DataFrame:
+    """The result of ``frame``, worked out once; ``rows`` is how many it has at most.
+
+    Beyond ``KEPT_ROWS`` it goes to the folder in ``spark.checkpoint.dir``, or stays a plan where none is set.
+    """
+    if rows <= PLANNED_ROWS:
+        return small_frame(frame, [tuple(row) for row in frame.collect()], schema)
+    if rows <= KEPT_ROWS:
+        return frame.sparkSession.createDataFrame(frame.toArrow(), frame.schema)
+    spark = frame.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return frame
+    path = f"{folder.rstrip('/')}/kept-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)

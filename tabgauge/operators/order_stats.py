@@ -4,8 +4,8 @@ A bracket is a closed range of values known to hold some wanted ranks. Quantile
 merged in levels over the tasks, tell where the ranks lie within a large bracket; one scan
 covers all brackets of all columns. If what is left around a rank is still too large, the next
 scan counts it exactly and sketches its inside at the same time, which thins it out some
-hundred times whatever the distribution. The last scan groups the values of all small brackets
-and counts the rows between them. All results rest on exact counts; the sketches only
+hundred times whatever the distribution. The rows below small ranges are counted, and the last
+scan groups the values inside. All results rest on exact counts; the sketches only
 choose the ranges, and a rank outside its range is looked for again. The driver sees a
 bounded number of values per wanted rank, never rows.
 """
@@ -19,7 +19,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabgauge.functions.frames import Cell, long_form, small_frame, sql_double
+from tabgauge.functions.frames import Cell, long_form, one_row_per_column, small_frame, sql_double
 from tabgauge.functions.values import ordinal
 from tabgauge.operators.sketches import CUTS, SKETCH_SIZE, Sketch, rank_error, sketched
 
@@ -186,56 +186,82 @@ def _narrowed(
     return work
 
 
+def _counted(
+    df: DataFrame, ranges: Sequence[Bracket], values: dict[tuple[str, int], float]
+) -> tuple[list[Bracket], list[Bracket]]:
+    """One scan of plain sums: rows below each range, at its ends and inside.
+
+    Ranks at the ends go to ``values``; comes back what lies strictly inside, and ranks that were misjudged.
+    """
+    per_column: dict[str, list[Bracket]] = {}
+    for r in ranges:
+        per_column.setdefault(r.name, []).append(r)
+    cells = {}
+    for name, own in per_column.items():
+        cells[name] = _cell(df, name)
+        for j, r in enumerate(own):
+            low, high = sql_double(r.low), sql_double(r.high)
+            tests = (f"< {low}", f"<= {low}", f"< {high}", f"<= {high}")
+            cells[name].fields |= {f"n{j}_{i}": f"count_if({{v}} {test})" for i, test in enumerate(tests)}
+    most = max(len(own) for own in per_column.values())
+    kinds = {f"n{j}_{i}": "bigint" for j in range(most) for i in range(4)}
+    found = {row["column"]: row for row in one_row_per_column(df, cells, kinds, 4 * most).collect()}
+    inner, missed = [], []
+    for name, own in per_column.items():
+        for j, r in enumerate(own):
+            first, inside, last, end = (found[name][f"n{j}_{i}"] for i in range(4))
+            last = max(last, inside)
+            values |= {(name, k): r.low for k in r.ranks if first <= k < inside}
+            values |= {(name, k): r.high for k in r.ranks if last <= k < end}
+            ranks = tuple(k for k in r.ranks if inside <= k < last)
+            if ranks:
+                low, high = math.nextafter(r.low, math.inf), math.nextafter(r.high, -math.inf)
+                inner.append(replace(r, low=low, high=high, below=inside, rows=last - inside, ranks=ranks))
+            missed += _outside(r, [k for k in r.ranks if not first <= k < end])
+    return inner, missed
+
+
 def _selected(
     df: DataFrame, ranges: Sequence[Bracket], values: dict[tuple[str, int], float]
 ) -> list[Bracket]:
-    """One scan: the distinct values inside the ranges, ranked by one task per column.
+    """The distinct values inside the ranges, ranked by one task per range.
 
-    Where the rows below a range are not known, those between the ranges are counted
-    too, one row per gap and task. Found ranks go to ``values``.
+    Only values inside a range are grouped; where the rows below one are not known they are
+    counted first. Found ranks go to ``values``.
     """
+    open_ = [r for r in ranges if r.below is None]
+    inner, missed = _counted(df, open_, values) if open_ else ([], [])
+    ranges = [r for r in ranges if r.below is not None] + inner
     if not ranges:
-        return []
-    names = list(dict.fromkeys(r.name for r in ranges))
-    cells, known, wanted = {}, [], []
-    for i, name in enumerate(names):
-        own = sorted((r for r in ranges if r.name == name), key=lambda r: (r.low, r.high))
-        counted = all(r.below is not None for r in own)
-        cases, slots = [], []
-        for j, r in enumerate(own):
-            if not counted:
-                cases.append(f"when {{v}} < {sql_double(r.low)} then {2 * j}")
-            cases.append(f"when {{v}} between {sql_double(r.low)} and {sql_double(r.high)} then {2 * j + 1}")
-            slots.append(str(2 * j + 1))
-            if counted:
-                known.append((i, 2 * j + 1, r.below))
-            wanted += [(i, k) for k in r.ranks]
-        cell = cells[i] = _cell(df, name)
-        value = cell.inputs["v"]
-        cell.inputs["slot"] = f"case {' '.join(cases)} end".format(v=value)
-        cell.fields |= {"slot": "{slot}", "value": f"if({{slot}} in ({', '.join(slots)}), {{v}}, null)"}
+        return missed
+    cells: dict[int, Cell] = {}
+    for name in dict.fromkeys(r.name for r in ranges):
+        tests = [
+            f"when {{v}} between {sql_double(r.low)} and {sql_double(r.high)} then {i}"
+            for i, r in enumerate(ranges)
+            if r.name == name
+        ]
+        cell = cells[len(cells)] = _cell(df, name)
+        cell.inputs["bracket"] = f"case {' '.join(tests)} end".format(v=cell.inputs["v"])
+        cell.fields |= {"bracket": "{bracket}", "value": "{v}"}
     counts = (
-        long_form(df, cells, wanted="slot")
-        .groupBy("id", "slot", "value")
+        long_form(df, cells, wanted="bracket")
+        .groupBy("bracket", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    before = small_frame(df, known, "id int, slot int, before bigint")
-    ranks = small_frame(df, sorted(set(wanted)), "id int, wanted_rank bigint")
+    wanted = small_frame(
+        df,
+        [(i, k - r.below, k) for i, r in enumerate(ranges) for k in r.ranks],
+        "bracket int, place bigint, wanted_rank bigint",
+    )
     found = (
-        counts.join(F.broadcast(before), ["id", "slot"], "left")  # one row per range
-        .selectExpr(
-            "id",
-            "value",
-            "n",
-            "sum(n) over (partition by id, slot order by value) as upto",
-            "coalesce(before, sum(n) over (partition by id order by slot range between unbounded preceding and 1 preceding), 0) as base",
-        )
-        .join(F.broadcast(ranks), "id")  # one row per wanted rank
-        .filter("value is not null and wanted_rank < base + upto and wanted_rank >= base + upto - n")
+        counts.withColumn("upto", F.expr("sum(n) over (partition by bracket order by value)"))
+        .join(F.broadcast(wanted), "bracket")  # one row per wanted rank
+        .filter("place < upto and place >= upto - n")
         .collect()
     )
-    values |= {(names[r["id"]], r["wanted_rank"]): r["value"] for r in found}
-    return [again for r in ranges for again in _outside(r, [k for k in r.ranks if (r.name, k) not in values])]
+    values |= {(ranges[r["bracket"]].name, r["wanted_rank"]): r["value"] for r in found}
+    return missed + [again for r in ranges for again in _outside(r, [k for k in r.ranks if (r.name, k) not in values])]
 
 
 def linear_ranks(valid: int, share: float) -> tuple[int, int, float]:

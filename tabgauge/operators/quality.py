@@ -76,14 +76,30 @@ def outliers_zscore(
 
     NaN counts as an outlier, null does not, and the rate is over all rows. A
     constant column has no outliers. ``stats`` may give ``(column, mean,
-    std)`` to use instead of the column's own.
+    std)`` to use instead of the column's own; what it lacks is worked out.
     """
     names = dtypes.numeric_columns(df, columns)
-    if stats is None:
-        stats = numeric_stats(df, names)
+    given = given_stats(stats)
+    lacking = [n for n in names if None in given.get(n, (None, None))]
     # One row per column of the table comes back here.
-    known = {r["column"]: (r["mean"], r["std"]) for r in stats.collect()}
-    return outliers_around(df, names, known, zscore, variance)
+    own = {r["column"]: (r["mean"], r["std"]) for r in numeric_stats(df, lacking).collect()} if lacking else {}
+    return outliers_around(df, names, preferred(given, own), zscore, variance)
+
+
+def given_stats(stats: DataFrame | None) -> dict[str, tuple[float | None, float | None]]:
+    """Mean and deviation by column, one row per column."""
+    return {} if stats is None else {r["column"]: (r["mean"], r["std"]) for r in stats.select("column", "mean", "std").collect()}
+
+
+def preferred(
+    given: Mapping[str, tuple[float | None, float | None]], own: Mapping[str, tuple[float | None, float | None]]
+) -> dict[str, tuple[float | None, float | None]]:
+    """The given values, and the column's own where they lack one."""
+    names = {**own, **given}
+    return {
+        n: tuple(g if g is not None else o for g, o in zip(given.get(n, (None, None)), own.get(n, (None, None)), strict=True))
+        for n in names
+    }
 
 
 def outlier_flag(df: DataFrame, name: str, mean: float, std: float, zscore: float) -> str:
@@ -234,10 +250,12 @@ def data_quality(
     columns: Sequence[str] | None = None,
     zscore: float = ZSCORE_THRESHOLD,
     variance: float = VARIANCE_THRESHOLD,
+    stats: DataFrame | None = None,
 ) -> DataFrame:
     """Outliers and low variation of every column by the rule of its type.
 
-    Columns of unknown type have nulls.
+    Columns of unknown type have nulls. ``stats`` may give ``(column, mean, std)`` of
+    numeric columns, as in ``outliers_zscore``.
     """
     columns = list(df.columns if columns is None else columns)
     dtypes.require_columns(df, columns)
@@ -248,7 +266,7 @@ def data_quality(
 
     parts = []
     if numbers := of(*dtypes.NUMERIC):
-        parts.append(outliers_zscore(df, numbers, zscore, variance))
+        parts.append(outliers_zscore(df, numbers, zscore, variance, stats))
     if times := of(*dtypes.TEMPORAL):
         parts.append(outliers_iqr_temporal(df, times))
     if texts := of(dtypes.TEXT):

@@ -73,8 +73,24 @@ def category_lists(categories: DataFrame) -> DataFrame:
     )
 
 
-def bin_tables(histogram: DataFrame) -> DataFrame:
-    """The bins of every column as one Markdown table."""
+#: Inner bins that a report shows at most.
+REPORT_BINS = 200
+
+
+def bin_tables(histogram: DataFrame, most: int = REPORT_BINS) -> DataFrame:
+    """The bins of every column as one Markdown table.
+
+    Where a column has more than ``most`` inner bins, neighbours are shown as one, so that no text grows with them.
+    """
+    last = histogram.groupBy("column").agg((F.max("bin_idx") - 1).alias("inner_bins"))
+    width = f"greatest(1, bigint(ceil(inner_bins / {most})))"
+    place = f"case when bin_idx = 0 then 0 when bin_idx > inner_bins then {most} + 1 else (bin_idx - 1) div {width} + 1 end"
+    histogram = (
+        histogram.join(F.broadcast(last), "column")  # one row per column of the table
+        .withColumn("bin_idx", F.expr(place))
+        .groupBy("column", "bin_idx")
+        .agg(F.min("lower").alias("lower"), F.max("upper").alias("upper"), F.sum("n").alias("n"))
+    )
     line = write("| {low} to {high} | {n} |", low=fixed("lower", 10), high=fixed("upper", 10))
     head = "\n**Distribution (Histogram):**\n\n| Bin Range | Count |\n|-----------|-------|\n"
     return (
@@ -91,7 +107,7 @@ def bin_tables(histogram: DataFrame) -> DataFrame:
 
 def _number(name: str) -> str:
     """Whole numbers of integer columns without a decimal point."""
-    whole = f"cast(cast({name} as bigint) as string)"
+    whole = f"coalesce({name}_exact, cast(cast({name} as bigint) as string))"
     return f"if(type = '{dtypes.INTEGER}', {whole}, {float_text(name)})"
 
 

@@ -55,7 +55,7 @@ def item_text(name: str, dtype) -> str:
 
 # What a state is made from, the same for every column, and the types.
 # ``x`` is a number, the ordinal of a time or the length of a text, ``d`` its distance from
-# the centre in units of the column.
+# the centre in units of the column, ``e`` a whole number or the ticks of a time.
 _INPUTS = {
     "missing": "boolean",
     "is_null": "boolean",
@@ -116,6 +116,8 @@ def _inputs(df: DataFrame, name: str) -> dict[str, str]:
             inputs["t"] = f"cast({raw} as string)"
     if kind in dtypes.NUMERIC:
         inputs["x"] = number(name, dtype)
+    if kind == dtypes.INTEGER:
+        inputs["e"] = f"cast({raw} as bigint)"
     if kind == dtypes.TEXT:
         inputs["x"] = f"double(char_length({raw}))"
     if kind not in (*dtypes.TEMPORAL, dtypes.UNKNOWN):

@@ -16,6 +16,8 @@ from tabgauge.operators.missing import COUNT_KINDS, counting_cell
 BASIC_KINDS = COUNT_KINDS | {
     "min": "double",
     "max": "double",
+    "min_exact": "string",
+    "max_exact": "string",
     "mean": "double",
     "char_length_min": "int",
     "char_length_max": "int",
@@ -43,6 +45,7 @@ def basic_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
                 "max": "max({value})",
                 "mean": "avg({value})",
             }
+            _add_exact(cell, name, dtype)
         elif kind in dtypes.TEMPORAL:
             _add_temporal(cell, name, dtype)
             cell.fields |= {
@@ -52,13 +55,21 @@ def basic_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
         elif kind == dtypes.TEXT:
             _add_lengths(cell, name)
         cells[name] = cell
-    return one_row_per_column(df, cells, BASIC_KINDS, 6)
+    return one_row_per_column(df, cells, BASIC_KINDS, 8)
+
+
+def _add_exact(cell: Cell, name: str, dtype: T.DataType) -> None:
+    """Smallest and largest whole number or decimal as text, with all digits; a double holds its own already."""
+    if not dtypes.has_nan(dtype):
+        cell.inputs["typed"] = column(name)
+        cell.fields |= {"min_exact": "string(min({typed}))", "max_exact": "string(max({typed}))"}
 
 
 def numeric_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Minimum, maximum, mean and sample deviation of the numeric columns.
 
-    Missing values are left out. The deviation of a single value is null.
+    Missing values are left out. The deviation of a single value is null. ``min_exact`` and
+    ``max_exact`` hold whole numbers and decimals with all their digits.
     """
     cells = {
         name: Cell(
@@ -72,8 +83,10 @@ def numeric_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
         )
         for name in dtypes.numeric_columns(df, columns)
     }
-    kinds = dict.fromkeys(("min", "max", "mean", "std"), "double")
-    return one_row_per_column(df, cells, kinds, 7)
+    for name, cell in cells.items():
+        _add_exact(cell, name, df.schema[name].dataType)
+    kinds = {"min": "double", "max": "double", "min_exact": "string", "max_exact": "string", "mean": "double", "std": "double"}
+    return one_row_per_column(df, cells, kinds, 9)
 
 
 def deviation(df: DataFrame, name: str, center: float, scale: float) -> str:

@@ -35,6 +35,7 @@ def add_estimates(
     sections: Collection[str],
     zscore: float,
     variance: float,
+    given: Mapping[str, tuple[float | None, float | None]],
 ) -> list[str]:
     """Fill the records of a profile; returns the categorical columns."""
     categorical = []
@@ -58,6 +59,8 @@ def add_estimates(
             }
         if "numeric" in sections and kind in dtypes.NUMERIC:
             record |= {"min": e["min"], "max": e["max"], "mean": e["mean"]} | _moments(e)
+            if e["first_epoch"] is not None:  # whole numbers
+                record |= {"min_exact": str(e["first_epoch"]), "max_exact": str(e["last_epoch"])}
             record |= {field: e.quantile(share) for field, share in QUANTILES.items()}
         if "text" in sections and e.valid and dtypes.semantic_type(df.schema[name].dataType) == dtypes.TEXT:
             record |= {
@@ -67,7 +70,7 @@ def add_estimates(
                 "char_length_std": _moments(e)["std"],
             }
         if "quality" in sections:
-            record |= _quality(e, kind, zscore, variance)
+            record |= _quality(e, kind, zscore, variance, given.get(name, (None, None)))
     return categorical
 
 
@@ -86,19 +89,23 @@ def _moments(e: Estimate) -> dict[str, float | None]:
     }
 
 
-def _quality(e: Estimate, kind: str, zscore: float, variance: float) -> dict:
+def _quality(
+    e: Estimate, kind: str, zscore: float, variance: float, given: tuple[float | None, float | None]
+) -> dict:
     rows, outliers, low = e["row_count"] or 0, 0, True
     if kind == dtypes.UNKNOWN:
         return {}
     if kind in dtypes.NUMERIC and e.valid:
-        std = _moments(e)["std"]
+        mean, std = given
+        std = _moments(e)["std"] if std is None else std
+        mean = e["mean"] if mean is None else mean
         if std is None:
             return {}  # a single value has no deviation
         if math.isnan(std):
             low, outliers = False, e.valid + e["missing_count"] - e["null_count"]
         else:
             low = std * std < variance
-            inside = e.upto(e["mean"] + zscore * std) - e.upto(math.nextafter(e["mean"] - zscore * std, -math.inf))
+            inside = e.upto(mean + zscore * std) - e.upto(math.nextafter(mean - zscore * std, -math.inf))
             outliers = round((1 - inside) * e.valid) if std else 0
             outliers += e["missing_count"] - e["null_count"]  # NaN is an outlier
     elif kind in dtypes.TEMPORAL and e.valid:
@@ -114,7 +121,8 @@ def _quality(e: Estimate, kind: str, zscore: float, variance: float) -> dict:
 
 def add_times(df: DataFrame, records: Mapping[str, dict], found: Mapping[str, Estimate]) -> None:
     """First and last time as text, and the span. Times of all columns are written by one small query."""
-    names = [n for n in records if found[n]["first_epoch"] is not None]
+    times = {n for n in records if dtypes.semantic_type(df.schema[n].dataType) in dtypes.TEMPORAL}
+    names = [n for n in records if n in times and found[n]["first_epoch"] is not None]
     if not names:
         return
     shown = []
@@ -160,8 +168,6 @@ def histogram_of(
     df: DataFrame, names: Collection[str], found: Mapping[str, Estimate], rule: BinRule | None
 ) -> DataFrame:
     """Bins of the columns with counts read off the ranks of their edges."""
-    if callable(rule):
-        raise ValueError("A bin rule that aggregates a column needs an exact profile.")
     if not names:
         return small_frame(df, [], HISTOGRAM_SCHEMA)
     ranges = {n: (found[n]["low"], found[n]["high"]) for n in names if found[n]["low"] is not None}

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection, Mapping, Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Collection, Mapping, Sequence
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabgauge.functions import dtypes
-from tabgauge.functions.frames import small_frame, union_all
+from tabgauge.functions.frames import kept, small_frame, union_all
 from tabgauge.operators.correlation import PEARSON_SCHEMA, pearson_around
 from tabgauge.operators.histogram import HISTOGRAM_SCHEMA, BinRule, grids, histogram_on
 from tabgauge.operators.quality import (
@@ -17,14 +17,16 @@ from tabgauge.operators.quality import (
     VARIANCE_THRESHOLD,
     ZSCORE_THRESHOLD,
     check_thresholds,
+    given_stats,
     outliers_around,
     outliers_fenced,
+    preferred,
 )
 from tabgauge.operators.quantiles import QUANTILES
 from tabgauge.operators.report import column_report, table_profile, table_report
 from tabgauge.operators.states import Estimate, estimates, table_states
 from tabgauge.operators.types import is_categorical
-from tabgauge.operators.values import top_categories, value_counts
+from tabgauge.operators.values import TOP_CATEGORIES, top_categories, value_counts
 from tabgauge.plans.estimated import CATEGORY_SCHEMA, add_estimates, add_times, categories_of, histogram_of
 from tabgauge.plans.facts import Facts
 
@@ -58,6 +60,8 @@ COLUMN_FIELDS = {
     "unique_rate": "double",
     "min": "double",
     "max": "double",
+    "min_exact": "string",
+    "max_exact": "string",
     "mean": "double",
     "median": "double",
     "p5": "double",
@@ -80,9 +84,8 @@ COLUMN_FIELDS = {
 }
 
 
-@dataclass(frozen=True)
 class Profile:
-    """Frames that describe a table.
+    """Frames that describe a table. Each is worked out when first asked for, and never reads the table again.
 
     ``columns`` has one row per column with its report in ``info``, ``table``
     one row about the table with its report in ``info``. ``categories`` lists
@@ -90,11 +93,41 @@ class Profile:
     other numeric columns, ``correlation`` every pair of numeric columns.
     """
 
-    columns: DataFrame
-    table: DataFrame
-    categories: DataFrame
-    histogram: DataFrame
-    correlation: DataFrame
+    def __init__(
+        self,
+        records: DataFrame,
+        row_count: int,
+        width: int,
+        sections: Collection[str],
+        categories: Callable[[], DataFrame],
+        histogram: Callable[[], DataFrame],
+        correlation: Callable[[], DataFrame],
+    ) -> None:
+        self._records, self._sections = records, set(sections)
+        self._table = table_profile(records, row_count, width)
+        self._make = {"categories": categories, "histogram": histogram, "correlation": correlation}
+
+    @cached_property
+    def categories(self) -> DataFrame:
+        return self._make["categories"]()
+
+    @cached_property
+    def histogram(self) -> DataFrame:
+        return self._make["histogram"]()
+
+    @cached_property
+    def correlation(self) -> DataFrame:
+        return self._make["correlation"]()
+
+    @cached_property
+    def columns(self) -> DataFrame:
+        info = column_report(self._records, self.categories, self.histogram, self._sections)
+        return self._records.join(info, "column", "left")
+
+    @cached_property
+    def table(self) -> DataFrame:
+        report = table_report(self._table, self._records, self.correlation, self._sections)
+        return self._table.withColumn("info", report.scalar())
 
 
 def profile_table(
@@ -109,6 +142,7 @@ def profile_table(
     declared: Mapping[str, str] | None = None,
     sections: Collection[str] | None = None,
     approx: bool = False,
+    stats: DataFrame | None = None,
 ) -> Profile:
     """Profile the target and the features, by default every column.
 
@@ -117,6 +151,8 @@ def profile_table(
     overrides semantic types, ``bins`` sets the histogram rule and
     ``missing`` how correlations treat missing values.
 
+    ``stats`` may give ``(column, mean, std)`` that outliers and low variation of numbers go by.
+
     ``approx=True`` takes one scan with sketches and one small shuffle: counts, ranges,
     means and moments stay exact, the rest lies within the bounds of ``operators.states``.
     Correlations, which need a scan of their own, are then left out unless ``sections`` names them.
@@ -124,6 +160,8 @@ def profile_table(
     if sections is None:
         sections = [s for s in SECTIONS if not (approx and s == "correlation")]
     check_thresholds(zscore, variance)
+    if isinstance(bins, int) and bins < 1:
+        raise ValueError(f"A histogram needs at least one bin, got {bins}.")
     unknown = set(sections) - set(SECTIONS)
     if unknown:
         raise ValueError(f"Unknown sections: {', '.join(sorted(unknown))}.")
@@ -131,7 +169,7 @@ def profile_table(
     if approx:
         names = [role.name for role in roles]
         found = estimates(table_states(df, names), names)
-        return estimated_profile(df, roles, found, zscore, variance, bins, missing, declared, sections)
+        return estimated_profile(df, roles, found, zscore, variance, bins, missing, declared, sections, given_stats(stats))
     facts = Facts(df, [role.name for role in roles], declared)
     asked = set(sections)
     facts.summarised = _summarised(facts, asked)
@@ -143,7 +181,7 @@ def profile_table(
     categorical = _add_types(facts, records) if asked & {"types", "histogram"} else []
     for section, fields in (
         ("missing", ("missing_count", "missing_rate", "inf_count")),
-        ("numeric", ("min", "max", "mean")),
+        ("numeric", ("min", "max", "min_exact", "max_exact", "mean")),
         ("text", ("char_length_min", "char_length_max", "char_length_mean", "char_length_std")),
         ("temporal", ("temporal_min", "temporal_max", "temporal_diff_seconds")),
     ):
@@ -153,10 +191,16 @@ def profile_table(
     if "numeric" in sections:
         _add_numbers(facts, records)
     if "quality" in sections:
-        _add_quality(facts, records, zscore, variance)
-    categories, histogram = _histograms(facts, categorical, bins, sections)
-    correlation = _correlation(facts, missing, sections)
-    return _reported(df, records, facts.row_count, categories, histogram, correlation, asked)
+        _add_quality(facts, records, zscore, variance, given_stats(stats))
+    return Profile(
+        _frame_of(df, records),
+        facts.row_count,
+        len(df.columns),
+        asked,
+        lambda: _categories(facts, categorical, asked),
+        lambda: _histogram(facts, categorical, bins, asked),
+        lambda: _correlation(facts, missing, asked),
+    )
 
 
 def _record(df: DataFrame, role: dtypes.Role, kind: str, row_count: int) -> dict:
@@ -173,27 +217,12 @@ def _record(df: DataFrame, role: dtypes.Role, kind: str, row_count: int) -> dict
     }
 
 
-def _reported(
-    df: DataFrame,
-    records: Mapping[str, dict],
-    row_count: int,
-    categories: DataFrame,
-    histogram: DataFrame,
-    correlation: DataFrame,
-    sections: Collection[str],
-) -> Profile:
-    """The frames of a profile, with both reports."""
-    columns = small_frame(
+def _frame_of(df: DataFrame, records: Mapping[str, dict]) -> DataFrame:
+    return small_frame(
         df,
         [tuple(r.get(field) for field in COLUMN_FIELDS) for r in records.values()],
         ", ".join(f"{field} {kind}" for field, kind in COLUMN_FIELDS.items()),
     )
-    info = column_report(columns, categories, histogram, set(sections))
-    table = table_profile(columns, row_count, len(df.columns))
-    report = table_report(table, columns, correlation, set(sections))
-    table = table.withColumn("info", report.scalar())
-    columns = columns.join(info, "column", "left")
-    return Profile(columns, table, categories, histogram, correlation)
 
 
 def estimated_profile(
@@ -206,21 +235,29 @@ def estimated_profile(
     missing: str,
     declared: Mapping[str, str] | None,
     sections: Collection[str],
+    given: Mapping[str, tuple[float | None, float | None]] | None = None,
 ) -> Profile:
     """The profile that states of the columns give; only correlations read the table."""
     asked = set(sections)
     facts = Facts(df, [role.name for role in roles], declared)
     records = {role.name: _record(df, role, facts.kinds[role.name], 0) for role in roles}
-    categorical = add_estimates(df, records, found, asked, zscore, variance)
+    categorical = add_estimates(df, records, found, asked, zscore, variance, given or {})
     if "temporal" in asked:
         add_times(df, records, found)
-    categories, histogram = (small_frame(df, [], schema) for schema in (CATEGORY_SCHEMA, HISTOGRAM_SCHEMA))
-    if "histogram" in asked:
-        numbers = [name for name in facts.numeric if name not in categorical]
-        categories, histogram = categories_of(df, categorical, found), histogram_of(df, numbers, found, bins)
+    binned = "histogram" in asked
+    numbers = [name for name in facts.numeric if name not in categorical] if binned else []
+    if binned and callable(bins):
+        raise ValueError("A bin rule that aggregates a column needs an exact profile.")
     row_count = next((r["row_count"] for r in records.values()), 0) if records else df.count()
-    correlation = _correlation(facts, missing, asked)
-    return _reported(df, records, row_count, categories, histogram, correlation, asked)
+    return Profile(
+        _frame_of(df, records),
+        row_count,
+        len(df.columns),
+        asked,
+        lambda: categories_of(df, categorical if binned else [], found),
+        lambda: histogram_of(df, numbers, found, bins),
+        lambda: _correlation(facts, missing, asked),
+    )
 
 
 def profile_column(
@@ -285,13 +322,16 @@ def _add_numbers(facts: Facts, records: Mapping[str, dict]) -> None:
 
 
 def _add_quality(
-    facts: Facts, records: Mapping[str, dict], zscore: float, variance: float
+    facts: Facts,
+    records: Mapping[str, dict],
+    zscore: float,
+    variance: float,
+    given: Mapping[str, tuple[float | None, float | None]],
 ) -> None:
     parts = []
     if facts.numeric:
-        known = {
-            n: (facts.basics[n]["mean"], facts.moments[n]["std"]) for n in facts.numeric
-        }
+        own = {n: (facts.basics[n]["mean"], facts.moments[n]["std"]) for n in facts.numeric}
+        known = preferred(given, own)
         parts.append(outliers_around(facts.df, facts.numeric, known, zscore, variance))
     if facts.temporal:
         quartiles = facts.nearest_quartiles(facts.temporal)
@@ -307,31 +347,33 @@ def _add_quality(
         }
 
 
-def _histograms(
-    facts: Facts, categorical: Sequence[str], rule: BinRule | None, sections: Collection[str]
-) -> tuple[DataFrame, DataFrame]:
+def _categories(facts: Facts, categorical: Sequence[str], sections: Collection[str]) -> DataFrame:
     df = facts.df
-    categories, histogram = (
-        small_frame(df, [], schema) for schema in (CATEGORY_SCHEMA, HISTOGRAM_SCHEMA)
+    if "histogram" not in sections or not categorical:
+        return small_frame(df, [], CATEGORY_SCHEMA)
+    sizes = small_frame(
+        df,
+        [(name, facts.distinct[name].cardinality) for name in categorical],
+        "column string, categories bigint",
     )
-    if "histogram" not in sections:
-        return categories, histogram
-    if categorical:
-        sizes = small_frame(
-            df,
-            [(name, facts.distinct[name].cardinality) for name in categorical],
-            "column string, categories bigint",
-        )
-        categories = top_categories(value_counts(df, categorical), sizes=sizes)
+    listed = top_categories(value_counts(df, categorical), sizes=sizes)
+    return kept(listed, CATEGORY_SCHEMA, TOP_CATEGORIES * len(categorical))
+
+
+def _histogram(
+    facts: Facts, categorical: Sequence[str], rule: BinRule | None, sections: Collection[str]
+) -> DataFrame:
+    df = facts.df
     numbers = [name for name in facts.numeric if name not in categorical]
-    if numbers:
-        quartiles = None if rule is None else facts.nearest_quartiles(numbers)
-        found = grids(df, numbers, facts.basics, rule, quartiles)
-        histogram = histogram_on(df, found)
-    return categories, histogram
+    if "histogram" not in sections or not numbers:
+        return small_frame(df, [], HISTOGRAM_SCHEMA)
+    quartiles = None if rule is None else facts.nearest_quartiles(numbers)
+    found = grids(df, numbers, facts.basics, rule, quartiles)
+    return kept(histogram_on(df, found), HISTOGRAM_SCHEMA, sum(g.bins + 2 for g in found))
 
 
 def _correlation(facts: Facts, missing: str, sections: Collection[str]) -> DataFrame:
     if "correlation" not in sections or not facts.numeric:
         return small_frame(facts.df, [], PEARSON_SCHEMA)
-    return pearson_around(facts.df, facts.numeric, facts.basics, missing)
+    pairs = pearson_around(facts.df, facts.numeric, facts.basics, missing)
+    return kept(pairs, PEARSON_SCHEMA, len(facts.numeric) ** 2)

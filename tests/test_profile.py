@@ -176,3 +176,37 @@ def test_sections_read_no_text(spark, section, tmp_path):
     facts = Facts(df, df.columns)
     assert _summarised(facts, {section}) == ["a", "b"]
     assert tg.profile_table(df, sections={section}).columns.count() == 3
+
+
+def test_a_finished_profile_reads_nothing(spark, people, tmp_path):
+    people.write.parquet(str(tmp_path / "t"))
+    profile = tg.profile_table(spark.read.parquet(str(tmp_path / "t")), target=people.columns[0])
+    for frame in (profile.columns, profile.table, profile.categories, profile.histogram, profile.correlation):
+        shown = plan(frame)
+        assert "FileScan" not in shown and "parquet" not in shown.lower()
+        assert frame.count() == frame.count() > 0
+
+
+def test_large_numbers_keep_their_digits(spark, rows):
+    df = spark.createDataFrame([(9007199254740993,), (9007199254740995,), (1 << 62,)], "n bigint").selectExpr("n", "cast(n as decimal(38, 3)) / 1000 as d")
+    for found in (rows(tg.numeric_stats(df))["n"], rows(tg.profile_table(df).columns)["n"], rows(tg.profile_table(df, approx=True).columns)["n"]):
+        assert (found["min_exact"], found["max_exact"]) == ("9007199254740993", "4611686018427387904")
+    assert "Range: 9007199254740993 to 4611686018427387904" in rows(tg.profile_table(df).columns)["n"]["info"]
+    assert rows(tg.numeric_stats(df))["d"]["min_exact"].startswith("9007199254740.993")
+
+
+def test_given_statistics(spark, rows):
+    df = spark.createDataFrame([(float(i), float(i)) for i in range(10)], "a double, b double")
+    given = spark.createDataFrame([("a", 0.0, 1.0), ("b", None, 100.0)], "column string, mean double, std double")
+    for approx in (False, True):
+        found = rows(tg.profile_table(df, stats=given, approx=approx).columns)
+        assert (found["a"]["outlier_count"], found["b"]["outlier_count"]) == (6, 0)
+    checked = rows(tg.data_quality(df, stats=given))
+    assert (checked["a"]["outlier_count"], checked["b"]["outlier_count"]) == (6, 0)
+
+
+def test_many_bins_are_shown_as_few(spark, rows):
+    df = spark.range(5000).selectExpr("double(id) as x")
+    text = rows(tg.profile_table(df, bins=1000).columns)["x"]["info"]
+    table = text[text.index("| Bin Range") :].strip().split("\n")[2:]
+    assert len(table) == 202 and sum(int(line.split("|")[2]) for line in table) == 5000

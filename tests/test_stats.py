@@ -140,7 +140,7 @@ def test_ranks_that_a_sketch_misjudges_are_found_all_the_same(spark, monkeypatch
 def scans(monkeypatch):
     """Names of the scans that the search for ranks makes."""
     made = []
-    for name in ("_with_cuts", "_narrowed", "_selected"):
+    for name in ("_with_cuts", "_narrowed", "_counted", "_selected"):
         monkeypatch.setattr(order_stats, name, lambda *a, f=getattr(order_stats, name), n=name: made.append(n) or f(*a))
     return made
 
@@ -154,7 +154,7 @@ def test_few_scans_whatever_the_distribution(spark, scans, kind):
     ranks = {0, n // 20, n // 4, n // 2, 3 * n // 4, n - n // 20, n - 1}
     found = order_statistics(df, [whole_column("x", data[0], data[-1], n, ranks)])
     assert found == {("x", k): data[k] for k in ranks}
-    assert scans == ["_with_cuts", "_selected"]
+    assert scans == ["_with_cuts", "_selected", "_counted"]
 
 
 @pytest.mark.parametrize("tasks", [1, 3, 70])
