@@ -33,7 +33,7 @@ select
   case when l_linenumber < 4 then null else l_tax end as tax_gap,
   l_discount * 0.01 as low_var,
   1 as constant,
-  cast(null as double) as all_missing,
+  nullif(l_tax, l_tax) as all_missing,
   l_returnflag = 'R' as is_returned,
   l_linenumber > 0 as is_line,
   case when l_linenumber = 3 then null else l_returnflag end as flag_gap,
@@ -45,6 +45,12 @@ select
 from lineitem
 """
 
+# Whole numbers that no double holds, and decimals.
+PRECISE = """
+select l_orderkey * 2 + 9007199254740993 as far_key, -l_partkey - 4611686018427387904 as low_key,
+  cast(l_extendedprice as decimal(14, 2)) as price from lineitem
+"""
+
 SIGNALS = """
 select
   event_id, user_id, ts, event_type, value,
@@ -74,6 +80,14 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def precise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of ``lineitem`` that need all their digits."""
+    return spark.sql(
+        PRECISE.replace("from lineitem", "from {source}"),
+        source=table(spark, sf_dir, "lineitem"),
+    )
+
+
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` with gaps, NaN, infinities and far values."""
     return spark.sql(

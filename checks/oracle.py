@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from checks.inputs import LINES, SIGNALS, TABLES
+from checks.inputs import LINES, PRECISE, SIGNALS, TABLES
 
-WITH = f"with lines as ({LINES}), signals as ({SIGNALS})\n"
+WITH = f"with lines as ({LINES}), signals as ({SIGNALS}), precise as ({PRECISE})\n"
 
 # Columns of the inputs by kind of value, in table order.
 LINEITEM = {
@@ -65,8 +65,10 @@ SIGNAL_COLUMNS = {
     "value_far": "float",
     "day_far": "date",
 }
-LINE_NUMBERS = ["l_orderkey", "l_quantity", "double_quantity", "discount_gap", "tax_gap", "low_var"]
-SIGNAL_NUMBERS = ["event_id", "value", "value_gap", "value_nan", "value_far"]
+LINE_NUMBERS = [
+    "l_orderkey", "l_linenumber", "l_quantity", "double_quantity", "discount_gap", "tax_gap", "low_var", "constant", "all_missing"
+]
+SIGNAL_NUMBERS = ["event_id", "user_id", "value", "value_gap", "value_nan", "value_inf", "value_far"]
 
 
 def numbers(columns: dict[str, str]) -> list[str]:
@@ -91,19 +93,32 @@ def valid(source: str, name: str) -> str:
     return f"(select {cast} as x from {source} where {name} is not null and not isnan({cast}))"
 
 
+# Infinities leave no deviation, and no mean where both signs occur.
+FINITE = "filter (not isinf(x))"
+MEAN = (
+    "case when count(*) filter (x = 'Infinity'::double) > 0 and count(*) filter (x = '-Infinity'::double) > 0 "
+    f"then 'NaN'::double when bool_or(isinf(x)) then min(x) filter (isinf(x)) else avg(x) {FINITE} end"
+)
+DEVIATION = f"case when bool_or(isinf(x)) then 'NaN'::double else stddev_samp(x) {FINITE} end"
+
+
 def stats(source: str, name: str) -> str:
+    whole = {**LINEITEM, **ORDERS, **LINE_COLUMNS, **SIGNAL_COLUMNS}[name] == "integer"
+    exact = [f"(select cast({end}({name}) as varchar) from {source})" if whole else "null::varchar" for end in ("min", "max")]
     return (
-        f"select '{name}' as \"column\", min(x) as min, max(x) as max, "
-        f"round(avg(x), 6) as mean, round(stddev_samp(x), 6) as std from {valid(source, name)}"
+        f"select '{name}' as \"column\", min(x) as min, max(x) as max, {exact[0]} as min_exact, {exact[1]} as max_exact, "
+        f"round({MEAN}, 6) as mean, round({DEVIATION}, 6) as std from {valid(source, name)}"
     )
 
 
 def moments(source: str, name: str, digits: int) -> str:
     return (
         f"select '{name}' as \"column\", "
-        f"round(avg(pow(x - m, 3)) / pow(avg(pow(x - m, 2)), 1.5), {digits}) as skewness, "
-        f"round(avg(pow(x - m, 4)) / pow(avg(pow(x - m, 2)), 2) - 3, {digits}) as kurtosis "
-        f"from (select x, avg(x) over () as m from {valid(source, name)})"
+        f"case when bool_or(isinf(x)) then 'NaN'::double else "
+        f"round(avg(pow(x - m, 3)) {FINITE} / pow(nullif(avg(pow(x - m, 2)) {FINITE}, 0), 1.5), {digits}) end as skewness, "
+        f"case when bool_or(isinf(x)) then 'NaN'::double else "
+        f"round(avg(pow(x - m, 4)) {FINITE} / pow(nullif(avg(pow(x - m, 2)) {FINITE}, 0), 2) - 3, {digits}) end as kurtosis "
+        f"from {valid(source, name)}, (select avg(x) {FINITE} as m from {valid(source, name)})"
     )
 
 
@@ -166,7 +181,7 @@ def types(source: str, columns: dict[str, str]) -> str:
     return union(
         f"select \"column\", cast({i} as integer) as position, '{kind}' as type, "
         f"{categorical(kind)} as is_categorical, {kind in ('integer', 'float')} as is_numeric, "
-        f"{kind in ('date', 'datetime')} as is_temporal, cardinality, unique_rate "
+        f"{kind in ('date', 'datetime')} as is_temporal, null::varchar as timezone, cardinality, unique_rate "
         f"from ({distinct(source, name)})"
         for i, (name, kind) in enumerate(columns.items())
     )
@@ -198,7 +213,7 @@ def counts(source: str, name: str, kind: str) -> str:
 def zscores(
     source: str, name: str, kind: str, limit: float = 3.0, given: str | None = None
 ) -> str:
-    known = given or f"select avg(x) as m, stddev_samp(x) as s from {valid(source, name)}"
+    known = given or f"select {MEAN} as m, {DEVIATION} as s from {valid(source, name)}"
     nan = f" or isnan({name})" if kind == "float" else ""
     far = f"count(*) filter ((s > 0 and abs({name} - m) / s > {limit}){nan})"
     empty = f"count({name}) = 0"
@@ -272,8 +287,8 @@ def bins(source: str, name: str, count: str = "10") -> str:
 
 STURGES = "greatest(1, ceil(log2(count(x)) + 1))"
 FREEDMAN_DIACONIS = (
-    f"greatest(1, ceil((max(x) - min(x)) / (2 * ({nearest('x', 0.75)} - {nearest('x', 0.25)}) "
-    "/ pow(count(x), 1.0 / 3))))"
+    f"greatest(1, ceil((max(x) {FINITE} - min(x) {FINITE}) / (2 * ({nearest('x', 0.75)} - {nearest('x', 0.25)}) "
+    f"/ pow(count(x) {FINITE}, 1.0 / 3))))"
 )
 
 
@@ -315,6 +330,13 @@ def pearson_with_infinities(source: str, columns: dict[str, str]) -> str:
     return union(parts)
 
 
+# Fields of an estimated profile that are exact.
+ESTIMATED_FIELDS = (
+    "column", "type", "row_count", "missing_count", "missing_rate", "inf_count", "min", "max", "min_exact", "max_exact", "mean", "std",
+    "char_length_min", "char_length_max", "char_length_mean", "char_length_std", "temporal_min", "temporal_max",
+    "temporal_diff_seconds", "has_low_variation",
+)
+
 PROFILE_FIELDS = {
     "column": "varchar",
     "position": "integer",
@@ -324,6 +346,7 @@ PROFILE_FIELDS = {
     "is_categorical": "boolean",
     "is_numeric": "boolean",
     "is_temporal": "boolean",
+    "timezone": "varchar",
     "row_count": "bigint",
     "missing_count": "bigint",
     "missing_rate": "double",
@@ -332,6 +355,8 @@ PROFILE_FIELDS = {
     "unique_rate": "double",
     "min": "double",
     "max": "double",
+    "min_exact": "varchar",
+    "max_exact": "varchar",
     "mean": "double",
     "median": "double",
     "p5": "double",
@@ -382,7 +407,7 @@ def profile(source: str, columns: dict[str, str], target: str | None = None) ->
             "g": ("row_count", "missing_count", "missing_rate", "inf_count"),
             "d": ("cardinality", "unique_rate"),
             "q": ("outlier_count", "outlier_rate", "has_low_variation"),
-            "s": ("min", "max", "mean", "std"),
+            "s": ("min", "max", "min_exact", "max_exact", "mean", "std"),
             "m": ("skewness", "kurtosis"),
             "p": tuple(QUANTILES),
             "l": tuple(f for f in PROFILE_FIELDS if f.startswith("char_length")),
@@ -617,8 +642,25 @@ def registered() -> dict[str, str]:
         "temporal_stats": spans(),
         "temporal_span_text": f"select \"column\", {span_text('(temporal_diff_seconds // 86400)', 'temporal_diff_seconds')} as span from ({spans()})",
         "value_counts": union(
-            counts("lines", n, LINE_COLUMNS[n])
-            for n in ("is_returned", "flag_gap", "l_linenumber", "l_quantity", "ship_date", "tax_gap")
+            counts("lines", n, kind) for n, kind in LINE_COLUMNS.items()
+        ),
+        "frequent_values": "select \"column\", value, n, cast(place as integer) as rank from (select *, row_number() over (partition by \"column\" order by n desc, value) as place from ("
+        + union([counts("lines", n, k) for n, k in LINE_COLUMNS.items()] + [counts("documents", n, "text") for n in ("lang", "source")])
+        + ")) where place <= 20",
+        "data_quality_given": union(
+            zscores("signals", n, k, given=None if n == "value_gap" else f"select round({MEAN}) as m, {DEVIATION if n == 'user_id' else f'round({DEVIATION}) / 2'} as s from {valid('signals', n)}")
+            if n in SIGNAL_NUMBERS
+            else quality("signals", {n: k})
+            for n, k in SIGNAL_COLUMNS.items()
+        ),
+        "numeric_stats_exact": union(
+            f"select '{n}' as \"column\", cast(min({n}) as varchar) as min_exact, cast(max({n}) as varchar) as max_exact from precise"
+            for n in ("far_key", "low_key", "price")
+        ),
+        "quantiles_estimated": union(
+            f"select '{n}' as \"column\", " + ", ".join(f"count(*) > 0 as {k}_close" for k in QUANTILES) + f" from {source}"
+            for source, names in (("lineitem", numbers(LINEITEM)), ("signals", SIGNAL_NUMBERS))
+            for n in names
         ),
         "top_categories": top(
             [counts("part", n, "text") for n in ("p_brand", "p_type", "p_size")]
@@ -637,7 +679,7 @@ def registered() -> dict[str, str]:
                 "signals",
                 n,
                 SIGNAL_COLUMNS[n],
-                given=f"select round(avg(x)) as m, round(stddev_samp(x)) / 2 as s from {valid('signals', n)}",
+                given=f"select round({MEAN}) as m, round({DEVIATION}) / 2 as s from {valid('signals', n)}",
             )
             for n in SIGNAL_NUMBERS
         ),
@@ -686,8 +728,11 @@ def registered() -> dict[str, str]:
         "strong_correlations": f"select col_1, col_2, r from ({pearson('lines', LINE_COLUMNS, places=True)}) where pos_1 < pos_2 and not isnan(r) and abs(r) >= 0.8",
         "profile_table": profile("lineitem", LINEITEM, "l_quantity"),
         "profile_gaps": profile(
-            "lines", {n: k for n, k in LINE_COLUMNS.items() if n not in ("constant", "all_missing")}
+            "lines", LINE_COLUMNS
         ),
+        "profile_estimated": "select "
+        + ", ".join(f'round("{f}", 4) as "{f}"' if PROFILE_FIELDS[f] == "double" else f'"{f}"' for f in ESTIMATED_FIELDS)
+        + f", true as cardinality_close from ({profile('lines', LINE_COLUMNS)} union all {profile('signals', SIGNAL_COLUMNS)})",
         "profile_column": profile("orders", {"o_totalprice": "float"}, "o_totalprice"),
         "table_profile": table_lists(),
         "column_report": union(

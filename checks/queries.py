@@ -8,16 +8,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import tabgauge as tg
-from checks.inputs import TABLES, lines, signals, table
+from checks.inputs import TABLES, lines, precise, signals, table
 from tabgauge.functions.frames import union_all
 from tabgauge.operators import histogram as hist
+from tabgauge.operators.quantiles import QUANTILES
 from tabgauge.operators.report import correlation_text
+from tabgauge.operators.sketches import SKETCH_SIZE, rank_error
+from tabgauge.operators.states import DISTINCT_ERROR
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 # Columns of the views that the numeric queries use.
-LINE_NUMBERS = ["l_orderkey", "l_quantity", "double_quantity", "discount_gap", "tax_gap", "low_var"]
-SIGNAL_NUMBERS = ["event_id", "value", "value_gap", "value_nan", "value_far"]
+LINE_NUMBERS = [
+    "l_orderkey", "l_linenumber", "l_quantity", "double_quantity", "discount_gap", "tax_gap", "low_var", "constant", "all_missing"
+]
+SIGNAL_NUMBERS = ["event_id", "user_id", "value", "value_gap", "value_nan", "value_inf", "value_far"]
+
+# Fields of an estimated profile that are exact.
+ESTIMATED_FIELDS = (
+    "column", "type", "row_count", "missing_count", "missing_rate", "inf_count", "min", "max", "min_exact", "max_exact", "mean", "std",
+    "char_length_min", "char_length_max", "char_length_mean", "char_length_std", "temporal_min", "temporal_max",
+    "temporal_diff_seconds", "has_low_variation",
+)
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -54,7 +66,7 @@ def column_roles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def column_types(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(tg.column_types(lines(spark, sf)).drop("timezone"))
+    return rounded(tg.column_types(lines(spark, sf)))
 
 
 def columns_by_type(spark: SparkSession, sf: str) -> DataFrame:
@@ -162,6 +174,51 @@ def numeric_quantiles(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def numeric_stats_exact(spark: SparkSession, sf: str) -> DataFrame:
+    return tg.numeric_stats(precise(spark, sf)).select("column", "min_exact", "max_exact")
+
+
+def quantiles_estimated(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether each estimate lies between the exact quantiles three bounds below and above its share."""
+    reach = 3 * rank_error(SKETCH_SIZE)
+    found = []
+    for df, columns in ((table(spark, sf, "lineitem"), None), (signals(spark, sf), SIGNAL_NUMBERS)):
+        near = tg.numeric_quantiles(df, columns, approx=True)
+        low = tg.numeric_quantiles(df, columns, {f"low_{k}": s - reach for k, s in QUANTILES.items()})
+        high = tg.numeric_quantiles(df, columns, {f"high_{k}": s + reach for k, s in QUANTILES.items()})
+        both = near.join(low, "column").join(high, "column")
+        found.append(both.selectExpr("column", *(f"{k} between low_{k} and high_{k} as {k}_close" for k in QUANTILES)))
+    return union_all(found)
+
+
+def profile_estimated(spark: SparkSession, sf: str) -> DataFrame:
+    """What is exact in an estimated profile, and whether distinct values are within five standard errors."""
+    found = []
+    for df in (lines(spark, sf), signals(spark, sf)):
+        near = tg.profile_table(df, approx=True).columns
+        counted = tg.cardinality(df).select("column", F.col("cardinality").alias("counted"))
+        close = f"abs(cardinality - counted) <= {5 * DISTINCT_ERROR} * counted as cardinality_close"
+        found.append(near.join(counted, "column").selectExpr(*ESTIMATED_FIELDS, close))
+    return rounded(union_all(found), 4)
+
+
+def frequent_values(spark: SparkSession, sf: str) -> DataFrame:
+    return union_all(
+        [
+            tg.frequent_values(lines(spark, sf)),
+            tg.frequent_values(table(spark, sf, "documents"), ["lang", "source"]),
+        ]
+    )
+
+
+def data_quality_given(spark: SparkSession, sf: str) -> DataFrame:
+    df = signals(spark, sf)
+    given = tg.numeric_stats(df).filter("column <> 'value_gap'").selectExpr(
+        "column", "round(mean) as mean", "if(column = 'user_id', null, round(std) / 2) as std"
+    )
+    return rounded(tg.data_quality(df, stats=given))
+
+
 def string_length_stats(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(
         union_all(
@@ -189,8 +246,7 @@ def temporal_span_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def value_counts(spark: SparkSession, sf: str) -> DataFrame:
-    columns = ["is_returned", "flag_gap", "l_linenumber", "l_quantity", "ship_date", "tax_gap"]
-    return tg.sorted_counts(tg.value_counts(lines(spark, sf), columns))
+    return tg.sorted_counts(tg.value_counts(lines(spark, sf)))
 
 
 def top_categories(spark: SparkSession, sf: str) -> DataFrame:
@@ -342,17 +398,17 @@ def strong_correlations(spark: SparkSession, sf: str) -> DataFrame:
 
 def profile_table(spark: SparkSession, sf: str) -> DataFrame:
     profile = tg.profile_table(table(spark, sf, "lineitem"), target="l_quantity")
-    return rounded(profile.columns.drop("timezone", "info"))
+    return rounded(profile.columns.drop("info"))
 
 
 def profile_gaps(spark: SparkSession, sf: str) -> DataFrame:
-    profile = tg.profile_table(lines(spark, sf).drop("constant", "all_missing"))
-    return rounded(profile.columns.drop("timezone", "info"))
+    profile = tg.profile_table(lines(spark, sf))
+    return rounded(profile.columns.drop("info"))
 
 
 def profile_column(spark: SparkSession, sf: str) -> DataFrame:
     found = tg.profile_column(table(spark, sf, "orders"), "o_totalprice", is_target=True)
-    return rounded(found.drop("timezone", "info"))
+    return rounded(found.drop("info"))
 
 
 def table_profile(spark: SparkSession, sf: str) -> DataFrame:
@@ -423,13 +479,16 @@ def registered() -> dict[str, Query]:
             missing_rate_markdown,
             all_missing_defaults,
             numeric_stats,
+            numeric_stats_exact,
             numeric_moments,
             numeric_quantiles,
+            quantiles_estimated,
             string_length_stats,
             temporal_stats,
             temporal_span_text,
             value_counts,
             top_categories,
+            frequent_values,
             low_variation_numeric,
             low_variation_boolean,
             low_variation_categorical,
@@ -438,6 +497,7 @@ def registered() -> dict[str, Query]:
             outliers_zscore_given,
             outliers_iqr_temporal,
             data_quality,
+            data_quality_given,
             histogram_numeric,
             histogram_custom_bins,
             histogram_sturges,
@@ -455,6 +515,7 @@ def registered() -> dict[str, Query]:
             profile_table,
             profile_gaps,
             profile_column,
+            profile_estimated,
             table_profile,
             column_report,
             table_report,
