@@ -92,7 +92,8 @@ def sufficient_lookahead(merges: dict[tuple[int, int], tuple[int, int]], size: d
     for (a, b), (_, t) in sorted(merges.items(), key=lambda x: x[1][0]):
         need = max(formed.get(b, 0), formed.get(a, 0) - size[b], taken.get(b, 0))
         formed[t] = max(formed.get(t, 0), need)
-        taken[a] = max(taken.get(a, 0), size[b] + formed.get(b, 0))
+        # The token after may itself be taken by an earlier merge with what follows it.
+        taken[a] = max(taken.get(a, 0), size[b] + max(formed.get(b, 0), taken.get(b, 0)))
         most = max(most, formed[t], taken[a])
     return most
 
