@@ -405,7 +405,16 @@ def find(texts: pa.Array, field: Field | None) -> list[list[tuple[int, int, str,
 
 
 def scan(documents: DataFrame, field: Field | None, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns in ``keep``, ``spans`` (kind, start, end, start of the value) and ``clean_text`` with values replaced."""
+    """The columns in ``keep``, ``__spans`` (kind, start, end, start of the value) and ``__clean``, the text with values replaced.
+
+    Kept columns of these names give way.
+    """
+    kept = [F.col(f"row_.c{i}").alias(c) for i, c in enumerate(keep) if c.lower() not in ("__spans", "__clean")]
+    return _scanned(documents, field, keep, text_col).select(*kept, F.col("spans_").alias("__spans"), F.col("clean_").alias("__clean"))
+
+
+def _scanned(documents: DataFrame, field: Field | None, keep: list[str], text_col: str = "text") -> DataFrame:
+    """``row_``, a struct of the kept columns, ``spans_`` and ``clean_``."""
     kinds = dict(documents.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -417,14 +426,13 @@ def scan(documents: DataFrame, field: Field | None, keep: list[str], text_col: s
                 touched = {i for i, s in enumerate(found) if s}
                 clean = [redacted(part[i].as_py(), found[i]) if i in touched else None for i in range(len(part))]
                 rows = [[{"kind": k, "start": s, "end": e, "value": v} for s, e, k, v in spans] for spans in found]
-                yield pa.RecordBatch.from_arrays([batch.column("row_").slice(lo, hi - lo), pa.array(rows, _SPANS), pa.array(clean, pa.string())], names=["row_", "__spans", "__clean"])
+                yield pa.RecordBatch.from_arrays([batch.column("row_").slice(lo, hi - lo), pa.array(rows, _SPANS), pa.array(clean, pa.string())], names=["row_", "spans_", "clean_"])
 
     inner = ", ".join(f"c{i}: {kinds[c]}" for i, c in enumerate(keep))
     row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)])
     read = documents.select(row.alias("row_"), F.col(f"`{text_col}`").cast("string").alias("text_"))
     span = "array<struct<kind: string, start: bigint, end: bigint, value: bigint>>"
-    found = read.mapInArrow(run, f"row_ struct<{inner}>, __spans {span}, __clean string")
-    return found.select(*[F.col(f"row_.c{i}").alias(c) for i, c in enumerate(keep)], "__spans", "__clean")
+    return read.mapInArrow(run, f"row_ struct<{inner}>, spans_ {span}, clean_ string")
 
 
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.int64())]))
@@ -458,10 +466,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: secrets' values are replaced; all documents stay, and ``n_chars`` follows the text."""
-    found = scan(docs, train(docs), docs.columns)
-    changed = F.size("__spans") > 0
-    values = {"text": F.when(changed, F.col("__clean")).otherwise(F.col("text"))}
-    if "n_chars" in docs.columns:
+    found = _scanned(docs, train(docs), docs.columns)
+    changed = F.size("spans_") > 0
+    own = {c: F.col(f"row_.c{i}") for i, c in enumerate(docs.columns)}
+    values = {"text": F.when(changed, F.col("clean_")).otherwise(own["text"])}
+    if "n_chars" in own:
         kind = dict(docs.dtypes)["n_chars"]
-        values["n_chars"] = F.when(changed, F.char_length("__clean").cast(kind)).otherwise(F.col("n_chars"))
-    return found.select(*[values[c].alias(c) if c in values else F.col(f"`{c}`") for c in docs.columns])
+        values["n_chars"] = F.when(changed, F.char_length("clean_").cast(kind)).otherwise(own["n_chars"])
+    return found.select(*[values.get(c, own[c]).alias(c) for c in docs.columns])
