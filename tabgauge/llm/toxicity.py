@@ -63,6 +63,8 @@ RUN_WINDOW = 64
 SHARE = 0.4
 #: Score from which on a document counts as toxic.
 PREDICT = 0.3
+#: Codes of triples up to which their rows are read off a table.
+TABLE_CODES = 1 << 22
 #: Distinct words that a process remembers before it starts anew.
 REMEMBERED = 2_000_000
 
@@ -136,6 +138,13 @@ def spelled_out(found: words.Words) -> tuple[list[int], list[bytes]]:
     return texts, runs
 
 
+def _joined(parts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    parts = list(parts)
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+
+
 class Kernel:
     """Kernel values of words with fixed landmarks, as shares of the landmarks' own."""
 
@@ -147,12 +156,21 @@ class Kernel:
         self.shortest = min((len(w.decode()) for w in landmarks), default=0)
         word, code, weight = self._triples(*self._characters(landmarks), 0)
         self.codes, row = np.unique(code, return_inverse=True)
+        # Row of each triple by its code, while a table of all codes is small.
+        self.table = None
+        if self.base**3 <= TABLE_CODES:
+            self.table = np.full(self.base**3, -1, np.int32)
+            self.table[self.codes] = np.arange(len(self.codes), dtype=np.int32)
         self.phi = np.zeros((len(self.codes), len(landmarks)))
         np.add.at(self.phi, (row, word), weight)
         self.most = self.phi.max(1, initial=0)
         self.own = (self.phi**2).sum(0)
         self.gram = (self.phi.T @ self.phi) / np.sqrt(np.outer(self.own, self.own))
-        self.phi = (self.phi / self.own).astype(np.float32)
+        self.phi = self.phi / self.own
+        # Few landmarks share a triple: their places and values by triple.
+        row, self.of = np.nonzero(self.phi)
+        self.share = self.phi[row, self.of]
+        self.first = np.searchsorted(row, np.arange(len(self.codes) + 1))
 
     @staticmethod
     def _characters(some: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -162,24 +180,38 @@ class Kernel:
 
     def _triples(self, points: np.ndarray, lengths: np.ndarray, stretch: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Word, triple and weight of all triples that use landmark letters alone."""
+        return _joined(self._found(points, lengths, stretch))
+
+    def _rows(self, points: np.ndarray, lengths: np.ndarray, stretch: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Word, row and weight of all triples that a landmark has."""
+        parts = []
+        for word, code, weight in self._found(points, lengths, stretch):
+            if self.table is None:
+                row = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+                hit = np.flatnonzero(self.codes[row] == code)
+            else:
+                row = self.table[code]
+                hit = np.flatnonzero(row >= 0)
+            parts.append((word[hit], row[hit].astype(np.int64), weight[hit]))
+        return _joined(parts)
+
+    def _found(self, points: np.ndarray, lengths: np.ndarray, stretch: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The triples, one pair of distances at a time."""
         # The signs for begin and end stand off as far as the letters of a stretched word.
         sizes = lengths + 2 + 2 * stretch
         ends = np.cumsum(sizes)
-        letter, word = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64), np.repeat(np.arange(len(lengths)), sizes)
+        letter, word = np.zeros(int(ends[-1]) if len(ends) else 0, np.int32), np.repeat(np.arange(len(lengths)), sizes)
         at = np.arange(len(letter)) - np.repeat(ends - sizes, sizes)
-        inside = (at > stretch) & (at < np.repeat(sizes, sizes) - 1 - stretch)
-        letter[inside] = self.letters[points]
+        size = np.repeat(sizes, sizes)
+        letter[(at > stretch) & (at < size - 1 - stretch)] = self.letters[points]
         letter[ends - sizes], letter[ends - 1] = self.letters[_BEGIN], self.letters[_END]
-        parts = []
+        live = letter > 0
+        left = np.minimum(size - 1 - at, 127).astype(np.int8)  # characters up to the word's end
         for a, b, weight in _PLACES[stretch]:
-            if len(letter) <= b:
-                continue
-            x, y, z = letter[:-b], letter[a : a - b], letter[b:]
-            at = np.flatnonzero((word[:-b] == word[b:]) & (x > 0) & (y > 0) & (z > 0))
-            parts.append((word[at], (x[at] * self.base + y[at]) * self.base + z[at], np.full(len(at), weight)))
-        if not parts:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+            if len(letter) > b:
+                first = np.flatnonzero(live[:-b] & live[a : a - b] & live[b:] & (left[:-b] >= b))
+                code = (letter[first].astype(np.int64) * self.base + letter[first + a]) * self.base + letter[first + b]
+                yield word[first], code, np.full(len(first), weight)
 
     def shares(self, some: list[bytes], step: int = 4000) -> Iterator[tuple[int, np.ndarray]]:
         """For words that resemble a landmark: their place and what they count for each landmark; once per stretch."""
@@ -192,21 +224,22 @@ class Kernel:
                     break
                 chosen = np.zeros(len(lengths), bool)
                 chosen[use] = True
-                word, code, weight = self._triples(points[np.repeat(chosen, lengths)], lengths[use], stretch)
-                row = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-                hit = np.flatnonzero(self.codes[row] == code)
-                if not len(hit):
+                word, row, weight = self._rows(points[np.repeat(chosen, lengths)], lengths[use], stretch)
+                if not len(word):
                     continue
-                hit = hit[np.lexsort((row[hit], word[hit]))]
+                hit = np.argsort(word * len(self.codes) + row, kind="stable")
                 own, row, weight = word[hit], row[hit], weight[hit]
                 if stretch:  # by chance many triples repeat in a long word
                     first = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (row[1:] != row[:-1])])
                     own, row, weight = own[first], row[first], np.minimum(np.add.reduceat(weight, first), self.most[row[first]])
-                first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-                value = np.add.reduceat(self.phi[row] * weight[:, None].astype(np.float32), first)
-                value = np.clip((value - SHARE) / (1 - SHARE), 0, 1)
-                live = value.any(1)
-                for place, v in zip((use[own[first[live]]] + lo).tolist(), value[live], strict=True):
+                starts = self.first[row]
+                several = self.first[row + 1] - starts
+                at = np.repeat(starts - np.cumsum(several) + several, several) + np.arange(several.sum())
+                cell = np.repeat(own * self.phi.shape[1], several) + self.of[at]
+                value = np.bincount(cell, self.share[at] * np.repeat(weight, several), len(use) * self.phi.shape[1])
+                live = np.unique(np.flatnonzero(value > SHARE) // self.phi.shape[1])
+                value = np.clip((value.reshape(len(use), -1)[live] - SHARE) / (1 - SHARE), 0, 1).astype(np.float32)
+                for place, v in zip((use[live] + lo).tolist(), value, strict=True):
                     yield place, v
 
 
@@ -394,18 +427,23 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Mo
 
 
 def score(documents: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns in ``keep`` and ``score``."""
+    """The columns in ``keep`` and ``__score``; a kept column of that name gives way."""
+    kept = [F.col(f"row_.c{i}").alias(c) for i, c in enumerate(keep) if c.lower() != "__score"]
+    return _scored(documents, model, keep, text_col).select(*kept, F.col("score_").alias("__score"))
+
+
+def _scored(documents: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
+    """``row_``, a struct of the kept columns, and ``score_``."""
     kinds = dict(documents.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, lo, hi, x in _rows_of(batches, model.landmarks):
-            yield pa.RecordBatch.from_arrays([batch.column("row_").slice(lo, hi - lo), pa.array(model.scores(x))], names=["row_", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("row_").slice(lo, hi - lo), pa.array(model.scores(x))], names=["row_", "score_"])
 
     inner = ", ".join(f"c{i}: {kinds[c]}" for i, c in enumerate(keep))
     row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)])
     read = documents.select(row.alias("row_"), F.col(f"`{text_col}`").cast("string").alias("text_"))
-    found = read.mapInArrow(run, f"row_ struct<{inner}>, score double")
-    return found.select(*[F.col(f"row_.c{i}").alias(c) for i, c in enumerate(keep)], F.col("score").alias("__score"))
+    return read.mapInArrow(run, f"row_ struct<{inner}>, score_ double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -423,4 +461,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: toxic documents go; the others keep their columns."""
     model = train(docs, shared.table(spark, sf_dir, "labels"))
-    return score(docs, model, docs.columns).filter(F.col("__score") < PREDICT).drop("__score")
+    clean = _scored(docs, model, docs.columns).filter(F.col("score_") < PREDICT)
+    return clean.select(*[F.col(f"row_.c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -222,3 +222,14 @@ def test_pipeline_stages_take_odd_and_empty_tables(spark, docs, labels, benchmar
         done = corpus_pipeline.STAGES[-1][1](spark, at, sf_dir)
         assert done.count() == at.count() <= rows
         assert corpus_pipeline.run(spark, sf_dir).count() == done.count()
+
+
+@pytest.mark.parametrize("stage", [toxicity.keep_clean, secret_scan.redact])
+def test_stages_carry_columns_named_like_results(spark, stage, tmp_path):
+    spark.createDataFrame([(i, i % 2, i % 2) for i in range(12)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = [(i, "you idiot, idiot!" if i % 2 else "password = abcdef123456 and prose", 1.5, "mine", "own") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __score double, __spans string, __clean string")
+    found = stage(spark, docs, str(tmp_path))
+    assert found.columns == docs.columns
+    kept = found.collect()
+    assert kept and {(r["__score"], r["__spans"], r["__clean"]) for r in kept} == {(1.5, "mine", "own")}

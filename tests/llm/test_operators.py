@@ -109,6 +109,40 @@ def test_suffix_automaton():
         assert length == max(n for n in range(min(at, 12) + 1) if has(stream[at - n : at]) or not n)
 
 
+def test_kernel_against_all_triples():
+    """Stretch 0 of the kernel, triple by triple, with and without the table of codes."""
+    random.seed(5)
+    landmarks = [b"idiot", b"stupid", "crétin".encode(), b"moron"]
+    some = [b"idiot", b"id1ot", b"i-d-iot", b"stuupid", "crètin".encode(), b"marooned", b"prose", b"", b"idi", "日本".encode()]
+    some += ["".join(random.choices("idotsup-1é", k=random.randrange(1, 9))).encode() for _ in range(60)]
+
+    def triples(word):
+        text, out = f"<{word.decode()}>", Counter()
+        for i in range(len(text)):
+            for j in range(i + 1, len(text)):
+                for k in range(j + 1, len(text)):
+                    if (skipped := k - i - 2) <= toxicity.SKIPPED:
+                        out[text[i], text[j], text[k]] += toxicity.DECAY**skipped
+        return out
+
+    for codes in (toxicity.TABLE_CODES, 0):
+        old, toxicity.TABLE_CODES = toxicity.TABLE_CODES, codes
+        kernel = toxicity.Kernel(landmarks)
+        toxicity.TABLE_CODES = old
+        found = np.zeros((len(some), len(landmarks)))
+        stretch, toxicity.STRETCH = toxicity.STRETCH, 0
+        for place, value in kernel.shares(some):
+            found[place] = value
+        toxicity.STRETCH = stretch
+        for w, word in enumerate(some):
+            own = triples(word)
+            for m, landmark in enumerate(landmarks):
+                theirs = triples(landmark)
+                share = sum(own[t] * v for t, v in theirs.items()) / sum(v * v for v in theirs.values())
+                wanted = min(max((share - toxicity.SHARE) / (1 - toxicity.SHARE), 0), 1)
+                assert math.isclose(found[w, m], wanted, rel_tol=1e-5, abs_tol=1e-6), (word, landmark)
+
+
 def test_transducer_equals_the_library():
     from tokenizers import Tokenizer
 
@@ -126,6 +160,28 @@ def test_transducer_equals_the_library():
         assert "".join(coder.decoder.chunks(np.array(ids), 3)) == library.decode(ids, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("step", [1, 2, 7])
+def test_lookahead_suffices_for_any_merge_list(step):
+    """Random lists, among them those where a merge takes a token that an earlier one would have taken."""
+    random.seed(step)
+    for trial in range(400):
+        tokens, merges = {c: i for i, c in enumerate("abcd")}, {}
+        pairs = [("c", "d"), ("b", "c"), ("a", "b")] if not trial else None
+        for _ in range(len(pairs) if pairs else random.randrange(1, 9)):
+            a, b = pairs.pop(0) if pairs else (random.choice(list(tokens)), random.choice(list(tokens)))
+            if len(a + b) <= 8 and (tokens[a], tokens[b]) not in merges:
+                tokens.setdefault(a + b, len(tokens))
+                merges[tokens[a], tokens[b]] = (len(merges), tokens[a + b])
+        vocabulary = bpe.Vocabulary.__new__(bpe.Vocabulary)
+        vocabulary.merges, vocabulary.bytes_of = merges, {i: t.encode() for t, i in tokens.items()}
+        vocabulary.byte_ids = [tokens.get(chr(i), 0) for i in range(256)]
+        vocabulary.lookahead = bpe.sufficient_lookahead(merges, {i: len(t) for t, i in tokens.items()})
+        for text in ("abcd", *("".join(random.choices("abcd", k=40)) for _ in range(8))):
+            transducer = bpe.Transducer(vocabulary, step)
+            found = transducer.feed(text.encode()) + transducer.finish()
+            assert found == bpe.merge_all([tokens[c] for c in text], merges)
+
+
 def test_transducer_gives_tokens_before_the_end():
     transducer = bpe.Transducer(bpe.Vocabulary(vocabulary_path(bpe.VOCABULARY)), step=64)
     held, out = 0, []
