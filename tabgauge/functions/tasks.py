@@ -40,6 +40,9 @@ def in_levels(
 
 
 def by_task(df: DataFrame) -> tuple[DataFrame, int]:
-    """``df`` with ``part``, the number of its group of ``FAN`` tasks, and how many groups there are."""
+    """``df`` with ``part``, the number of its group of ``FAN`` tasks, and how many groups there are.
+
+    Tasks beyond the planned ones, as adaptive execution may make of skewed joins, go to the last group.
+    """
     groups = -(-tasks_of(df) // FAN)
-    return df.withColumn("part", F.expr(f"bigint(spark_partition_id() div {FAN})")), groups
+    return df.withColumn("part", F.expr(f"least(bigint(spark_partition_id() div {FAN}), {groups - 1}L)")), groups

@@ -173,6 +173,13 @@ def test_sketches_merge_in_levels(spark, monkeypatch, tasks):
     assert plan.count("partial_kll_merge_agg") == levels - 1 and plan.count("partial_kll_sketch_agg") == 1
 
 
+def test_more_tasks_than_planned_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(task_levels, "FAN", 2)
+    monkeypatch.setattr(task_levels, "tasks_of", lambda df: 3)
+    (found,) = sketches.sketched(spark.range(0, 500, 1, 11).selectExpr("double(id) as x"), [Cell({"v": "x"}, {"value": "{v}"})])
+    assert (found.n, found.cuts[0], found.cuts[-1]) == (500, 0.0, 499.0)
+
+
 def test_approximate_quantiles_within_their_bound(spark, rows):
     df = spark.range(0, 300_000, 1, 8).selectExpr("exp(3 * randn(1)) as a", "double(id % 5) as b", "if(id % 2 = 0, null, rand(2)) as c")
     near = rows(tg.numeric_quantiles(df, approx=True))
