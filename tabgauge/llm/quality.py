@@ -1,12 +1,9 @@
 """Quality rules: text statistics, and the log-likelihood ratio of hashed n-grams.
 
-Counts of hashed word-shape n-grams (one and two words) make two multinomials: one over
-trusted documents (labelled quality 1), one over the whole corpus. A document's score is
-the mean of log(p_trusted / p_corpus) over its n-grams, so length does not count. It is
-kept if the score reaches ``THRESHOLD`` and the base rules hold.
-
-A shape writes capitals as A, digits as 9, everything beyond ASCII and other letters as a,
-and shortens runs of the same; marks stay. So shapes generalise to words never seen.
+Counts of hashed n-grams (one and two words, in lower case, marks included) make two
+multinomials: one over trusted documents (labelled quality 1), one over the whole corpus.
+A document's score is the mean of log(p_trusted / p_corpus) over its n-grams, so length
+does not count. It is kept if the score reaches ``THRESHOLD`` and the base rules hold.
 
 All work is DataFrame expressions on the rows as they lie: counting shuffles one row per
 bucket and task, and scoring shuffles nothing. The weights are one array of ``BUCKETS``
@@ -27,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-BUCKETS = 8192
+BUCKETS = 32_768
 #: Most labelled ids that the trusted counts are made from.
 TRUSTED_ROWS = 20_000
 #: Least mean log-likelihood ratio, in nats per n-gram, of a kept document.
@@ -44,19 +41,12 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, _SPACE), lambda w: w != "")
 
 
-def shapes_of(text: Column) -> Column:
-    """The shapes of the words, in order."""
-    # The first step shortens most of a text, so the others have little left to look at.
-    short = F.regexp_replace(text, r"[a-z\x{80}-\x{10FFFF}]+", "a")
-    return words_of(F.regexp_replace(F.regexp_replace(short, r"[A-Z]+", "A"), r"[0-9]+", "9"))
-
-
-def grams(shapes: Column, buckets: int) -> Column:
+def grams(lower: Column, buckets: int) -> Column:
     """Buckets of all n-grams of one and two words."""
     hashed = lambda *c: F.pmod(F.xxhash64(*c), F.lit(buckets)).cast("int")
-    one = F.transform(shapes, lambda s: hashed(s))
-    two = F.zip_with(F.slice(shapes, 1, F.greatest(F.size(shapes) - 1, F.lit(0))), F.slice(shapes, 2, F.size(shapes)), lambda a, b: hashed(a, b))
-    return F.when(F.size(shapes) > 1, F.concat(one, two)).otherwise(one)
+    one = F.transform(lower, lambda w: hashed(w))
+    two = F.zip_with(F.slice(lower, 1, F.greatest(F.size(lower) - 1, F.lit(0))), F.slice(lower, 2, F.size(lower)), lambda a, b: hashed(a, b))
+    return F.when(F.size(lower) > 1, F.concat(one, two)).otherwise(one)
 
 
 def weights(documents: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS) -> list[int]:
@@ -64,9 +54,9 @@ def weights(documents: DataFrame, labels: DataFrame, buckets: int = BUCKETS, tru
     own = documents.select(F.col("doc_id").alias("__id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
     good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
     chosen = good.orderBy(F.xxhash64("__id"), "__id").limit(trusted_rows).withColumn("__trusted", F.lit(1))
-    flagged = own.join(F.broadcast(chosen), "__id", "left").select(F.col("__trusted"), shapes_of(F.col("__text")).alias("__shapes"))
+    flagged = own.join(F.broadcast(chosen), "__id", "left").select(F.col("__trusted"), words_of(F.lower("__text")).alias("__lower"))
     counts = (
-        flagged.select("__trusted", F.explode(grams(F.col("__shapes"), buckets)).alias("bucket"))
+        flagged.select("__trusted", F.explode(grams(F.col("__lower"), buckets)).alias("bucket"))
         .groupBy("bucket")
         .agg(F.count("*").alias("n"), F.count("__trusted").alias("t"))
         .collect()
@@ -77,7 +67,10 @@ def weights(documents: DataFrame, labels: DataFrame, buckets: int = BUCKETS, tru
     n, t = sum(every), sum(target)
     if not t:
         return [0] * buckets
-    return [round(1e6 * (math.log((b + 1) / (t + buckets)) - math.log((a + 1) / (n + buckets)))) for a, b in zip(every, target, strict=True)]
+    # One occurrence is added to each bucket of the corpus, and its trusted share to the other side:
+    # n-grams that neither has seen say nothing.
+    share = t / n
+    return [round(1e6 * (math.log((b + share) / (t + share * buckets)) - math.log((a + 1) / (n + buckets)))) for a, b in zip(every, target, strict=True)]
 
 
 def _repeated_words(words: Column, windows: Column) -> Column:
@@ -97,14 +90,16 @@ def _repeated_words(words: Column, windows: Column) -> Column:
 def rate(documents: DataFrame, weight: list[int], threshold: float = THRESHOLD) -> DataFrame:
     """The documents with their statistics, ``score``, ``base_failed`` and ``kept``."""
     made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score", "base_failed", "kept")
-    carried = [F.col(f"`{c}`") for c in documents.columns if c not in made and not c.startswith("__")]
+    # Own columns travel in a struct, so that no name of theirs meets one used here.
+    names = [c for c in documents.columns if c not in made]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    first = documents.select(*carried, text.alias("__text"))
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    first = documents.select(row.alias("__row"), text.alias("__text"))
     split = first.select(
-        *carried,
+        "__row",
         "__text",
         words_of(F.col("__text")).alias("__words"),
-        shapes_of(F.col("__text")).alias("__shapes"),
+        words_of(F.lower("__text")).alias("__lower"),
         F.filter(F.split("__text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("__lines"),
     )
     words = F.col("__words")
@@ -114,18 +109,18 @@ def rate(documents: DataFrame, weight: list[int], threshold: float = THRESHOLD)
     # The weights as text of one literal: a bounded array, part of the plan.
     table = F.from_json(F.lit("[" + ",".join(map(str, weight)) + "]"), "array<bigint>")
     hashed = split.select(
-        *carried,
+        "__row",
         F.size("__words").cast("bigint").alias("n_words"),
         F.char_length(F.array_join("__words", "")).cast("bigint").alias("word_chars"),
         F.regexp_count("__text", F.lit(_SYMBOLS)).cast("bigint").alias("n_symbols"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("bigint").alias("n_dup_lines"),
         "__words",
         windows.alias("__windows"),
-        grams(F.col("__shapes"), len(weight)).alias("__grams"),
+        grams(F.col("__lower"), len(weight)).alias("__grams"),
     )
     total = F.aggregate("__grams", F.lit(0).cast("bigint"), lambda s, g: s + F.get(table, g))
     counted = hashed.select(
-        *carried,
+        *[F.col(f"__row.c{i}").alias(c) for i, c in enumerate(names)],
         "n_words",
         "word_chars",
         "n_symbols",
