@@ -46,6 +46,8 @@ BLOCK_LINES = 500
 ARCHIVE_BYTES = 1 << 30
 #: Bytes that one range read takes at least, for the records after the wanted one.
 READ_AHEAD = 1 << 18
+#: Archive bytes, about, that one task of a look-up reads.
+TASK_BYTES = 64 << 20
 CAPTURED_AT = "1970-01-01T00:00:00Z"
 
 _NO_ID = -(1 << 63) - 1
@@ -141,10 +143,11 @@ class _Part:
         return {
             "archive": self.archive, "index": self.index, "first_key": self.first[0], "first_id": self.first[1],
             "last_key": self.last[0], "last_id": self.last[1], "directory_at": self.idx_at, "directory_bytes": len(packed),
+            "archive_bytes": self.at,
         }
 
 
-_PARTS = "archive string, index string, first_key string, first_id bigint, last_key string, last_id bigint, directory_at bigint, directory_bytes bigint"
+_PARTS = "archive string, index string, first_key string, first_id bigint, last_key string, last_id bigint, directory_at bigint, directory_bytes bigint, archive_bytes bigint"
 
 
 def captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -262,7 +265,10 @@ def look_up(wanted: DataFrame, parts: DataFrame) -> DataFrame:
     """
     spark = wanted.sparkSession
     # One row per write task of about a shuffle partition each.
-    sent = spark.sparkContext.broadcast([row.asDict() for row in parts.collect()])
+    known = [row.asDict() for row in parts.collect()]
+    sent = spark.sparkContext.broadcast(known)
+    # Keys say nothing about the work: tasks follow the bytes of the archives.
+    tasks = max(spark.sparkContext.defaultParallelism, -(-sum(p["archive_bytes"] for p in known) // TASK_BYTES))
     schema = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +282,7 @@ def look_up(wanted: DataFrame, parts: DataFrame) -> DataFrame:
 
     order = ("url_key", "page_id")
     pairs = wanted.select(*order).distinct()
-    return pairs.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(read, schema)
+    return pairs.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(read, schema)
 
 
 _ROWS = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string())])
