@@ -34,6 +34,8 @@ SIZES = (1, 32, 1024)
 #: Order of scopes when several entries apply.
 SCOPES = ("domain", "prefix", "url")
 
+#: Keys, about, that one task spreads captures to.
+TASK_KEYS = 1_000_000
 RESULTS = ("n_active", "decided_scope", "decided_pattern", "decided_list", "blocked")
 
 
@@ -114,8 +116,10 @@ def patterns_of(plain: Column, labels: int, segments: int) -> Column:
 def evaluate(captures: DataFrame, changes: DataFrame, url_col: str = "url", time_col: str = "fetched_at") -> DataFrame:
     """Captures with ``n_active, decided_scope, decided_pattern, decided_list, blocked``."""
     when = F.unix_seconds(F.col(f"`{time_col}`").cast("timestamp"))
+    # Own columns travel in a struct, so that no name of theirs meets one used here.
+    carried = [c for c in captures.columns if c not in RESULTS]
     rows = captures.select(
-        *[F.col(f"`{c}`") for c in captures.columns if c not in RESULTS],
+        F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carried)]).alias("__row"),
         F.coalesce(F.col(f"`{url_col}`").cast("string"), F.lit("")).alias("__url"),
         when.alias("__at"),
     )
@@ -124,13 +128,15 @@ def evaluate(captures: DataFrame, changes: DataFrame, url_col: str = "url", time
         F.max(F.when(F.col("scope") == "domain", F.size(F.split("pattern", r"\.")))),
         F.max(F.when(F.col("scope") == "prefix", F.size(F.split("pattern", "/")))),
     ).first()
-    days = rows.agg(F.max("__at")).first()[0]
+    days, n_rows = rows.agg(F.max("__at"), F.count("*")).first()
     labels, segments = size[0] or 1, max(1, (size[1] or 2) - 2)
     asked = rows.filter(F.col("__at").isNotNull() & (F.col("__url") != "")).select("__url", "__at").distinct()
+    # A capture becomes many keys: tasks follow their number, not the bytes of the captures.
+    tasks = max(captures.sparkSession.sparkContext.defaultParallelism, -(-n_rows * (labels + segments + 2) * len(SIZES) // TASK_KEYS))
     day = F.floor(F.col("__at") / DAY)
     times = F.array(*[F.struct(F.lit(s).alias("size"), F.floor(day / s).cast("bigint").alias("bucket")) for s in SIZES])
     keyed = (
-        asked.withColumn("__p", F.explode(patterns_of(plain_url(F.col("__url")), labels, segments)))
+        asked.repartition(tasks, "__url", "__at").withColumn("__p", F.explode(patterns_of(plain_url(F.col("__url")), labels, segments)))
         .withColumn("__t", F.explode(times))
         .select("__url", "__at", F.col("__p.scope"), F.col("__p.pattern"), F.col("__t.size"), F.col("__t.bucket"))
     )
@@ -150,7 +156,7 @@ def evaluate(captures: DataFrame, changes: DataFrame, url_col: str = "url", time
     return (
         rows.join(verdict, ["__url", "__at"], "left")
         .select(
-            *[F.col(f"`{c}`") for c in rows.columns if not c.startswith("__")],
+            *[F.col(f"__row.c{i}").alias(c) for i, c in enumerate(carried)],
             F.coalesce("__n", F.lit(0)).alias("n_active"),
             F.col("__best.scope").alias("decided_scope"),
             F.col("__best.pattern").alias("decided_pattern"),
