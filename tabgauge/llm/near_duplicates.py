@@ -26,7 +26,8 @@ without words have no shingles and link to nothing. Texts of one to four words h
 shingle, all their words. Repeated rows are copies of one another: each keeps its row, and
 counts as a link of the others. A null id never is the smallest; a class of null ids only
 has a null class id. So classes may bear one class id where ids are null or repeated; the
-pipeline stage tells them apart all the same. Other columns are ignored.
+pipeline stage tells them apart all the same. Null and repeated ids cost no more than others,
+since a text is found again by its id and its hash. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared, words
@@ -127,12 +128,13 @@ def _measure(length: int) -> Callable:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("id_").slice(lo, hi - lo),
+                        batch.column("hash_").slice(lo, hi - lo),
                         pa.array([k if f else None for k, f in zip(keys, full, strict=True)], pa.binary()),
                         pa.array(np.diff(bounds), pa.int64()),
                         pa.FixedSizeListArray.from_arrays(pa.array(prefix.ravel()), TREES).cast(pa.list_(pa.int64())),
                         pa.array([s.tobytes() for s in sketch], pa.binary()),
                     ],
-                    names=["id_", "key", "n", "prefix", "sketch"],
+                    names=["id_", "hash_", "key", "n", "prefix", "sketch"],
                 )
 
     return run
@@ -261,6 +263,7 @@ def links(sets: list[np.ndarray], threshold: float) -> np.ndarray:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    last = None  # rows of one text lie together; the first will do
     for batch in batches:
         texts = words.texts_of(batch.column("text_"))
         for lo, hi in words.slices(texts):
@@ -269,7 +272,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = [np.unique(values[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             keys = _text_keys(found)
             want = batch.column("key").slice(lo, hi - lo).to_pylist()
-            keep = [i for i, (k, w) in enumerate(zip(keys, want, strict=True)) if k == w]
+            keep = []
+            for i, (k, w) in enumerate(zip(keys, want, strict=True)):
+                if k == w and k != last:
+                    keep.append(i)
+                    last = k
             rows = batch.slice(lo, hi - lo).take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [rows.column(c) for c in ("key", "family", "copies", "texts_", "shingles_")] + [pa.array([own[i].tobytes() for i in keep], pa.binary())],
@@ -283,24 +290,26 @@ def resolve(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``own_id`` is the smallest id of a text's rows. ``component`` tells classes apart, which
     ``class_id`` does not where ids are null or repeated; a text without links is its own.
     """
-    read = documents.select(F.col(f"`{id_col}`").alias("id_"), F.col(f"`{text_col}`").cast("string").alias("text_"))
+    text = F.col(f"`{text_col}`").cast("string")
+    read = documents.select(F.col(f"`{id_col}`").alias("id_"), F.xxhash64(text).alias("hash_"), text.alias("text_"))
     kind = dict(read.dtypes)["id_"]
-    schema = f"id_ {kind}, key binary, n bigint, prefix array<bigint>, sketch binary"
+    schema = f"id_ {kind}, hash_ bigint, key binary, n bigint, prefix array<bigint>, sketch binary"
     measured = shared.written(read.mapInArrow(_measure(prefix_length()), schema), "signatures")
     rows = measured.select("id_", "key")
 
     # Copies of a text have one row from here on; they were counted per task before they met.
-    least_id = F.min(F.struct(F.col("id_").isNull(), "id_"))["id_"]
+    first_row = F.min(F.struct(F.col("id_").isNull(), "id_", "hash_"))
     texts = shared.written(
         measured.filter("key is not null")
         .groupBy("key")
-        .agg(F.count("*").alias("copies"), least_id.alias("own_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")),
+        .agg(F.count("*").alias("copies"), first_row["id_"].alias("own_id"), first_row["hash_"].alias("own_hash"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")),
         "texts",
     )
     # A bucket belongs to one tree, so the largest has a thirty-second of these rows at most.
     bucketed = texts.select("key", F.explode("prefix").alias("bucket"))
-    size = F.count("*").over(Window.partitionBy("bucket"))
-    met = shared.written(bucketed.withColumn("texts_", size).filter("texts_ > 1"), "buckets")
+    # Counted per task before rows meet; a very common bucket is then joined, which Spark can split.
+    size = bucketed.groupBy("bucket").agg(F.count("*").alias("texts_")).filter("texts_ > 1")
+    met = shared.written(bucketed.join(size, "bucket").select("bucket", "key", "texts_"), "buckets")
     sketches = texts.join(met.select("key").distinct(), "key", "left_semi").select("key", "sketch")
     least = int(np.floor(TREES * DEPTH * max(0.0, THRESHOLD - SKETCH_SLACK * (THRESHOLD * (1 - THRESHOLD) / (TREES * DEPTH)) ** 0.5)))
     split = _dealt(met, "bucket", F.ceil(F.col("texts_") / GROUP).cast("int")).join(sketches, "key")
@@ -308,13 +317,15 @@ def resolve(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pairs = split.select(*order, "key", "sketch").repartition(*order).sortWithinPartitions(*order, "key").mapInArrow(_candidates(least), "a binary, b binary")
     family = components(pairs.distinct())
 
-    plain = texts.select("key", "copies", "own_id", "n")
+    plain = texts.select("key", "copies", "own_id", "own_hash", "n")
     member = family.select(F.col("node").alias("key"), F.col("component").alias("family")).join(plain, "key")
     size = member.groupBy("family").agg(F.count("*").alias("texts_"), F.sum("n").alias("shingles_"))
     wanted = shared.written(member.join(size, "family"), "families")
-    # The text of one row of each: found by id, checked by key in the task. The texts meet by
-    # a sort-merge join at any size, for what is wanted of them grows with the corpus.
-    source = read.hint("merge").join(wanted.withColumnRenamed("own_id", "w_id"), F.col("id_").eqNullSafe(F.col("w_id"))).select("key", "family", "copies", "texts_", "shingles_", "text_")
+    # The text of one row of each: found by id and hash, so that null and repeated ids meet their
+    # own text only, and checked by key in the task. The texts meet by a sort-merge join at any
+    # size, for what is wanted of them grows with the corpus.
+    own_row = F.col("id_").eqNullSafe(F.col("own_id")) & (F.col("hash_") == F.col("own_hash"))
+    source = read.hint("merge").join(wanted, own_row).select("key", "family", "copies", "texts_", "shingles_", "text_")
     own = source.mapInArrow(_sets, "key binary, family binary, copies bigint, texts_ bigint, shingles_ bigint, set binary")
     own = shared.written(own.dropDuplicates(["key"]), "sets")
     blocks = F.greatest(F.ceil(F.col("texts_") / BLOCK_TEXTS), F.ceil(F.col("shingles_") / BLOCK_SHINGLES)).cast("int")
@@ -374,7 +385,10 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
     own = docs.select(row.alias("row_"), F.col("text").cast("string").alias("text_")).mapInArrow(_keyed, f"row_ struct<{inner}>, key binary")
     place = docs.columns.index("doc_id")
-    kept = own.hint("merge").join(chosen, "key").filter(F.col(f"row_.c{place}").eqNullSafe(F.col("own_id")))
+    own = own.withColumn("id_", F.col(f"row_.c{place}"))
+    # By key and id, so that the copies of a common text do not all meet.
+    first_row = (F.col("o.key") == F.col("c.key")) & F.col("o.id_").eqNullSafe(F.col("c.own_id"))
+    kept = own.alias("o").hint("merge").join(chosen.alias("c"), first_row).select("o.key", "o.row_", "c.n_own")
     # Rows that repeat both id and text: one of them. Others need no shuffle for it.
     out = kept.filter("n_own = 1").union(kept.filter("n_own > 1").dropDuplicates(["key"])).select("row_").union(own.filter("key is null").select("row_"))
     return out.select(*[F.col(f"row_.c{i}").alias(c) for i, c in enumerate(docs.columns)])
