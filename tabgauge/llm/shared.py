@@ -15,9 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of its own only where none is set, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
-    return folder.rstrip("/")
+    """The folder in ``spark.checkpoint.dir``; one of its own only where none is set on one machine, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (folder or _own_folder()).rstrip("/")
 
 
 @lru_cache(maxsize=1)

@@ -138,6 +138,38 @@ def test_quality(docs, labels):
     assert quality.rate(empty(docs), weight).count() == 0
 
 
+def test_own_columns_with_inner_names_stay(spark, docs, labels, pages):
+    own = {"__text": "a", "__words": 1, "__row": "r", "c0": 2, "__id": "i", "none": 0}
+    marked = docs.select("doc_id", "text", *[F.lit(v).alias(c) for c, v in own.items()])
+    rated = quality.rate(marked, quality.weights(marked, labels))
+    assert rated.columns[: len(marked.columns)] == marked.columns
+    assert {tuple(r[c] for c in own) for r in rated.collect()} == {tuple(own.values())}
+    seen = {"__url": 3, "__at": "t", "__n": 4, "__best": "b", "c1": 5}
+    captures = pages.select("page_id", "url", F.timestamp_seconds(F.lit(1_700_000_000)).alias("fetched_at"), *[F.lit(v).alias(c) for c, v in seen.items()])
+    judged = url_lists.evaluate(captures, url_lists.derived_changes(pages))
+    assert judged.columns[: len(captures.columns)] == captures.columns
+    assert judged.count() == pages.count() and {tuple(r[c] for c in seen) for r in judged.collect()} == {tuple(seen.values())}
+
+
+def test_work_is_dealt_by_its_size_not_by_the_keys(spark, pages, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    many = spark.range(4000).selectExpr("id as page_id", "concat('http://h', id % 90, '.example.com/p/', id) as url", "repeat(cast(id as string), 400) as html")
+    parts = warc.write(warc.captures(many), f"file://{tmp_path}/many")
+    wanted = many.select(warc.url_key(F.col("url")).alias("url_key"), "page_id")
+    found = warc.look_up(wanted, parts)
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() == cores
+    assert found.count() == 4000
+
+
+def test_a_cluster_needs_the_shared_folder():
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default=None: {"spark.master": "spark://host:7077"}.get(key, default))
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_folder(Session)
+
+
 def test_secret_scan(spark, docs):
     found = secret_scan.scan(docs, secret_scan.train(docs), docs.columns)
     rows = {r["doc_id"]: r for r in found.collect()}

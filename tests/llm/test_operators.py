@@ -17,7 +17,7 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline
 from checks.inputs import TABLES
-from tabgauge.llm import bpe, components, elias_fano, language_model, near_duplicates, quality, queries, secret_scan, token_output, toxicity, words
+from tabgauge.llm import bpe, components, elias_fano, language_model, near_duplicates, quality, queries, secret_scan, shared, token_output, toxicity, words
 from tabgauge.llm.suffix_automaton import SuffixAutomaton
 from tabgauge.llm.token_output import vocabulary_path
 
@@ -91,6 +91,28 @@ def test_a_family_over_several_blocks(spark, monkeypatch):
         assert r["class_id"] == (20 if r["doc_id"] == 20 else 0)
 
 
+@pytest.mark.parametrize("ids", ["null", "repeated"])
+def test_null_and_repeated_ids_cost_no_more(spark, ids):
+    """As many texts in pairs of near copies as would take millions of meetings if ids alone joined them."""
+    base = [[f"w{i}x{j}" for j in range(60)] for i in range(1500)]
+    texts = [" ".join(x) for x in base] + [" ".join([*x[:-1], "end"]) for x in base]
+    given = spark.createDataFrame([(None if ids == "null" else 7, t) for t in texts], "doc_id bigint, text string")
+    rows, found = near_duplicates.resolve(given)
+    assert rows.count() == len(texts)
+    sizes = [r["count"] for r in found.groupBy("component").count().collect()]
+    assert len(sizes) == len(base) and set(sizes) == {2}
+    assert {r["n_links"] for r in found.collect()} == {1}
+
+
+def test_copies_of_one_bucket_are_counted_before_they_meet(spark):
+    seen = []
+    written = shared.written
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(shared, "written", lambda frame, what, **o: (seen.append(frame._jdf.queryExecution().optimizedPlan().toString()), written(frame, what, **o))[1])
+        near_duplicates.resolve(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "x")], "doc_id bigint, text string"))
+    assert seen and not any("Window" in plan for plan in seen)
+
+
 def test_components(spark):
     edges = [(f"n{i:03}", f"n{i + 1:03}") for i in range(60)] + [("m1", "m2"), ("m2", "m1"), ("m3", "m2")] + [("a", f"z{i}") for i in range(50)]
     found = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a string, b string")).collect()}
@@ -270,11 +292,8 @@ def test_quality(spark, sql, texts):
     docs = spark.read.parquet(str(DATA / "documents.parquet"))
     weight = quality.weights(docs, spark.read.parquet(str(DATA / "labels.parquet")))
     found = {r["doc_id"]: r for r in quality.rate(docs.select("doc_id", "text"), weight).collect()}
-    shapes = {}
-    for i, t in texts.items():
-        s = re.sub(r"[^\x00-\x7F]+", "a", re.sub("[0-9]", "9", re.sub("[A-Z]", "A", re.sub("[a-z]", "a", t))))
-        shapes[i] = WORD.findall(re.sub(r"([aA9])\1+", r"\1", s))
-    grams = {i: [(s,) for s in x] + list(zip(x, x[1:])) for i, x in shapes.items()}
+    lower = {i: WORD.findall(t.lower()) for i, t in texts.items()}
+    grams = {i: [(w,) for w in x] + list(zip(x, x[1:])) for i, x in lower.items()}
     distinct = sorted({g for x in grams.values() for g in x}, key=str)
     table = spark.createDataFrame([(g[0], g[1] if len(g) > 1 else None) for g in distinct], "a string, b string")
     bucket = {}
@@ -285,8 +304,9 @@ def test_quality(spark, sql, texts):
         every.update(bucket[g] for g in x)
         target.update(bucket[g] for g in x if labels.get(i) == 1)
     n, t = sum(every.values()), sum(target.values())
-    llr = [round(1e6 * (math.log((target[k] + 1) / (t + quality.BUCKETS)) - math.log((every[k] + 1) / (n + quality.BUCKETS)))) for k in range(quality.BUCKETS)]
+    llr = [round(1e6 * (math.log((target[k] + t / n) / (t + t / n * quality.BUCKETS)) - math.log((every[k] + 1) / (n + quality.BUCKETS)))) for k in range(quality.BUCKETS)]
     assert llr == weight
+    assert not any(llr[k] for k in range(quality.BUCKETS) if not every[k])  # what nobody has seen says nothing
     for i, text in texts.items():
         w, c = WORD.findall(text), Counter()
         triples = list(zip(w, w[1:], w[2:]))
@@ -299,6 +319,23 @@ def test_quality(spark, sql, texts):
         assert tuple(found[i][c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")) == expected
 
 
+def test_quality_tells_words_of_one_shape_apart(spark, texts):
+    """Prose, and the same texts with the letters of each word moved: equal shapes, other words. Scored texts are held out."""
+    rng = random.Random(5)
+    moved: dict[str, str] = {}
+    move = lambda m: moved.setdefault(m.group(), "".join(rng.sample(m.group(), len(m.group()))))
+    prose = [t for _, t in sorted(texts.items()) if len(t.split()) > 60][:60]
+    rows = [(2 * i, t) for i, t in enumerate(prose)] + [(2 * i + 1, re.sub("[a-z]{3,}", move, t)) for i, t in enumerate(prose)]
+    held = {i for i, _ in rows if i // 2 % 3 == 2}
+    schema = "doc_id bigint, text string"
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i, _ in rows if i not in held], "doc_id bigint, quality int")
+    weight = quality.weights(spark.createDataFrame([r for r in rows if r[0] not in held], schema), labels)
+    score = {r["doc_id"]: r["score"] for r in quality.rate(spark.createDataFrame([r for r in rows if r[0] in held], schema), weight).collect()}
+    prose_scores, moved_scores = ([v for i, v in score.items() if i % 2 == k] for k in (0, 1))
+    above = np.mean([a > b for a in prose_scores for b in moved_scores])
+    assert len(score) == 40 and above > 0.95, above  # the area under the curve
+
+
 def test_secret_patterns(spark, texts):
     for doc_id, row in rows_of(spark, secret_scan).items():
         spans = secret_scan.base_spans(texts[doc_id])
