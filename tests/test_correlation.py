@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 import tabgauge as tg
-from tabgauge.operators import comoments
+from tabgauge.operators import comoments, correlation, report
 
 
 def matrix(df):
@@ -149,3 +149,12 @@ def test_five_thousand_columns_in_two_gigabytes(monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert checked == 3 and peak < 2 << 30
+
+
+def test_equal_pairs_come_by_position_whatever_the_order_of_sums(spark):
+    rows = [("a", "d", 0, 3, 1.0 - 2**-53), ("b", "c", 1, 2, -1.0), ("b", "d", 1, 3, 0.9)]
+    long = spark.createDataFrame(rows, correlation.PEARSON_SCHEMA)
+    strong = tg.strong_correlations(long).collect()
+    assert [(r["col_1"], r["col_2"]) for r in strong] == [("a", "d"), ("b", "c"), ("b", "d")]
+    listed = report.correlation_text(long).first()["correlation_text"]
+    assert listed.split("\n")[1:] == ["- a & d: r = 1.00", "- b & c: r = -1.00", "- b & d: r = 0.90"]
