@@ -24,6 +24,16 @@ def test_fixed_rounds_the_binary_value(spark):
             assert row["t"] == f"{row['x']:.{digits}f}"
 
 
+def test_fixed_shows_the_digits_of_large_values(spark):
+    values = [8099999.100000001, 2699999.7, 611999.32, 450359.9, 524288.5 + 2**-11, 524288.5 + 3 * 2**-11, 1048575.99999999994]
+    values += [9007199254740993.0, 4503599627370496.5, 2.0**62, 2.0**63, 1e19, 1e25, 1.2345678901234567e36, 99999999999.99999]
+    values += [-v for v in values]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for digits in (2, 4, 10):
+        for row in df.selectExpr("x", f"{fixed('x', digits)} as t").collect():
+            assert row["t"] == f"{row['x']:.{digits}f}"
+
+
 def test_quoted_is_python_repr(spark):
     values = ["a", "it's", 'say "x"', "both ' and \"", "back\\slash", "two\nlines", "tab\t"]
     df = spark.createDataFrame([(v,) for v in values], "s string")
