@@ -68,12 +68,10 @@ class Tokens:
         bounds = np.searchsorted(ends, self.bounds)
         some = bounds[:-1] < bounds[1:]
         starts[bounds[:-1][some]] = self.bounds[:-1][some]
-        # Each id counts with its distance from the word's end, as words with the same ids in another order differ.
-        place = np.zeros(len(self.ids), np.uint64)
-        lengths = ends - starts + 1
-        inside = np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-        place[inside] = (np.repeat(ends, lengths) - inside).astype(np.uint64)
-        values = words.mix(self.ids.astype(np.uint64) + (place << np.uint64(32)) + np.uint64(1))
+        # Each id counts with its distance from the word's end, as words with the same ids in another order differ;
+        # ids outside of words get some distance too, which no difference of sums below holds.
+        place = np.r_[ends, 0][np.cumsum(last) - last] - np.arange(len(self.ids))
+        values = words.mix(self.ids.astype(np.uint64) + (place.astype(np.uint64) << np.uint64(32)) + np.uint64(1))
         sums = np.zeros(len(values) + 1, np.uint64)
         np.cumsum(values, out=sums[1:])
         return words.mix(sums[ends + 1] - sums[starts]), bounds
@@ -128,6 +126,12 @@ def _buckets(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct numbers; ``np.unique`` hashes them first, which takes some ten times as long here."""
+    found = np.sort(values)
+    return found[np.r_[True, found[1:] != found[:-1]]] if len(found) else found
+
+
 def _counts(path: str, end_id: int, wide: bool):
     """Documents per bucket of words in the task, and at -1 and -2 the documents and words."""
 
@@ -139,7 +143,7 @@ def _counts(path: str, end_id: int, wide: bool):
             for lo in range(0, len(cells), 512):
                 hashes, bounds = _tokens_of(cells.slice(lo, 512), wide).words(word_ends)
                 each = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-                distinct = np.unique((each << BUCKET_BITS) | _buckets(hashes))
+                distinct = _distinct((each << BUCKET_BITS) | _buckets(hashes))
                 found += np.bincount(distinct & ((1 << BUCKET_BITS) - 1), minlength=1 << BUCKET_BITS)
                 rows, total = rows + len(bounds) - 1, total + len(hashes)
         at = np.flatnonzero(found)
@@ -184,7 +188,8 @@ class Index:
         norm = K1 * (1 - B + B * lengths / corpus.words_per_doc)
         self.doc = doc
         self.score = weight[word] * tf * (K1 + 1) / (tf + norm[doc])
-        order = np.argsort(doc, kind="stable")
+        # Two bytes are sorted by digits.
+        order = np.argsort(doc.astype(np.uint16) if n <= 1 << 16 else doc, kind="stable")
         self.asked, self.weight = word[order], weight[word[order]]
         self.asked_first = np.searchsorted(doc[order], np.arange(n + 1))
 

@@ -43,9 +43,12 @@ _MARK &= ~_LETTER
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit values; one to one."""
-    x = (x ^ (x >> np.uint64(30))) * _FIRST
-    x = (x ^ (x >> np.uint64(27))) * _SECOND
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))  # a copy, worked on in place
+    x *= _FIRST
+    x ^= x >> np.uint64(27)
+    x *= _SECOND
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def seeded(n: int, seed: int) -> np.ndarray:

@@ -121,3 +121,21 @@ def test_neighbours_share_a_window(spark):
 def test_powers():
     assert [sum(p[2] for p in s) for s in packing.powers([(0, 5, 7), (1, 0, 6)])] == [8, 4, 1]
     assert packing.powers([]) == []
+
+
+def test_distinct_buckets_are_sorted_and_not_hashed(monkeypatch):
+    monkeypatch.setattr(packing.np, "unique", None)
+    values = np.array([5, 3, 5, 1 << 40, 0, 3])
+    assert packing._distinct(values).tolist() == [0, 3, 5, 1 << 40]
+    assert packing._distinct(values[:0]).tolist() == []
+
+
+def test_words_hash_alike_wherever_they_stand():
+    ends = np.zeros(100, bool)
+    ends[50:] = True  # ids from 50 on end a word
+    one = packing.Tokens(np.array([7, 8, 60, 55, 2], np.uint32), np.array([0, 5]))
+    two = packing.Tokens(np.array([9, 2, 55, 7, 8, 60, 3, 2, 8, 7, 60, 2], np.uint32), np.array([0, 2, 8, 12]))
+    a, a_bounds = one.words(ends)
+    b, b_bounds = two.words(ends)
+    assert (a_bounds.tolist(), b_bounds.tolist()) == ([0, 2], [0, 0, 2, 3])
+    assert b[:2].tolist() == a[::-1].tolist() and b[2] != a[0]
