@@ -54,3 +54,15 @@ def test_query(spark, sql, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 11
+
+
+def test_estimated_quantiles_are_checked_by_one_exact_call_a_table(spark, monkeypatch):
+    calls, own = [], entry.registry.tg.numeric_quantiles
+
+    def counted(*args, **options):
+        calls.append(options.get("approx", False))
+        return own(*args, **options)
+
+    monkeypatch.setattr(entry.registry.tg, "numeric_quantiles", counted)
+    entry.registry.quantiles_estimated(spark, str(DATA))
+    assert calls == [True, False, True, False]
