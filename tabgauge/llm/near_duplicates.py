@@ -107,6 +107,7 @@ def _signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def _measure(length: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.release()
         for batch in batches:
             texts = words.texts_of(batch.column("text_"))
             for lo, hi in words.slices(texts):
@@ -263,6 +264,7 @@ def links(sets: list[np.ndarray], threshold: float) -> np.ndarray:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shared.release()
     last = None  # rows of one text lie together; the first will do
     for batch in batches:
         texts = words.texts_of(batch.column("text_"))
@@ -363,6 +365,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shared.release()
     for batch in batches:
         texts = words.texts_of(batch.column("text_"))
         for lo, hi in words.slices(texts):

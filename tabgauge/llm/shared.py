@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +41,24 @@ def written(frame: DataFrame, what: str, **options: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+#: What a worker process keeps for its later tasks.
+_kept: dict = {}
+
+
+def per_worker(owner: str, key, make):
+    """``make()``, kept by the worker process for later tasks of ``owner`` with this ``key``; an owner has one at a time."""
+    if owner not in _kept or _kept[owner][0] != key:
+        _kept.pop(owner, None)
+        _kept[owner] = (key, make())
+    return _kept[owner][1]
+
+
+def release() -> None:
+    """Give back what earlier operators left in a worker process, which Spark reuses; for the start of a task."""
+    _kept.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def filesystem(uri: str):
     """The Arrow file system of a URI, and the path in it. For use inside tasks."""
     from pyarrow import fs

@@ -328,15 +328,9 @@ def _rows_of(batches: Iterator[pa.RecordBatch], landmarks: list[bytes]) -> Itera
             yield batch, lo, hi, features(texts.slice(lo, hi - lo))
 
 
-_made: dict[tuple, Features] = {}
-
-
 def _features(landmarks: tuple) -> Features:
     """One per worker process and set of landmarks."""
-    if landmarks not in _made:
-        _made.clear()
-        _made[landmarks] = Features(list(landmarks))
-    return _made[landmarks]
+    return shared.per_worker("toxicity", landmarks, lambda: Features(list(landmarks)))
 
 
 def _candidates(training: DataFrame) -> list[tuple[bytes, int, int]]:

@@ -265,3 +265,10 @@ def test_stages_carry_columns_named_like_results(spark, stage, tmp_path):
     assert found.columns == docs.columns
     kept = found.collect()
     assert kept and {(r["__score"], r["__spans"], r["__clean"]) for r in kept} == {(1.5, "mine", "own")}
+
+
+def test_a_task_of_another_operator_gives_back_what_toxicity_keeps():
+    first = toxicity._features((b"word",))
+    assert toxicity._features((b"word",)) is first
+    assert list(near_duplicates._measure(4)(iter(()))) == []
+    assert toxicity._features((b"word",)) is not first
