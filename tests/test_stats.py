@@ -215,3 +215,18 @@ def test_quantiles_of_skewed_columns(spark, rows):
         assert list(found[name][1:]) == pytest.approx(list(expected))
     near = rows(tg.numeric_quantiles(df, approx=True))
     assert near["b"]["median"] == pytest.approx(np.median(data[:, 1]), abs=0.01)
+
+
+def test_brackets_that_overlap_have_their_own_rows(spark):
+    df = spark.range(100).selectExpr("double(id) as x", "double(-id) as y")
+    brackets = [Bracket("x", 10, 20, 10, 11, (12,)), Bracket("x", 5, 50, 5, 46, (30,)), Bracket("y", -3, 0, 96, 4, (97,))]
+    assert order_statistics(df, brackets) == {("x", 12): 12.0, ("x", 30): 30.0, ("y", 97): -2.0}
+
+
+def test_only_values_inside_brackets_reach_the_sketches(spark):
+    df = spark.range(1000).selectExpr("double(id) as x", "if(id % 3 = 0, null, double(id)) as y")
+    brackets = [Bracket("x", 10, 20, 10, 11, (12,)), Bracket("y", 90, 100, None, 7, (70,)), Bracket("x", 15, 16, 15, 2, (15,))]
+    inside = sorted(tuple(r) for r in order_stats._inside(df, brackets).collect())
+    assert inside == [(0, float(i)) for i in range(10, 21)] + [(1, float(i)) for i in range(90, 101) if i % 3] + [(2, 15.0), (2, 16.0)]
+    cut = order_stats._with_cuts(df, brackets)
+    assert [(b.rows, b.cuts[0], b.cuts[-1]) for b in cut] == [(11, 10.0, 20.0), (7, 91.0, 100.0), (2, 15.0, 16.0)]
