@@ -1,6 +1,6 @@
 """The most frequent values of columns without shuffling all distinct ones.
 
-A first scan keeps a frequent-items sketch per task and column. Every value with more rows than a known
+A first scan keeps a frequent-items sketch per task and column, numbers as numbers and texts as texts. Every value with more rows than a known
 share of the table is in the merged sketch, so a second scan counts just its items, exactly. If the
 last of the wanted values has more rows than that share, no other value can have as many and the
 result is exact; columns for which this cannot be shown, such as those whose values are all rare,
@@ -9,7 +9,7 @@ are counted in full instead.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,7 +19,7 @@ from tabgauge.functions import dtypes, text
 from tabgauge.functions.frames import small_frame, union_all
 from tabgauge.functions.tasks import by_task, in_levels
 from tabgauge.functions.values import column
-from tabgauge.operators.values import DIGEST_ABOVE_BYTES, GROUP_LIMIT, TOP_CATEGORIES, top_categories, value_counts, value_key
+from tabgauge.operators.values import DIGEST_ABOVE_BYTES, GROUP_LIMIT, TOP_CATEGORIES, top_categories, value_counts, value_family, value_key
 
 #: Items that a sketch tracks, in a map of 2048.
 TRACKED = 1536
@@ -32,11 +32,19 @@ FREQUENT_SCHEMA = "column string, value string, n bigint, rank int"
 
 
 def _item(name: str, dtype: T.DataType) -> str:
-    """SQL for a text that tells the values of a column apart."""
+    """SQL for a value of its family's type that tells the values of a column apart."""
     key = value_key(name, dtype)
     if dtypes.has_nan(dtype):
-        key = f"if({key} = 0, double(0), {key})"
-    return f"cast({key} as string)"
+        return f"case when {key} = 0 then double(0) when isnan({key}) then double('NaN') else {key} end"
+    return key
+
+
+def _families(df: DataFrame, names: Sequence[str], places: Iterable[int]) -> dict[str, list[int]]:
+    """Places of the columns by the type under which their values are told apart."""
+    found: dict[str, list[int]] = {}
+    for i in places:
+        found.setdefault(value_family(df.schema[names[i]].dataType), []).append(i)
+    return found
 
 
 def _shown(dtype: T.DataType) -> str:
@@ -58,36 +66,49 @@ def _shown(dtype: T.DataType) -> str:
     return text.value_text(value, dtype)
 
 
-def _stacked(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """``(id, item, whole)`` of every row and column; ``whole`` is the text where the item is a digest."""
-    rows = []
-    for i, name in enumerate(names):
-        dtype = df.schema[name].dataType
-        long = dtypes.semantic_type(dtype) in (dtypes.TEXT, dtypes.UNKNOWN) and not isinstance(dtype, T.BinaryType)
-        value = f"cast({column(name)} as string)"
-        more = f"if(octet_length({value}) > {DIGEST_ABOVE_BYTES}, {value}, null)" if long else "string(null)"
-        rows.append(f"{i}, {_item(name, dtype)}, {more}")
-    return df.selectExpr(f"stack({len(names)}, {', '.join(rows)}) as (id, item, whole)")
+def _stacked(df: DataFrame, names: Sequence[str], places: Sequence[int], whole: bool = False, *more: str) -> DataFrame:
+    """``(id, item)`` of every row and the columns at ``places``, which are of one family; numbers stay numbers.
 
-
-def _candidates(df: DataFrame, names: Sequence[str]) -> tuple[dict[int, list[str | None]], dict[int, tuple[int, bool]]]:
-    """Items of the merged sketches, and per column the rows and whether the sketch dropped nothing."""
+    ``whole``, if wanted, is the text where the item is a digest. ``more`` columns are kept.
+    """
+    inputs, rows = list(more), []
+    for i in places:
+        dtype = df.schema[names[i]].dataType
+        inputs.append(f"{_item(names[i], dtype)} as item{i}")
+        row = [str(i), f"item{i}"]
+        if whole:
+            long = dtypes.semantic_type(dtype) in (dtypes.TEXT, dtypes.UNKNOWN) and not isinstance(dtype, T.BinaryType)
+            value = f"cast({column(names[i])} as string)"
+            inputs.append((f"if(octet_length({value}) > {DIGEST_ABOVE_BYTES}, {value}, null)" if long else "string(null)") + f" as whole{i}")
+            row.append(f"whole{i}")
+        rows.append(", ".join(row))
+    return df.selectExpr(*inputs).selectExpr(*more, f"stack({len(places)}, {', '.join(rows)}) as (id, item{', whole' * whole})")
+
+
+def _candidates(
+    df: DataFrame, names: Sequence[str], limit: int
+) -> tuple[dict[int, list[str | None]], dict[int, tuple[int, bool]], dict[int, int]]:
+    """Items of the merged sketches, per column the rows and whether the sketch dropped nothing, and rows that the last wanted value has at most."""
     grouped, groups = by_task(df.select(*(df[column(n)] for n in names)))
-    rows = ", ".join(f"{i}, {_item(n, df.schema[n].dataType)}" for i, n in enumerate(names))
-    stacked = grouped.selectExpr("part", f"stack({len(names)}, {rows}) as (id, item)")
-    states = stacked.groupBy("id", "part").agg(
-        F.expr(f"approx_top_k_accumulate(item, {TRACKED})").alias("top"), F.count(F.lit(1)).alias("rows")
-    )
 
     def merge(frame: DataFrame, keys: list[str]) -> DataFrame:
         return frame.groupBy(*keys).agg(F.expr(f"approx_top_k_combine(top, {TRACKED})").alias("top"), F.sum("rows").alias("rows"))
 
-    items, known = {}, {}
-    for r in in_levels(states, groups, ["id"], merge).selectExpr("id", "rows", f"approx_top_k_estimate(top, {TRACKED}) as top").collect():
+    parts = []
+    for places in _families(grouped, names, range(len(names))).values():
+        states = _stacked(grouped, names, places, False, "part").groupBy("id", "part").agg(
+            F.expr(f"approx_top_k_accumulate(item, {TRACKED})").alias("top"), F.count(F.lit(1)).alias("rows")
+        )
+        top = f"transform(approx_top_k_estimate(top, {TRACKED}), x -> struct(cast(x.item as string) as item, x.count as count)) as top"
+        parts.append(in_levels(states, groups, ["id"], merge).selectExpr("id", "rows", top))
+    items, known, last = {}, {}, {}
+    for r in union_all(parts).collect() if parts else ():
         items[r["id"]] = [x["item"] for x in r["top"]]
+        # A sketch never counts an item too low.
+        last[r["id"]] = sorted((x["count"] for x in r["top"]), reverse=True)[limit - 1] if len(r["top"]) >= limit else 0
         # Counts that add up to the rows have lost nothing.
         known[r["id"]] = (r["rows"], sum(x["count"] for x in r["top"]) == r["rows"] and len(r["top"]) < TRACKED)
-    return items, known
+    return items, known, last
 
 
 def frequent_values(
@@ -104,8 +125,9 @@ def frequent_values(
     parts, rest = [], []
     for start in range(0, len(columns), COLUMNS):
         names = columns[start : start + COLUMNS]
-        items, known = _candidates(df, names)
-        able = [i for i in items if len(items[i]) >= limit or known[i][1]]
+        items, known, last = _candidates(df, names, limit)
+        # Columns whose values are all rare cannot be shown to be right and need no second count.
+        able = [i for i in items if last[i] > MISSED_SHARE * known[i][0] or known[i][1]]
         counted = _counted(df, names, {i: items[i] for i in able})
         ranked = _ranked(counted.selectExpr("id as column", "value", "n"), limit)
         # At most ``limit`` rows per column come to the driver.
@@ -124,16 +146,22 @@ def frequent_values(
 
 def _counted(df: DataFrame, names: Sequence[str], items: dict[int, list[str | None]]) -> DataFrame:
     """Exact counts of the given items only; tasks hand over at most one row per item."""
-    wanted = df.sparkSession.createDataFrame(
-        [(i, item) for i, found in items.items() for item in found], "id int, item string"
-    )
-    # At most TRACKED rows per column on the right side.
-    chosen = _stacked(df, names).alias("a").join(
-        F.broadcast(wanted.alias("w")), F.expr("a.id = w.id and a.item <=> w.item"), "left_semi"
-    )
-    counts = chosen.groupBy("id", "item").agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("whole"))
-    cases = [f"when id = {i} then {_shown(df.schema[n].dataType)}" for i, n in enumerate(names)]
-    return counts.selectExpr("id", f"case {' '.join(cases)} end as value", "n")
+    parts = []
+    for family, places in _families(df, names, items).items():
+        wanted = df.sparkSession.createDataFrame([(i, item) for i in places for item in items[i]], "id int, item string")
+        wanted = wanted.selectExpr("id", f"cast(item as {family}) as item")
+        text_kept = family == "string"
+        # At most TRACKED rows per column on the right side.
+        chosen = _stacked(df, names, places, text_kept).alias("a").join(
+            F.broadcast(wanted.alias("w")), F.expr("a.id = w.id and a.item <=> w.item"), "left_semi"
+        )
+        # The whole text is a key, since its least value, a text, would have every row sorted instead of hashed.
+        counts = chosen.groupBy("id", "item", *["whole"] * text_kept).agg(F.count(F.lit(1)).alias("n"))
+        parts.append(counts.selectExpr("id", "cast(item as string) as item", "whole" if text_kept else "string(null) as whole", "n"))
+    if not parts:
+        return small_frame(df, [], "id int, value string, n bigint")
+    cases = [f"when id = {i} then {_shown(df.schema[names[i]].dataType)}" for i in items]
+    return union_all(parts).selectExpr("id", f"case {' '.join(cases)} end as value", "n")
 
 
 def _ranked(counts: DataFrame, limit: int) -> DataFrame:

@@ -62,3 +62,20 @@ def test_candidates_alone_are_shuffled(table):
     assert {r["value"] for r in counted.collect()} == {"1", "2"}
     plan = counted._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan and plan.index("Aggregate") < plan.index("LeftSemi")
+
+
+def test_counts_are_hashed_and_rare_columns_are_not_counted_twice(table, monkeypatch):
+    plan = frequent._counted(table, ["text", "skewed"], {0: ["a", None], 1: ["1"]})._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    asked, right = [], frequent._counted
+    monkeypatch.setattr(frequent, "_counted", lambda df, names, items: asked.append(sorted(items)) or right(df, names, items))
+    assert found(table, ["uniform", "flag"]) == full(table, ["uniform", "flag"], 20)
+    assert asked == [[1]]
+
+
+def test_numbers_at_the_edges_of_their_types(spark):
+    rows = [(2**63 - 1, 5e-324, True), (-(2**63), float("nan"), None), (2**63 - 1, -0.0, True), (2**63 - 2, 0.0, False), (None, 0.1 + 0.2, None)]
+    df = spark.createDataFrame(rows * 3, "a long, b double, c boolean").selectExpr("*", "float(b) as f", "cast(b as decimal(20, 3)) as d")
+    assert found(df) == full(df, df.columns, 20)
+    df = df.selectExpr("*", "try_divide(b, 0) as g")
+    assert found(df, ["g", "a"], 2) == full(df, ["g", "a"], 2)
