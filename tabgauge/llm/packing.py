@@ -122,6 +122,18 @@ def _tokens_of(cells: pa.Array, wide: bool) -> Tokens:
     return Tokens(raw.view("<u4" if wide else "<u2"), (offsets - offsets[0]) // size)
 
 
+def _some_words(cells: pa.Array, wide: bool, word_ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of the words of some documents after others, since what leads to them takes many times the memory of the ids."""
+    for lo in range(0, len(cells), 512):
+        yield _tokens_of(cells.slice(lo, 512), wide).words(word_ends)
+
+
+def _all_words(cells: pa.Array, wide: bool, word_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all documents in a row, and where each document's words begin."""
+    hashes, bounds = zip(*_some_words(cells, wide, word_ends), strict=True)
+    return np.concatenate(hashes), np.r_[0, np.cumsum(np.concatenate([np.diff(b) for b in bounds]))]
+
+
 def _buckets(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
@@ -139,9 +151,7 @@ def _counts(path: str, end_id: int, wide: bool):
         word_ends = _word_ends(path, end_id)
         found, rows, total = np.zeros(1 << BUCKET_BITS, np.int64), 0, 0
         for batch in batches:
-            cells = batch.column("ids")
-            for lo in range(0, len(cells), 512):
-                hashes, bounds = _tokens_of(cells.slice(lo, 512), wide).words(word_ends)
+            for hashes, bounds in _some_words(batch.column("ids"), wide, word_ends):
                 each = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
                 distinct = _distinct((each << BUCKET_BITS) | _buckets(hashes))
                 found += np.bincount(distinct & ((1 << BUCKET_BITS) - 1), minlength=1 << BUCKET_BITS)
@@ -177,7 +187,7 @@ class Index:
     def __init__(self, hashes: np.ndarray, bounds: np.ndarray, corpus: Corpus) -> None:
         self.docs = n = len(bounds) - 1
         lengths = np.diff(bounds)
-        names, codes = np.unique(hashes, return_inverse=True)
+        names, _, codes = words.distinct(hashes)
         pairs, tf = np.unique(codes * n + np.repeat(np.arange(n), lengths), return_counts=True)
         word, doc = pairs // max(n, 1), pairs % max(n, 1)
         spread = np.bincount(word, minlength=len(names))
@@ -288,9 +298,10 @@ def _packed(path: str, end_id: int, kind: pa.DataType, corpus: Corpus, window: i
 
     def shard(docs: list[pa.Array], cells: list[pa.Array], word_ends: np.ndarray, number: int) -> pa.RecordBatch:
         doc_ids = pa.concat_arrays(docs)
-        tokens = _tokens_of(pa.concat_arrays(cells), wide)
+        together = pa.concat_arrays(cells)
+        tokens = _tokens_of(together, wide)
         sizes = np.diff(tokens.bounds)
-        found = fill(sizes.tolist(), Index(*tokens.words(word_ends), corpus), window)
+        found = fill(sizes.tolist(), Index(*_all_words(together, wide, word_ends), corpus), window)
         of, start, length = (np.array(x, np.int64) for x in zip(*(p for s in found for p in s), strict=True))
         pieces = np.array([len(s) for s in found])
         sequence = np.repeat(np.arange(number, number + len(found)), pieces)

@@ -7,7 +7,8 @@ carriage return here, so that bytes decide.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from array import array
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +20,10 @@ REMEMBERED = 1_500_000
 
 
 class PieceIds:
-    """Ids by piece. ``encode`` takes a list of pieces and gives a list of their ids."""
+    """Ids by piece. ``encode`` takes a list of pieces and gives the ids of each."""
 
     def __init__(
-        self, encode: Callable[[list[bytes]], list[list[int]]], with_space: bool, lower: bool, remembered: int = REMEMBERED
+        self, encode: Callable[[list[bytes]], Iterable[list[int]]], with_space: bool, lower: bool, remembered: int = REMEMBERED
     ) -> None:
         self.encode, self.with_space, self.lower, self.remembered = encode, with_space, lower, remembered
         self._clear()
@@ -33,17 +34,21 @@ class PieceIds:
         self.first, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
         self.ids = np.zeros(1 << 16, np.uint32)
 
-    def _add(self, found: list[list[int]]) -> np.ndarray:
-        places = np.arange(self.count, self.count + len(found))
-        self.count += len(found)
+    def _add(self, found: Iterable[list[int]]) -> np.ndarray:
+        # One list at a time: many of them at once keep Python's garbage collector busy.
+        sizes, flat = array("q"), array("I")
+        for ids in found:
+            sizes.append(len(ids))
+            flat.extend(ids)
+        places = np.arange(self.count, self.count + len(sizes))
+        self.count += len(sizes)
         if self.count > len(self.first):
             self.first.resize(2 * self.count, refcheck=False)
             self.size.resize(2 * self.count, refcheck=False)
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        total = int(sizes.sum())
+        sizes, total = np.array(sizes, np.int64), len(flat)
         if self.used + total > len(self.ids):
             self.ids.resize(2 * (self.used + total), refcheck=False)
-        self.ids[self.used : self.used + total] = np.fromiter((i for x in found for i in x), np.uint32, total)
+        self.ids[self.used : self.used + total] = flat
         self.first[places] = self.used + np.cumsum(sizes) - sizes
         self.size[places] = sizes
         self.used += total
@@ -54,10 +59,10 @@ class PieceIds:
         found = words.split(texts, words.NOT_SPACE, lower=self.lower, cut=True)
         if self.with_space:
             found = _with_space(found)
-        distinct, at, back = np.unique(found.hashes(), return_index=True, return_inverse=True)
+        distinct, at, back = words.distinct(found.hashes())
         if self.count > self.remembered:
             self._clear()
-        places = self.known.places(distinct, lambda new: self._add(self.encode([found.word(i) for i in at[new].tolist()])))[back]
+        places = self.known.places(distinct, lambda new: self._add(self.encode(found.listed(at[new]))))[back]
         size, first = self.size[places].astype(np.int64), self.first[places]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0

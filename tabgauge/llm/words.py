@@ -92,10 +92,32 @@ class Words:
     def word(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
 
+    def listed(self, at: np.ndarray) -> list[bytes]:
+        """The words at some places."""
+        raw = self.data.tobytes()
+        return [raw[a:b] for a, b in zip(self.starts[at].tolist(), self.ends[at].tolist(), strict=True)]
+
     def counts(self) -> np.ndarray:
         return np.diff(self.bounds)
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, where each stands first, and the place of every value among them.
+
+    As ``np.unique`` gives them, but only distinct values are sorted; the others are looked up in Arrow's table.
+    """
+    found = pa.array(values).dictionary_encode()
+    codes = found.indices.to_numpy()
+    # Arrow lists values in the order in which they are first met.
+    most = np.maximum.accumulate(codes)
+    first = np.flatnonzero(np.r_[True, most[1:] != most[:-1]]) if len(codes) else np.zeros(0, np.int64)
+    order = np.argsort(values[first])
+    first = first[order]
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return values[first], first, rank[codes]
+
+
 class Known:
     """Places by hash, as two sorted arrays; 16 bytes each."""
 

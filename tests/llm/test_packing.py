@@ -9,9 +9,10 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tabgauge.llm import packing, words
+from tabgauge.llm import packing, token_output, words
 from tabgauge.llm.token_output import vocabulary_path
 
 DATA = Path("/root/testdata/sf0.001")
@@ -139,3 +140,38 @@ def test_words_hash_alike_wherever_they_stand():
     b, b_bounds = two.words(ends)
     assert (a_bounds.tolist(), b_bounds.tolist()) == ([0, 2], [0, 0, 2, 3])
     assert b[:2].tolist() == a[::-1].tolist() and b[2] != a[0]
+
+
+def test_distinct_values_as_numpy_gives_them():
+    random.seed(9)
+    for values in ([], [7], [random.randrange(40) for _ in range(500)], [1 << 63, 3, 1 << 63, 0]):
+        values = np.array(values, np.uint64)
+        for ours, numpys in zip(words.distinct(values), np.unique(values, return_index=True, return_inverse=True), strict=True):
+            assert ours.tolist() == numpys.tolist()
+
+
+def test_plain_words_go_to_the_model_alone(monkeypatch):
+    random.seed(10)
+    encode = library()
+    plain = ["a", "the", "ll", "s", "x" * 300] + ["".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=random.randrange(1, 14))) for _ in range(2000)]
+    plain += ["".join(random.choices("abcoéèñüßøÉÑÜþÿ", k=random.randrange(1, 12))) for _ in range(1000)]
+    odd = ["été", "e\u0301t", "a×b", "µª", "a1", "'s", "日本", "ﬁn", "x,"]
+    encoder = token_output.Encoder(vocabulary_path(packing.VOCABULARY))
+    mixed = [w for pair in zip(plain, odd * 300) for w in pair]
+    assert list(encoder([w.encode() for w in mixed])) == [encode(w)[:-1] for w in mixed]
+    monkeypatch.setattr(encoder, "tokenizer", None)
+    assert list(encoder([w.encode() for w in plain])) == [encode(w)[:-1] for w in plain]
+
+
+def test_words_of_a_shard_come_from_some_documents_at_a_time(monkeypatch):
+    random.seed(12)
+    ends = np.zeros(300, bool)
+    ends[100:] = True
+    docs = [np.array([*random.choices(range(3, 300), k=random.randrange(9)), 2], "<u2").tobytes() for _ in range(1300)]
+    cells = pa.array(docs, pa.binary())
+    whole_, bounds = packing._tokens_of(cells, False).words(ends)
+    right, most = packing._tokens_of, []
+    monkeypatch.setattr(packing, "_tokens_of", lambda some, wide: most.append(len(some)) or right(some, wide))
+    hashes, starts = packing._all_words(cells, False, ends)
+    assert hashes.tolist() == whole_.tolist() and starts.tolist() == bounds.tolist()
+    assert max(most) == 512
