@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import shutil
 
 import pytest
@@ -112,6 +113,27 @@ def test_one_scan_and_one_small_shuffle(spark, table, tmp_path):
     assert "Window" not in plan and "Join" not in plan
 
 
+@pytest.mark.parametrize("kind", ["double", "float", "string", "bigint", "decimal(14, 2)", "boolean", "date", "timestamp_ntz", "timestamp"])
+def test_rows_pass_the_aggregate_whole_and_compiled(spark, tmp_path, kind):
+    path = str(tmp_path / "t")
+    spark.range(0, 4, 1, 1).selectExpr(*(f"cast(null as {kind}) as c{i}" for i in range(45))).write.parquet(path)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = spark.read.parquet(path)
+        made = states.table_states(df, df.columns)
+        debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+        for frame in made:
+            plan = frame._jdf.queryExecution().executedPlan()
+            above, below = plan.toString().split("Exchange")
+            assert "Generate" in above and "Generate" not in below
+            # Longer methods the JVM leaves to its interpreter.
+            sizes = re.findall(r"maxMethodCodeSize:(\d+)", debug.codegenString(plan))
+            assert sizes and all(int(size) <= 8000 for size in sizes)
+        assert sum(frame.count() for frame in made) == 45
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_levels_give_the_same_states(table, monkeypatch):
     one = states.estimates(states.table_states(table, table.columns), table.columns)
     monkeypatch.setattr(tasks, "FAN", 2)
